@@ -9,6 +9,8 @@ right.  Nothing here is logic.  Patterns are written for Java's regex engine.
 # --------------------------------------------------------------------------
 SPACES = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 WS = "[" + SPACES + "]"
+# A run of white space other than one plain blank.
+WS_RUN = "[" + SPACES.replace(" ", "") + "]" + WS + "*| " + WS + "+"
 NOT_WS = "[^" + SPACES + "]"
 WORD_START = r"(?<![A-Za-z0-9_])"
 WORD_END = r"(?![A-Za-z0-9_])"
@@ -58,14 +60,14 @@ VISUAL_TEXT = "Visual content detected in the original document."
 SEGMENT_ID = "seg_%05d"
 
 USABLE_WORD = r"[\p{L}\p{N}][\p{L}\p{N}'’-]*"
-HYPHEN_BREAK = r"(\p{L})-\n(?=\p{Ll})"
+HYPHEN_BREAK = r"(?<=\p{L})-\n(?=\p{Ll})"
 FIGURE_CAPTION = (
     r"(?iu)^(?:figure|fig\.?|graph|chart|diagram|plot|figura|gr[aá]fic[oa]|graphe|abbildung)"
     r"\s*(?:\d+|[ivxlcdm]+)?(?:[.:(\s—-]|\z)"
 )
 TABLE_CAPTION = r"(?iu)^(?:table|tabla|tableau|tabelle)\s*(?:\d+|[ivxlcdm]+)?(?:[.:(\s—-]|\z)"
 EQUATION_LABEL = r"(?iu)^(?:equation|eq\.?|ecuaci[oó]n)\s*\(?\d+"
-EQUATION_DELIMITED = r"^\$\$[\s\S]+\$\$\z|^\\\[[\s\S]+\\\]\z"
+EQUATION_DELIMITED = r"^(?:\$\$[\s\S]+\$\$|\\\[[\s\S]+\\\])\z"
 EQUATION_RELATION = r"[=≤≥≠≈∑∏∫√]"
 EQUATION_SIGNAL = r"[=≤≥≠≈∑∏∫√∞∂∆∇±×÷]|\p{L}\s*[_^]|[₀₁₂₃₄₅₆₇₈₉⁰¹²³⁴⁵⁶⁷⁸⁹]"
 EQUATION_WORD = r"\p{L}{3,}"
@@ -73,7 +75,7 @@ EQUATION_MAX_CHARACTERS = 260
 EQUATION_MAX_WORDS = 10
 HEADING_MAX_CHARACTERS = 140
 HEADING_MAX_WORDS = 16
-HEADING_END = r"[.!?;:]\z"
+HEADING_END = [".", "!", "?", ";", ":"]
 HEADING_EXCLUDED = (
     r"(?iu)https?://|" + WORD_START + "doi" + WORD_END + r"|@|©|all rights reserved"
 )

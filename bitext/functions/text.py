@@ -34,6 +34,11 @@ def utf16_len(c: Column) -> Column:
     return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
 
 
+def fits(c: Column, limit: int) -> Column:
+    """Whether a text has at most ``limit`` code units; most texts need no recoding for that."""
+    return (F.octet_length(c) <= limit) | (utf16_len(c) <= limit)
+
+
 def trim(c: Column) -> Column:
     """Strip every kind of white space, not only blanks."""
     return F.regexp_replace(c, "^" + K.WS + "+|" + K.WS + r"+\z", "")
@@ -45,7 +50,7 @@ def is_blank(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """White space runs to one blank, ends stripped."""
-    return F.trim(F.regexp_replace(c, K.WS + "+", " "))
+    return F.trim(F.regexp_replace(c, K.WS_RUN, " "))
 
 
 def or_empty(c: Column) -> Column:
@@ -54,13 +59,15 @@ def or_empty(c: Column) -> Column:
 
 def usable_text(text: Column) -> Column:
     """Whether the text layer of a page can be used without recognition."""
-    compact = F.regexp_replace(text, K.WS, "")
+    compact = F.regexp_replace(text, K.WS + "+", "")
     size = utf16_len(compact)
+    letters = F.length(compact) - F.length(F.regexp_replace(compact, r"\p{L}+", ""))
+    undecoded = F.length(compact) - F.length(F.translate(compact, "\ufffd", ""))
     return (
         (size >= 80)
         & (count(text, K.USABLE_WORD) >= 12)
-        & (count(compact, r"\p{L}") / size >= 0.45)
-        & (count(text, r"\x{FFFD}") / size < 0.02)
+        & (letters / size >= 0.45)
+        & (undecoded / size < 0.02)
     )
 
 
@@ -68,7 +75,7 @@ def unwrap(text: Column) -> Column:
     """Line ends to LF, soft hyphens dropped, words broken at a line end joined."""
     text = F.regexp_replace(text, r"\r\n?", "\n")
     text = F.regexp_replace(text, r"\x{00AD}", "")
-    return F.regexp_replace(text, K.HYPHEN_BREAK, "$1")
+    return F.regexp_replace(text, K.HYPHEN_BREAK, "")
 
 
 def normalize_page(text: Column) -> Column:
@@ -93,7 +100,7 @@ def is_table_caption(text: Column) -> Column:
 
 def is_display_equation(text: Column) -> Column:
     symbolic = (
-        (utf16_len(text) <= K.EQUATION_MAX_CHARACTERS)
+        fits(text, K.EQUATION_MAX_CHARACTERS)
         & matches(text, K.EQUATION_RELATION)
         & (count(text, K.EQUATION_SIGNAL) >= 2)
         & (count(text, K.EQUATION_WORD) <= K.EQUATION_MAX_WORDS)
@@ -104,9 +111,9 @@ def is_display_equation(text: Column) -> Column:
 def is_heading(text: Column) -> Column:
     words = F.size(F.split(text, K.WS + "+"))
     return (
-        (utf16_len(text) <= K.HEADING_MAX_CHARACTERS)
+        fits(text, K.HEADING_MAX_CHARACTERS)
         & (words <= K.HEADING_MAX_WORDS)
-        & ~matches(text, K.HEADING_END)
+        & ~F.right(text, F.lit(1)).isin(K.HEADING_END)
         & ~matches(text, K.HEADING_EXCLUDED)
     )
 
@@ -239,4 +246,4 @@ def pack_sentences(text: Column, limit: int = K.MAX_SEGMENT_CHARACTERS) -> Colum
             F.array_append(acc["chunks"], acc["open"])
         ),
     )
-    return F.when(utf16_len(text) <= limit, F.array(text)).otherwise(packed)
+    return F.when(fits(text, limit), F.array(text)).otherwise(packed)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from bitext import constants as K
 from bitext.functions import text as T
+from bitext.plans.lineage import cut
 from bitext.plans.ordered import previous, running_total
 from bitext.plans.rows import unfold
 
@@ -107,7 +108,7 @@ def split_notes(text: Column, confirmed: bool) -> Column:
             _typed(_filled(F.slice(pieces, 1, 1)), None),
             _typed(_filled(notes), "footnote"),
         ),
-    ).otherwise(_typed(F.array(T.trim(text)), None))
+    ).otherwise(_typed(F.array(text), None))
 
 
 def with_structure(pages: DataFrame) -> DataFrame:
@@ -169,8 +170,12 @@ def with_segments(pages: DataFrame, visual_markers: bool = True) -> DataFrame:
 
 
 def segment_pages(pages: DataFrame, visual_markers: bool = True) -> DataFrame:
-    """Pages to segments, numbered through the document in page order."""
-    paged = with_segments(pages, visual_markers).select("doc_id", "page", "method", "segments")
+    """Pages to segments, numbered through the document in page order.
+
+    Numbering needs the segment counts of the pages before, so that the
+    segmented pages are read twice; they are computed once and checkpointed.
+    """
+    paged = cut(with_segments(pages, visual_markers).select("doc_id", "page", "method", "segments"))
     placed = running_total(paged, ["doc_id"], "page", F.size("segments"), "_offset")
     return (
         unfold(placed, "segments", "_s", "_i")

@@ -7,24 +7,13 @@ from pyspark.sql import functions as F
 from bitext import constants as K
 from bitext.functions import text as T
 from bitext.operators import segment as S
+from bitext.plans.lineage import cut
 from bitext.plans.rows import unfold
 from checks import adapters as A
-from checks.sql import (
-    NL, VIEWS, collapse, count, lit, matches, query, re2, strip,
-)
-
-QUERIES, SQL = {}, {}
-
-
-def check(name, sql=None):
-    def register(run):
-        QUERIES[name] = run
-        if sql is not None:
-            SQL[name] = query(sql)
-        return run
-
-    return register
+from checks.register import registry
+from checks.sql import NL, VIEWS, collapse, count, lit, matches, re2, strip
 
+QUERIES, SQL, check = registry()
 
 # ------------------------------------------------------------------ SQL views
 COMPACT = f"regexp_replace(text, {lit(K.WS)}, '', 'g')"
@@ -54,7 +43,7 @@ EQUATION = f"""({matches('x', K.EQUATION_LABEL)} OR {matches('x', K.EQUATION_DEL
    AND {count('x', K.EQUATION_WORD)} <= 10))"""
 CAPTION = f"({matches('x', K.FIGURE_CAPTION)} OR {matches('x', K.TABLE_CAPTION)})"
 HEADING = f"""(length(x) <= 140 AND len(string_split_regex(x, {lit(K.WS + '+')})) <= 16
-  AND NOT {matches('x', K.HEADING_END)} AND NOT {matches('x', K.HEADING_EXCLUDED)})"""
+  AND right(x, 1) NOT IN ('.', '!', '?', ';', ':') AND NOT {matches('x', K.HEADING_EXCLUDED)})"""
 
 
 def classify(column):
@@ -295,8 +284,6 @@ SELECT doc_id, unnest(ordinals) AS ordinal, unnest(s.ids) AS batch_id FROM (
        GROUP BY b.doc_id, b.batch_id""",
 )
 def _(spark, folder):
-    from bitext.plans.lineage import cut
-
     segments = cut(S.segment_pages(A.corpus_pages(spark, folder)))
     return (
         S.batch_segments(segments)
@@ -334,8 +321,6 @@ def _(spark, folder):
         GROUP BY doc_id, page""",
 )
 def _(spark, folder):
-    from bitext.plans.lineage import cut
-
     segments = cut(S.segment_pages(A.corpus_pages(spark, folder)))
     translations = segments.where("block_type <> 'heading'").select(
         "doc_id", "segment_id", F.lower("text").alias("text")
@@ -351,8 +336,6 @@ def _(spark, folder):
              FROM v_segments WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal))""",
 )
 def _(spark, folder):
-    from bitext.plans.lineage import cut
-
     segments = cut(S.segment_pages(A.corpus_pages(spark, folder)).select(
         "doc_id", "ordinal", "page", "block_type"))
     return S.boundaries(segments).select("doc_id", "ordinal", "page_boundary", "footnote_boundary")
