@@ -6,7 +6,7 @@ hidden)`` where both sides are structs of the file columns; ``projects(project_i
 original_dir, translation_dir)``.
 
 Matching is positional inside groups of equal files or equal keys, so that one
-group of copies may be large; ``rank_within`` cuts such groups by range.
+group of copies may be large; ``match_in_order`` cuts such groups by range.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from bitext import constants as K
 from bitext.functions import paths as P
 from bitext.functions import text as T
 from bitext.plans.lineage import cut
-from bitext.plans.ordered import HOT_ROWS, rank_within
+from bitext.plans.ordered import HOT_ROWS, match_in_order
 
 REFERENCE = ["relative_path", "sha256", "size", "modified_at", "media_type"]
 FILE = ["project_id", "side", "relative_path"]
@@ -84,18 +84,18 @@ def refresh_references(catalog: DataFrame, files: DataFrame, hot_rows: int = HOT
     """
     sides = catalog_sides(catalog)
     first = sides.groupBy(*FILE).agg(F.min(F.struct("ordinal", "document_id"))["document_id"].alias("document_id"))
-    by_path = first.join(files, FILE)
-    lost = sides.join(by_path.select("project_id", "side", "document_id"), ["project_id", "side", "document_id"], "left_anti")
-    spare = files.join(by_path.select(*FILE), FILE, "left_anti")
-    content = ["project_id", "side", "sha256", "size"]
-    # Only content that exists on both sides of the match needs an order.
-    lost_ranked = rank_within(
-        lost.join(spare.select(*content).distinct(), content, "left_semi"), content, ["ordinal", "document_id"], "_n", hot_rows
-    )
-    spare_ranked = rank_within(
-        spare.join(lost.select(*content).distinct(), content, "left_semi"), content, ["relative_path"], "_n", hot_rows
-    )
-    by_content = lost_ranked.select(*content, "_n", "document_id").join(spare_ranked, [*content, "_n"])
+    # Every path of either side, with the record and the file that have it.
+    per_path = cut(files.select(*FILE, *REFERENCE[1:]).join(first, FILE, "full"))
+    has_file, has_record = F.col("sha256").isNotNull(), F.col("document_id").isNotNull()
+    by_path = per_path.where(has_file & has_record)
+    spare = per_path.where(has_file & ~has_record).drop("document_id")
+    lost = sides.join(
+        by_path.select("project_id", "side", "document_id"), ["project_id", "side", "document_id"], "left_anti"
+    ).select("project_id", "side", "sha256", "size", "ordinal", "document_id")
+    by_content = match_in_order(
+        lost, spare, ["project_id", "side", "sha256", "size"], ["ordinal", "document_id"], ["relative_path"],
+        hot_rows=hot_rows,
+    )
     names = ["project_id", "side", "document_id", *REFERENCE]
     found = by_path.select(*names).unionByName(by_content.select(*names)).select(
         "project_id", "side", "document_id", reference_of().alias("_new")
@@ -134,14 +134,10 @@ def adopt_counterparts(
         F.when(F.col("side") == "original", "translation").otherwise("original").alias("side"),
     )
     offered = with_keys(unused_files(files, sides), projects, F.col("relative_path"), F.col("side"))
-    key = ["project_id", "side", "pair_key"]
-    waiting_ranked = rank_within(
-        waiting.join(offered.select(*key).distinct(), key, "left_semi"), key, ["ordinal", "document_id"], "_n", hot_rows
-    )
-    offered_ranked = rank_within(
-        offered.join(waiting.select(*key).distinct(), key, "left_semi"), key, ["relative_path"], "_n", hot_rows
-    )
-    return waiting_ranked.join(offered_ranked, [*key, "_n"]).select(
+    return match_in_order(
+        waiting, offered, ["project_id", "side", "pair_key"], ["ordinal", "document_id"], ["relative_path"],
+        hot_rows=hot_rows,
+    ).select(
         "project_id", "document_id", "ordinal", "side", *REFERENCE, F.lit(True).alias("available")
     )
 
@@ -155,14 +151,16 @@ def pair_new_files(
     ``snapshot``; give each scan its own label so that an identifier never returns.
     """
     keyed = with_keys(files, projects, F.col("relative_path"), F.col("side"))
-    ranked = rank_within(keyed, ["project_id", "side", "pair_key"], ["relative_path"], "_n", hot_rows)
 
     def one(side):
-        return ranked.where(F.col("side") == side).select(
-            "project_id", "pair_key", "_n", reference_of().alias(side)
+        return keyed.where(F.col("side") == side).select(
+            "project_id", "pair_key", reference_of().alias(side), F.col("relative_path").alias(f"_{side}")
         )
 
-    paired = one("original").join(one("translation"), ["project_id", "pair_key", "_n"], "full")
+    paired = match_in_order(
+        one("original"), one("translation"), ["project_id", "pair_key"], ["_original"], ["_translation"],
+        how="full", hot_rows=hot_rows,
+    )
     part = lambda side, c: F.coalesce(F.col(f"{side}.{c}"), F.lit(""))
     return paired.select(
         "project_id",

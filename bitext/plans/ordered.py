@@ -23,39 +23,55 @@ def _chunked(df: DataFrame, position: str, chunk: int) -> DataFrame:
     return df.withColumn("_chunk", F.floor(F.col(position) / chunk))
 
 
-def running_total(
+def running_before(
     df: DataFrame,
     keys: Sequence[str],
     position: str,
-    value: Column,
-    out: str,
+    totals: dict[str, tuple[str, Column]],
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over the rows before this one, per key.
+    """Add running totals over the rows before each row, per key.
 
-    ``position`` is an integer, unique per key.  One shuffle of the rows on
-    (keys, chunk); the totals per chunk are combined on the map side.
+    ``totals`` maps a new column to ``("sum" | "max", value)``.  ``position`` is an
+    integer, unique per key.  One shuffle of the rows on (keys, chunk); what the
+    chunks carry to the next is combined on the map side.
     """
     keys = list(keys)
-    rows = _chunked(df.withColumn("_value", value.cast("long")), position, chunk)
+    combine = {"sum": F.sum, "max": F.max}
+    rows = _chunked(df, position, chunk)
+    for out, (_, value) in totals.items():
+        rows = rows.withColumn(f"_v_{out}", value)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(position).rowsBetween(
         Window.unboundedPreceding, -1
     )
     across = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    base = (
-        rows.groupBy(*keys, "_chunk")
-        .agg(F.sum("_value").alias("_total"))
-        .withColumn("_base", F.coalesce(F.sum("_total").over(across), F.lit(0)))
-        .drop("_total")
+    per_chunk = rows.groupBy(*keys, "_chunk").agg(
+        *[combine[kind](f"_v_{out}").alias(f"_t_{out}") for out, (kind, _) in totals.items()]
     )
-    return (
-        rows.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-        .join(base, [*keys, "_chunk"])
-        .withColumn(out, F.col("_inside") + F.col("_base"))
-        .drop("_value", "_chunk", "_inside", "_base")
+    carried = per_chunk.select(
+        *keys, "_chunk",
+        *[combine[kind](f"_t_{out}").over(across).alias(f"_c_{out}") for out, (kind, _) in totals.items()],
     )
+    joined = rows.select(
+        "*", *[combine[kind](f"_v_{out}").over(inside).alias(f"_i_{out}") for out, (kind, _) in totals.items()]
+    ).join(carried, [*keys, "_chunk"])
+
+    def both(out, kind):
+        i, c = F.col(f"_i_{out}"), F.col(f"_c_{out}")
+        if kind == "sum":
+            return F.coalesce(i, F.lit(0)) + F.coalesce(c, F.lit(0))
+        return F.greatest(i, c)  # greatest skips nulls
+
+    return joined.select(*df.columns, *[both(out, kind).alias(out) for out, (kind, _) in totals.items()])
+
+
+def running_total(
+    df: DataFrame, keys: Sequence[str], position: str, value: Column, out: str, chunk: int = CHUNK
+) -> DataFrame:
+    """Add ``out``: the integer sum of ``value`` over the rows before this one, per key."""
+    return running_before(df, keys, position, {out: ("sum", value.cast("long"))}, chunk)
 
 
 def previous(
@@ -101,15 +117,19 @@ def rank_within(
     order: Sequence[str],
     out: str,
     hot_rows: int = HOT_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add ``out``: the place (1, 2, …) of a row in its group, for any order columns.
 
     Groups that fit into a task take a plain window.  When the largest does not,
     the rows are cut by range of (keys, order), so that a hot group spreads over
     many tasks; the counts that cross the cuts are at most one row per cut.
+    ``largest`` saves the measurement where the size is known.
     """
     keys, order = list(keys), list(order)
-    if largest_group(df, keys) <= hot_rows:
+    if largest is None:
+        largest = largest_group(df, keys)
+    if largest <= hot_rows:
         return df.withColumn(
             out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
         )
@@ -141,3 +161,31 @@ def rank_within(
             (F.col("r._inside") + F.coalesce("c._base", F.lit(0))).cast("long").alias(out),
         )
     )
+
+
+def match_in_order(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    left_order: Sequence[str],
+    right_order: Sequence[str],
+    how: str = "inner",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Join the n-th row of ``left`` with the n-th row of ``right`` inside equal keys.
+
+    One map-side combined count of both sides tells how large the groups are.
+    """
+    keys = list(keys)
+    sizes = (
+        left.select(*keys, F.lit(1).alias("_l"), F.lit(0).alias("_r"))
+        .unionByName(right.select(*keys, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+        .groupBy(*keys)
+        .agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    )
+    largest = sizes.agg(F.max(F.greatest("_l", "_r")).alias("rows")).first()["rows"] or 0
+    ranked = [
+        rank_within(side, keys, order, "_n", hot_rows, largest)
+        for side, order in ((left, left_order), (right, right_order))
+    ]
+    return ranked[0].join(ranked[1], [*keys, "_n"], how).drop("_n")
