@@ -79,13 +79,17 @@ def footnote_top(items: DataFrame, space: DataFrame) -> DataFrame:
 def merge_ranges(ranges: DataFrame, keys: list[str]) -> DataFrame:
     """Islands of overlapping ``(start, end)`` ranges per key, with the gap before each."""
     low, high = F.least("start", "end"), F.greatest("start", "end")
+    before_row = Window.unboundedPreceding
     ordered = Window.partitionBy(*keys).orderBy("_lo", "_hi")
-    reach = F.max("_hi").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    reach = F.max("_hi").over(ordered.rowsBetween(before_row, -1))
     opens = F.when(F.col("_reach").isNull() | (F.col("_lo") > F.col("_reach")), 1).otherwise(0)
+    # Of equal ranges the one that opens an island comes first.
+    numbered = Window.partitionBy(*keys).orderBy("_lo", "_hi", F.desc("_opens"))
     islands = (
         ranges.select(*keys, low.alias("_lo"), high.alias("_hi"))
         .withColumn("_reach", reach)
-        .withColumn("island", F.sum(opens).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_opens", opens)
+        .withColumn("island", F.sum("_opens").over(numbered.rowsBetween(before_row, 0)))
         .groupBy(*keys, "island")
         .agg(F.min("_lo").alias("start"), F.max("_hi").alias("end"))
     )

@@ -94,9 +94,10 @@ def _(spark, folder):
 
 VIEWS["v_islands"] = """
 SELECT doc_id, page, island, min(y) AS start, max(y + height) AS end FROM (
-  SELECT *, sum(CASE WHEN reach IS NULL OR y > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY y, y + height ROWS UNBOUNDED PRECEDING) AS island
-  FROM (SELECT *, max(y + height) OVER (PARTITION BY doc_id, page ORDER BY y, y + height ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
-        FROM v_items)) GROUP BY ALL
+  SELECT *, sum(opens) OVER (PARTITION BY doc_id, page ORDER BY y, y + height, opens DESC ROWS UNBOUNDED PRECEDING) AS island
+  FROM (SELECT *, CASE WHEN reach IS NULL OR y > reach THEN 1 ELSE 0 END AS opens FROM (
+    SELECT *, max(y + height) OVER (PARTITION BY doc_id, page ORDER BY y, y + height ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+    FROM v_items))) GROUP BY ALL
 """
 
 
@@ -753,11 +754,15 @@ JOB_TYPE = {"signup": "started", "view": "progressed", "click": "progressed", "e
 
 
 def job_events(spark, folder) -> DataFrame:
+    return job_events_of(A.table(spark, folder, "events"))
+
+
+def job_events_of(events) -> DataFrame:
     chain = None
     for kind, name in JOB_TYPE.items():
         is_kind = F.col("event_type") == kind
         chain = F.when(is_kind, name) if chain is None else chain.when(is_kind, name)
-    return A.table(spark, folder, "events").select(
+    return events.select(
         F.lit("project").alias("project_id"), F.col("user_id").cast("string").alias("document_id"), F.col("event_id").alias("seq"),
         "ts", chain.alias("type"),
         F.struct(F.col("event_type").alias("stage"), F.col("event_id").alias("current")).alias("progress"),
@@ -819,12 +824,15 @@ FROM events
                FROM v_reads GROUP BY reader_id))""",
 )
 def _(spark, folder):
+    return J.debounced_sync(reads_of(A.table(spark, folder, "events"))).select("reader_id", "seq", "side")
+
+
+def reads_of(events) -> DataFrame:
     kind = F.col("event_type")
-    events = A.table(spark, folder, "events").select(
+    return events.select(
         F.col("user_id").alias("reader_id"), F.col("event_id").alias("seq"),
-        F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 60000).alias("at_ms"),
+        F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 60000).alias("at_ms"), "ts",
         F.when(kind == "error", "intent").otherwise("scroll").alias("kind"),
         F.when(kind.isin("view", "error"), "source").otherwise("translation").alias("side"),
         F.when(F.col("value") > 30, "smooth").otherwise("auto").alias("behavior"),
     )
-    return J.debounced_sync(events).select("reader_id", "seq", "side")
