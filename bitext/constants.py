@@ -8,10 +8,11 @@ right.  Nothing here is logic.  Patterns are written for Java's regex engine.
 # Character classes.  WS is the white space that collapses; WORD is ASCII.
 # --------------------------------------------------------------------------
 SPACES = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-WS = "[" + SPACES + "]"
+# The same characters by property: Java tests one property far faster than many ranges.
+WS = r"[\p{IsWhite_Space}\x{FEFF}&&[^\x{85}]]"
+NOT_WS = r"[\P{IsWhite_Space}\x{85}&&[^\x{FEFF}]]"
 # A run of white space other than one plain blank.
-WS_RUN = "[" + SPACES.replace(" ", "") + "]" + WS + "*| " + WS + "+"
-NOT_WS = "[^" + SPACES + "]"
+WS_RUN = "(?! " + NOT_WS + ")" + WS + "+"
 WORD_START = r"(?<![A-Za-z0-9_])"
 WORD_END = r"(?![A-Za-z0-9_])"
 
@@ -68,6 +69,8 @@ FIGURE_CAPTION = (
 TABLE_CAPTION = r"(?iu)^(?:table|tabla|tableau|tabelle)\s*(?:\d+|[ivxlcdm]+)?(?:[.:(\s—-]|\z)"
 EQUATION_LABEL = r"(?iu)^(?:equation|eq\.?|ecuaci[oó]n)\s*\(?\d+"
 EQUATION_DELIMITED = r"^(?:\$\$[\s\S]+\$\$|\\\[[\s\S]+\\\])\z"
+# A cheap range that holds every sign of EQUATION_RELATION.
+EQUATION_RELATION_RANGE = r"[=\x{2200}-\x{22FF}]"
 EQUATION_RELATION = r"[=≤≥≠≈∑∏∫√]"
 EQUATION_SIGNAL = r"[=≤≥≠≈∑∏∫√∞∂∆∇±×÷]|\p{L}\s*[_^]|[₀₁₂₃₄₅₆₇₈₉⁰¹²³⁴⁵⁶⁷⁸⁹]"
 EQUATION_WORD = r"\p{L}{3,}"

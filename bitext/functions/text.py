@@ -101,6 +101,7 @@ def is_table_caption(text: Column) -> Column:
 def is_display_equation(text: Column) -> Column:
     symbolic = (
         fits(text, K.EQUATION_MAX_CHARACTERS)
+        & matches(text, K.EQUATION_RELATION_RANGE)
         & matches(text, K.EQUATION_RELATION)
         & (count(text, K.EQUATION_SIGNAL) >= 2)
         & (count(text, K.EQUATION_WORD) <= K.EQUATION_MAX_WORDS)

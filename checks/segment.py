@@ -11,12 +11,12 @@ from bitext.plans.lineage import cut
 from bitext.plans.rows import unfold
 from checks import adapters as A
 from checks.register import registry
-from checks.sql import NL, VIEWS, collapse, count, lit, matches, re2, strip
+from checks.sql import NL, VIEWS, WS, collapse, count, lit, matches, re2, strip
 
 QUERIES, SQL, check = registry()
 
 # ------------------------------------------------------------------ SQL views
-COMPACT = f"regexp_replace(text, {lit(K.WS)}, '', 'g')"
+COMPACT = f"regexp_replace(text, {lit(WS)}, '', 'g')"
 USABLE = f"""(length({COMPACT}) >= 80 AND {count('text', K.USABLE_WORD)} >= 12
   AND CAST({count(COMPACT, chr(92) + 'p{L}')} AS DOUBLE) / length({COMPACT}) >= 0.45
   AND CAST({count('text', chr(92) + 'x{FFFD}')} AS DOUBLE) / length({COMPACT}) < 0.02)"""
@@ -31,7 +31,7 @@ def unwrap(x):
 
 def normalized(x):
     # A separator that no page holds: U+E000 between paragraphs.
-    paragraphs = f"string_split(regexp_replace({unwrap(x)}, {lit(chr(92) + 'n' + K.WS + '*' + chr(92) + 'n+')}, chr(57344), 'g'), chr(57344))"
+    paragraphs = f"string_split(regexp_replace({unwrap(x)}, {lit(chr(92) + 'n' + WS + '*' + chr(92) + 'n+')}, chr(57344), 'g'), chr(57344))"
     return (
         f"array_to_string(list_filter(list_transform({paragraphs}, lambda p: {collapse('p')}),"
         f" lambda p: p <> ''), {NL} || {NL})"
@@ -42,7 +42,7 @@ EQUATION = f"""({matches('x', K.EQUATION_LABEL)} OR {matches('x', K.EQUATION_DEL
   (length(x) <= 260 AND {matches('x', K.EQUATION_RELATION)} AND {count('x', K.EQUATION_SIGNAL)} >= 2
    AND {count('x', K.EQUATION_WORD)} <= 10))"""
 CAPTION = f"({matches('x', K.FIGURE_CAPTION)} OR {matches('x', K.TABLE_CAPTION)})"
-HEADING = f"""(length(x) <= 140 AND len(string_split_regex(x, {lit(K.WS + '+')})) <= 16
+HEADING = f"""(length(x) <= 140 AND len(string_split_regex(x, {lit(WS + '+')})) <= 16
   AND right(x, 1) NOT IN ('.', '!', '?', ';', ':') AND NOT {matches('x', K.HEADING_EXCLUDED)})"""
 
 

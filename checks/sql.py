@@ -7,6 +7,7 @@ import re
 from bitext import constants as K
 
 VIEWS: dict[str, str] = {}
+WS = "[" + K.SPACES + "]"
 
 
 def lit(value: str) -> str:
@@ -17,6 +18,7 @@ def re2(pattern: str, wide: bool = True) -> str:
     """A Java pattern as a quoted RE2 pattern; look-around other than word edges is refused."""
     p = K.wide_space(pattern) if wide else pattern
     p = p.replace("(?:(?<=\\.)(?=[A-Za-z0-9_])|(?<!\\.)(?![A-Za-z0-9_]))", r"\b")
+    p = p.replace(K.WS, WS)
     p = p.replace(K.WORD_START, r"\b").replace(K.WORD_END, r"\b")
     p = p.replace("(?iu)", "(?i)").replace("(?imu)", "(?im)").replace("IsGreek", "Greek")
     if "(?<" in p or "(?=" in p or "(?!" in p:
@@ -24,9 +26,6 @@ def re2(pattern: str, wide: bool = True) -> str:
     return lit(p)
 
 
-WS = K.WS
-
-
 def collapse(x: str) -> str:
     return f"trim(regexp_replace({x}, {lit(WS + '+')}, ' ', 'g'))"
 
