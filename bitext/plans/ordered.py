@@ -23,6 +23,15 @@ def _chunked(df: DataFrame, position: str, chunk: int) -> DataFrame:
     return df.withColumn("_chunk", F.floor(F.col(position) / chunk))
 
 
+def _with_carried(rows: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with what their chunk carries in; null keys are a key like any other."""
+    on = F.col("r._chunk") == F.col("c._chunk")
+    for key in keys:
+        on = on & F.col(f"r.{key}").eqNullSafe(F.col(f"c.{key}"))
+    extra = [F.col(f"c.{c}") for c in carried.columns if c not in (*keys, "_chunk")]
+    return rows.alias("r").join(carried.alias("c"), on).select("r.*", *extra)
+
+
 def running_before(
     df: DataFrame,
     keys: Sequence[str],
@@ -54,9 +63,13 @@ def running_before(
         *keys, "_chunk",
         *[combine[kind](f"_t_{out}").over(across).alias(f"_c_{out}") for out, (kind, _) in totals.items()],
     )
-    joined = rows.select(
-        "*", *[combine[kind](f"_v_{out}").over(inside).alias(f"_i_{out}") for out, (kind, _) in totals.items()]
-    ).join(carried, [*keys, "_chunk"])
+    joined = _with_carried(
+        rows.select(
+            "*", *[combine[kind](f"_v_{out}").over(inside).alias(f"_i_{out}") for out, (kind, _) in totals.items()]
+        ),
+        carried,
+        keys,
+    )
 
     def both(out, kind):
         i, c = F.col(f"_i_{out}"), F.col(f"_c_{out}")
@@ -96,9 +109,7 @@ def previous(
         .withColumn("_carry", F.lag("_tail").over(across))
         .drop("_tail")
     )
-    joined = rows.withColumn("_inside", F.lag(packed).over(inside)).join(
-        carried, [*keys, "_chunk"]
-    )
+    joined = _with_carried(rows.withColumn("_inside", F.lag(packed).over(inside)), carried, keys)
     found = F.coalesce("_inside", "_carry")
     for source, name in columns.items():
         joined = joined.withColumn(name, found[source])

@@ -6,11 +6,13 @@ cuts the lineage: a lost executor costs the tasks it ran, not the stages before.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bitext import constants as K
 from bitext.operators import align, inference, protect, review, segment
 from bitext.plans.lineage import cut
 
@@ -33,10 +35,6 @@ def prepare(pages: DataFrame) -> dict[str, DataFrame]:
 
 def keeps_math(asked: list[dict], answered: list[dict]) -> None:
     """Validation of an answer: math placeholders as they were; raises what a retry understands."""
-    import re
-
-    from bitext import constants as K
-
     texts = {s["segmentId"]: s["text"] for s in answered}
     for s in asked:
         if re.findall(K.MATH_PLACEHOLDER, s["text"]) != re.findall(K.MATH_PLACEHOLDER, texts.get(s["segmentId"], "")):

@@ -17,10 +17,10 @@ def unfold(df: DataFrame, array: str | Column, value: str, position: str | None
     return kept if position else kept.drop(place)
 
 
-def with_parallelism(df: DataFrame) -> DataFrame:
-    """Spread a table that arrives in fewer splits than there are cores.
+def with_parallelism(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Spread a table that arrives in fewer splits than there are cores, by its first column.
 
     Large tables have more splits than cores and pass through untouched.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key or df.columns[0]) if df.rdd.getNumPartitions() < cores else df

@@ -337,7 +337,7 @@ SELECT a.*, ns, nt, CASE WHEN ns <> len(source_ids) OR nt <> len(target_ids) THE
 FROM v_aligned a JOIN (SELECT doc_id, alignment_id, sum((side = 's')::INT)::BIGINT AS ns, sum((side = 't')::INT)::BIGINT AS nt FROM v_units GROUP BY ALL)
 USING (doc_id, alignment_id)
 """
-# Cut j is chosen step by step in the reference's definition; here from the recursion on the cut before.
+# Cuts by nearest running length, pushed on so that every group keeps a unit.
 VIEWS["v_prefix"] = """
 SELECT u.*, sum(greatest(size, 1)) OVER w AS upto, sum(greatest(size, 1)) OVER (PARTITION BY side, doc_id, alignment_id) AS total,
        count(*) OVER (PARTITION BY side, doc_id, alignment_id) AS units, k

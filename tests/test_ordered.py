@@ -7,7 +7,7 @@ from bitext.plans import ordered as O
 
 def skewed(spark, rows=400):
     rng = random.Random(1)
-    data = [("hot" if i % 3 else rng.choice("abc"), i, rng.randint(0, 9), f"n{rng.randint(0, 10**6):07d}") for i in range(rows)]
+    data = [("hot" if i % 3 else rng.choice(["a", "b", None]), i, rng.randint(0, 9), f"n{rng.randint(0, 10**6):07d}") for i in range(rows)]
     return data, spark.createDataFrame(data, "k string, at int, v int, name string").repartition(6)
 
 

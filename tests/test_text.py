@@ -5,8 +5,8 @@ from bitext.functions import paths as P
 from bitext.functions import text as T
 
 PROSE = (
-    "Political institutions shape incentives and constrain strategic behavior across democratic systems. "
-    "This paragraph contains enough coherent words to represent a usable native PDF text layer."
+    "Gauges along the river are read every morning, and the readings travel by wire to the town hall before noon. "
+    "Nobody remembers who decided on the hour, but the ledgers agree on it since the first page."
 )
 
 
@@ -63,8 +63,8 @@ def test_sentences_lose_nothing(spark):
 
 
 def test_sentence_groups_keep_abbreviations(spark):
-    first = ("Dr. Smith presented the first result in Washington, adding enough detail for this sentence to form its own group.")
-    second = ("The second result followed immediately and includes enough context to remain a separate synchronization group.")
+    first = "Dr. Smith read the gauge below the mill every morning for thirty years, and she never once wrote it down late."
+    second = "Her ledgers survive in the cellar of the town hall, where the ink has browned but every figure can still be read."
     assert apply(spark, T.sentence_groups, f"{first} {second}", "", "one") == [[first, second], [], ["one"]]
 
 
