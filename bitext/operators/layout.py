@@ -159,11 +159,11 @@ def line_texts(items: DataFrame) -> DataFrame:
 class _Page:
     """Geometry and text of one page."""
 
-    def __init__(self, frame: pd.DataFrame):
-        self.text = frame["text"].tolist()
-        self.x, self.y, self.w, self.h = (frame[c].to_numpy(float) for c in ("x", "y", "width", "height"))
-        self.index = frame["source_index"].to_numpy()
-        self.page_width, self.page_height = float(frame["page_width"].iloc[0]), float(frame["page_height"].iloc[0])
+    def __init__(self, columns: dict[str, np.ndarray]):
+        self.text = columns["text"].tolist()
+        self.x, self.y, self.w, self.h = (columns[c] for c in ("x", "y", "width", "height"))
+        self.index = columns["source_index"]
+        self.page_width, self.page_height = float(columns["page_width"][0]), float(columns["page_height"][0])
         self.middle_x, self.middle_y = self.x + self.w / 2, self.y + self.h / 2
         self.size = np.maximum(self.h, 1.0)
 
@@ -210,28 +210,31 @@ def _regions(page: _Page, ids: np.ndarray) -> Iterator[np.ndarray]:
 def _gather_lines(page: _Page, ids: np.ndarray) -> list[dict]:
     """Lines of a region: items from top to bottom, each to the line it sits on."""
     lines: list[dict] = []
-    order = np.lexsort((page.index[ids], page.x[ids], -page.y[ids]))
-    for i in ids[order]:
-        y, h, top = page.y[i], page.h[i], page.y[i] + page.size[i]
+    order = ids[np.lexsort((page.index[ids], page.x[ids], -page.y[ids]))]
+    # Plain floats: this loop meets every line of the region for every item.
+    overlap, slack, share, tall = L["line_overlap"], L["line_distance"], L["line_distance_height"], L["tall"]
+    for i, y, h, size in zip(order.tolist(), page.y[order].tolist(), page.h[order].tolist(), page.size[order].tolist()):
+        top = y + size
         near = []
         for line in lines:
-            span = min(h, line["high"] - line["low"])
-            shared = min(line["high"], top) - max(line["low"], y)
+            low, high = line["low"], line["high"]
+            span = high - low if high - low < h else h
             away = abs(line["base"] - y)
-            if shared >= L["line_overlap"] * span or away <= max(L["line_distance"], L["line_distance_height"] * span):
+            shared = (high if high < top else top) - (low if low > y else y)
+            if shared >= overlap * span or away <= slack or away <= share * span:
                 near.append((away, line))
         if not near:
             lines.append({"items": [i], "low": y, "high": top, "base": y, "ref": h})
             continue
-        if any(h > L["tall"] * line["ref"] for _, line in near):
+        if any(h > tall * line["ref"] for _, line in near):
             line = max(near, key=lambda n: n[1]["base"])[1]
         else:
             line = min(near, key=lambda n: n[0])[1]
         line["items"].append(i)
-        if h <= L["tall"] * line["ref"]:
+        if h <= tall * line["ref"]:
             line["low"], line["high"] = min(line["low"], y), max(line["high"], top)
             heights = page.h[line["items"]]
-            usual = (heights >= L["short"] * line["ref"]) & (heights <= L["tall"] * line["ref"])
+            usual = (heights >= L["short"] * line["ref"]) & (heights <= tall * line["ref"])
             if usual.any():
                 line["base"] = float(np.median(page.y[line["items"]][usual]))
                 line["ref"] = float(np.median(heights[usual]))
@@ -296,25 +299,27 @@ def _page_text(page: _Page) -> str:
     return "\n\n".join(texts).strip()
 
 
-def _pages_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole pages from batches sorted by page; a page may lie across batches."""
+def _pages_of(frames: Iterator[pd.DataFrame]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of whole pages from batches sorted by page; a page may lie across batches."""
     rest = None
     for frame in frames:
-        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-        keys = frame[PAGE].to_numpy()
-        starts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        columns = {c: frame[c].to_numpy() for c in frame.columns}
+        if rest is not None:
+            columns = {c: np.concatenate([rest[c], values]) for c, values in columns.items()}
+        doc, number = columns["doc_id"], columns["page"]
+        starts = np.flatnonzero((doc[1:] != doc[:-1]) | (number[1:] != number[:-1])) + 1
         edges = [0, *starts.tolist()]
         for a, b in zip(edges, edges[1:]):
-            yield frame.iloc[a:b]
-        rest = frame.iloc[edges[-1]:]
-    if rest is not None and len(rest):
+            yield {c: values[a:b] for c, values in columns.items()}
+        rest = {c: values[edges[-1]:] for c, values in columns.items()}
+    if rest is not None and len(rest["page"]):
         yield rest
 
 
 def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows = []
-    for frame in _pages_of(frames):
-        rows.append((frame["doc_id"].iloc[0], frame["page"].iloc[0], _page_text(_Page(frame))))
+    for columns in _pages_of(frame for frame in frames if len(frame)):
+        rows.append((columns["doc_id"][0], columns["page"][0], _page_text(_Page(columns))))
         if len(rows) == 1000:
             yield pd.DataFrame(rows, columns=[*PAGE, "text"])
             rows = []

@@ -20,7 +20,8 @@ HOT_ROWS = 4_000_000
 
 
 def _chunked(df: DataFrame, position: str, chunk: int) -> DataFrame:
-    return df.withColumn("_chunk", F.floor(F.col(position) / chunk))
+    at = F.col(position).cast("long")
+    return df.withColumn("_chunk", at - F.pmod(at, F.lit(chunk)))
 
 
 def _with_carried(rows: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:

@@ -37,8 +37,7 @@ FROM (SELECT doc_id, i, substr(text, i * 60 + 1, 60) AS t
 
 def text_items(spark, folder) -> DataFrame:
     text = F.replace("text", F.lit("\n"), F.lit(" "))
-    rows = F.sequence(F.lit(0), F.ceil(F.length("text") / 60).cast("int") - 1)
-    cut_up = F.transform(rows, lambda i: F.substr(F.col("_t"), i * 60 + 1, F.lit(60)))
+    cut_up = T.tokens(F.col("_t"), r"[\s\S]{1,60}")
     lined = unfold(
         A.texts(spark, folder, "documents").where(F.length("text") > 0).select("doc_id", "text").withColumn("_t", text).withColumn("_parts", cut_up),
         "_parts", "_part", "_i",
