@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitext.llm import common, mixing
+from bitext.llm import common, forest, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,3 +84,10 @@ copied AS (
 SELECT doc_id, size, source_size, target, CAST(n_copies * size AS BIGINT) AS taken, CAST(n_copies AS INTEGER) AS copies, quality_weight
 FROM copied
 """
+
+
+@query
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    judged = forest.judge(docs, forest.fit_forest(docs, table(spark, folder, "labels")))
+    return judged.drop("text")
