@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitext.llm import common, forest, jaccard, mixing
+from bitext.llm import common, forest, jaccard, mixing, packing, shards, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -116,3 +116,38 @@ degree AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
 SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(g.n_links, 0) AS BIGINT) AS n_links, l.component_id
 FROM documents d JOIN least l ON l.x = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN degree g ON g.x = d.doc_id
 """
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+@query
+def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = common.new_folder(spark, "token-files")
+    token_files.write_tokens(table(spark, folder, "documents"), path, tokenizer())
+    return token_files.read_tokens(spark, path, digest=True)
+
+
+@query
+def op3_shards(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = table(spark, folder, "documents").select(
+        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.unhex(F.sha2(text.cast("binary"), 256)).alias("same_text"),
+    )
+    found = shards.shard_groups(docs, F.col("same_text"), F.col("size"), shards=24)
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, folder, "documents"), tokenizer(), capacity=2048, with_ids=False)
+    return packing.pack(common.staged(pieces, "pieces"), capacity=2048)
