@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitext.llm import common, forest, jaccard, mixing, packing, shards, token_files
+from bitext.llm import common, forest, jaccard, mixing, packing, parsing, shards, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -151,3 +151,8 @@ def op3_shards(spark: SparkSession, folder: str) -> DataFrame:
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, folder, "documents"), tokenizer(), capacity=2048, with_ids=False)
     return packing.pack(common.staged(pieces, "pieces"), capacity=2048)
+
+
+@query
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return parsing.edited_pairs(table(spark, folder, "documents"))
