@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitext.llm import common, forest, jaccard, mixing, packing, parsing, shards, token_files
+from bitext.llm import chat, common, ctw, forest, jaccard, licences, mixing, packing, parsing, shards, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -156,3 +156,66 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return parsing.edited_pairs(table(spark, folder, "documents"))
+
+
+@query
+def op4_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return ctw.score_texts(table(spark, folder, "documents"))
+
+
+@query
+def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.format_chats(table(spark, folder, "conversations"))
+
+
+SQL["op2_chat"] = r"""
+WITH numbered AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos,
+         coalesce('r' || length(role) || role, 'n') || coalesce('t' || length(text) || text, 'n') AS said FROM conversations),
+prefixes AS (
+  SELECT conv_id, pos + 1 AS n, string_agg(said, '|') OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS prefix,
+         count(*) OVER (PARTITION BY conv_id) AS n_turns FROM numbered),
+whole AS (SELECT min(conv_id) AS conv_id, n_turns, prefix, count(*) AS snapshots FROM prefixes WHERE n = n_turns GROUP BY n_turns, prefix),
+kept AS (SELECT * FROM whole w WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.n < p.n_turns AND p.n = w.n_turns AND p.prefix = w.prefix))
+SELECT k.conv_id, CAST(n.pos // 1024 AS INTEGER) AS piece, CAST(k.n_turns AS BIGINT) AS n_turns, k.snapshots,
+       string_agg('<|im_start|>' || coalesce(n.role, '') || chr(10) || coalesce(n.text, '') || '<|im_end|>' || chr(10), '' ORDER BY n.pos) AS text
+FROM kept k JOIN numbered n ON n.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY k.conv_id, n.pos // 1024, k.n_turns, k.snapshots
+"""
+
+
+@query
+def op8_licences(spark: SparkSession, folder: str) -> DataFrame:
+    found = licences.scan(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+    return found.withColumns({c: F.array_join(c, ",") for c in ("licence_sentences", "licences")})
+
+
+def _licence_sql() -> str:
+    """The scan in SQL, over the same fixed sentences and rules."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    table_ = ", ".join(f"({quote(s)}, {quote(n)})" for s, n in licences.known_sentences().items())
+    steps, left = [], "said"
+    for k, (_, sequence) in enumerate(licences.RULES):
+        pattern = quote("".join(f"<{s}>" for s in sequence))
+        steps.append(f"r{k} AS (SELECT *, contains(left{k}, {pattern}) AS hit{k}, replace(left{k}, {pattern}, '') AS left{k + 1} FROM {left})")
+        left = f"r{k}"
+    names = ", ".join(f"CASE WHEN hit{k} THEN {quote(name)} END" for k, (name, _) in enumerate(licences.RULES))
+    return rf"""
+WITH known(sentence, name) AS (VALUES {table_}),
+cut AS (
+  SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t]+', '\1' || chr(10), 'g'), chr(10))) AS raw,
+         unnest(range(1, 1 + len(string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t]+', '\1' || chr(10), 'g'), chr(10))))) AS place
+  FROM documents),
+clean AS (SELECT doc_id, place, trim(regexp_replace(regexp_replace(lower(raw), '[^a-z0-9.]+', ' ', 'g'), '\.+( |$)', '\1', 'g')) AS sentence FROM cut),
+told AS (SELECT c.doc_id, string_agg(k.name, ',' ORDER BY c.place) AS names, string_agg('<' || k.name || '>', '' ORDER BY c.place) AS tags
+         FROM clean c JOIN known k ON k.sentence = c.sentence GROUP BY c.doc_id),
+said AS (SELECT d.doc_id, coalesce(t.names, '') AS names, coalesce(t.tags, '') AS left0 FROM documents d LEFT JOIN told t ON t.doc_id = d.doc_id),
+{", ".join(steps)},
+listed AS (SELECT *, list_filter([{names}], lambda x: x IS NOT NULL) AS hits FROM {left})
+SELECT doc_id, names AS licence_sentences,
+       coalesce(array_to_string(list_filter(hits, lambda x, i: NOT list_contains(hits[1:i-1], x)), ','), '') AS licences,
+       hits[1] AS licence, CAST(length(regexp_replace(left{len(licences.RULES)}, '[^<]', '', 'g')) AS INTEGER) AS unmatched_sentences
+FROM listed
+"""
+
+
+SQL["op8_licences"] = _licence_sql()
