@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 from bitext.llm.common import LOWER, UPPER, same, staged, text_blocks
 
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 6 << 20  # words of a block are held as objects, ten times its size
 TILE = 1 << 17  # shingles of a side of a tile, plus 64 per text
 COLUMNS = 4096  # shingles multiplied at once
 FILTER_BITS = 1 << 22
+REMEMBER = 250_000  # word hashes a worker keeps
 
 _word_hashes: dict[bytes, int] = {}
 
@@ -48,7 +49,7 @@ def class_of(words: list[bytes]) -> int:
 
 def shingle_sets(texts: list[list[bytes]], width: int) -> list[np.ndarray]:
     """For each word list its distinct shingles as sorted 64-bit hashes; a shorter list is one shingle, an empty one none."""
-    if len(_word_hashes) > 1_000_000:
+    if len(_word_hashes) > REMEMBER:
         _word_hashes.clear()
     known, name = _word_hashes, xxhash.xxh3_64_intdigest
     for words in texts:
