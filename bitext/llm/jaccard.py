@@ -100,9 +100,10 @@ def _repeated(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         for some, words in _blocks(batches):
             sets = shingle_sets(words, width)
             names = [class_of(w) if w else None for w in words]
-            ids = some["id"].tolist()
+            # Without nulls inside: a column of integers with nulls would go through doubles.
             rows = [
-                {"id": None if pd.isna(i) else int(i), "cls": c, "n": len(s)} for i, c, s in zip(ids, names, sets, strict=True)
+                {"id": i, "known": k, "cls": c or 0, "n": len(s)}
+                for i, k, c, s in zip(some["id"].tolist(), some["known"].tolist(), names, sets, strict=True)
             ]
             yield pd.DataFrame({"bucket": [-1 - block % buckets], "block": [block], "lows": [b""], "counts": [b""], "docs": [rows]})
             # A class once per block: copies do not make a shingle common.
@@ -119,7 +120,7 @@ def _repeated(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                 yield pd.DataFrame({
                     "bucket": filled, "block": block,
                     "lows": [flat[p].astype("<u4").tobytes() for p in parts],
-                    "counts": [np.bincount(owner[p], minlength=len(ids)).astype("<u2" if max(map(len, sets)) < 65536 else "<u4").tobytes() for p in parts],
+                    "counts": [np.bincount(owner[p], minlength=len(rows)).astype("<u2" if max(map(len, sets)) < 65536 else "<u4").tobytes() for p in parts],
                     "docs": [None] * len(filled),
                 })
             block += 1
@@ -146,10 +147,10 @@ def _repeated(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         return pd.DataFrame(out, columns=["block", "docs", "owner", "keys", "counts"])
 
     sent = docs.mapInPandas(
-        scatter, "bucket long, block long, lows binary, counts binary, docs array<struct<id: long, cls: long, n: int>>"
+        scatter, "bucket long, block long, lows binary, counts binary, docs array<struct<id: long, known: boolean, cls: long, n: int>>"
     )
     return sent.groupBy("bucket").applyInPandas(
-        gather, "block long, docs array<struct<id: long, cls: long, n: int>>, owner binary, keys binary, counts binary"
+        gather, "block long, docs array<struct<id: long, known: boolean, cls: long, n: int>>, owner binary, keys binary, counts binary"
     )
 
 
@@ -300,10 +301,13 @@ def link_similar(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     columns play no part.  Shingles are compared by 64-bit hashes.  An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    number = F.col(id).cast("long")
+    docs = docs.select(F.coalesce(number, F.lit(0)).alias("id"), number.isNotNull().alias("known"), F.col(text).alias("text"))
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     repeated = staged(_repeated(docs, width, buckets), "repeated")
-    rows = repeated.where("docs IS NOT NULL").select(F.explode("docs").alias("d")).select("d.*")
+    rows = repeated.where("docs IS NOT NULL").select(F.explode("docs").alias("d")).selectExpr(
+        "if(d.known, d.id, NULL) AS id", "if(d.n > 0, d.cls, NULL) AS cls", "d.n AS n"
+    )
     classes = (
         rows.where("cls IS NOT NULL").groupBy("cls")
         .agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))

@@ -30,8 +30,8 @@ SENTENCES = {
     "apache_basis": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
     "gpl3_release": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3.", "Released under the GNU General Public License, version 3."],
     "gpl2_release": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License, version 2.", "Released under the GNU General Public License, version 2."],
-    "gpl_free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "gpl2_free": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."],
+    "gpl_free": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "gpl2_free": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."],
     "gpl_hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"],
     "gpl_merchant": ["without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
     "bsd_redistribute": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
@@ -70,7 +70,7 @@ RULES = [
 ]
 
 #: Every known sentence has one of these, so that a text without any has no licence sentence.
-MARKERS = "licen[sc]|copyright|permission|warrant|redistribut"
+MARKERS = "licen[sc]|copyright|permission|warrant|redistribut|cc0"
 
 
 def normalised(sentence: str) -> str:

@@ -34,8 +34,10 @@ def fit_counts(histogram: np.ndarray, parts: tuple[np.ndarray, np.ndarray, np.nd
     """How often to use each pattern: least squares against the histogram, no count below 0.
 
     Projected gradient steps with momentum.  ``histogram[l]`` counts pieces of length l; its entry 0 is ignored.
+    A miss weighs as the square of the length: short pieces left over find a gap, long ones need a sequence.
     """
     size = len(histogram)
+    weight = (np.arange(size) / (size - 1)) ** 2
     wanted = histogram.astype(float).copy()
     wanted[0] = 0
 
@@ -45,6 +47,7 @@ def fit_counts(histogram: np.ndarray, parts: tuple[np.ndarray, np.ndarray, np.nd
         return total
 
     def slope(miss: np.ndarray) -> np.ndarray:
+        miss = miss * weight
         return sum(miss[p] for p in parts)
 
     # The largest eigenvalue of the normal matrix, by power steps.
@@ -199,9 +202,10 @@ def token_pieces(
                 yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
     kind = dict(docs.dtypes)[id]
-    types = f"id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    found = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInPandas(cut, types)
-    return found.withColumnRenamed("id", id)
+    types = f"id string, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
+    # Identifiers travel as text: integers with nulls would become doubles.
+    found = docs.select(F.col(id).cast("string").alias("id"), F.col(text).alias("text")).mapInPandas(cut, types)
+    return found.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id)
 
 
 def sequences(packed: DataFrame, ids: str = "ids") -> DataFrame:

@@ -201,13 +201,14 @@ def edited_pairs(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
                     edited.append(texts[k][: len(texts[k]) - half] + texts[k + 1][:half])
                 changed = sketches(edited)
                 yield pd.DataFrame({
-                    "id": rows["id"].astype("Int64").iloc[use].to_numpy(dtype=object, na_value=None),
+                    "id": rows["id"].iloc[use].to_numpy(),
                     "n_chars": [len(texts[k]) for k in use],
                     "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited],
                     "fingerprint": to_text(own[use]), "edited_fingerprint": to_text(changed),
                     "near_edited": likeness(own[use], changed), "near_next": likeness(own[use], own[use + 1]),
                 })
 
-    return dealt.select("id", "text", "guest").mapInPandas(
-        mark, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    ).withColumnRenamed("id", id)
+    # Identifiers travel as text: integers with nulls would become doubles.
+    return dealt.select(F.col("id").cast("string").alias("id"), "text", "guest").mapInPandas(
+        mark, "id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    ).withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id)

@@ -84,6 +84,8 @@ def write_tokens(
     # Equal rows may fill many partitions: their place in the input breaks the tie.
     keys = ["id", F.xxhash64("text"), F.monotonically_increasing_id()]
     ordered = rows.repartitionByRange(*keys).sortWithinPartitions("id", F.xxhash64("text"))
+    # Integers with nulls would become doubles.
+    ordered = ordered.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNotNull().alias("known"), "text")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, folder = open_path(path)
@@ -98,8 +100,7 @@ def write_tokens(
                     out = system.open_output_stream(f"{folder}/{name}")
                     at = out.write(MAGIC + hashlib.sha256(dictionary).digest() + struct.pack("<B", width))
                 entries = np.zeros(len(some), dtype=ENTRY)
-                entries["known"] = some["id"].notna()
-                entries["id"] = some["id"].fillna(0).astype("int64")
+                entries["known"], entries["id"] = some["known"], some["id"]
                 for k, raw in enumerate(encoder.encode(some["text"].tolist())):
                     ids = np.frombuffer(raw + end, "<u4")
                     entries["offset"][k], entries["tokens"][k] = at, len(ids)
