@@ -102,17 +102,17 @@ REFERENCE = (
     r"(?iu)https?://[^\s)]+|" + WORD_START + r"doi:\s*[^\s]+|"
     + WORD_START + r"[A-Za-z0-9_][A-Za-z0-9_.+-]*@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}" + WORD_END
 )
-MATH_PLACEHOLDER = r"⟦MATH_(?:INLINE|DISPLAY)_\d{5}⟧"
+MATH_PLACEHOLDER = r"⟦MATH_(?:INLINE|DISPLAY)_\d{5,}⟧"
 MATH_INLINE_FORMAT = "⟦MATH_INLINE_%05d⟧"
 MATH_DISPLAY_FORMAT = "⟦MATH_DISPLAY_%05d⟧"
 MATH_ID = "math_%05d"
 NUMBER_FORMAT = "[[NUMBER_%05d]]"
 REFERENCE_FORMAT = "[[REFERENCE_%05d]]"
 EXISTING_MARKER = (
-    r"⟦(?:MATH_(?:INLINE|DISPLAY)|(?:NUMBER|REFERENCE))_\d{5}⟧"
-    r"|\[\[(?:MATH_(?:INLINE|DISPLAY)|(?:NUMBER|REFERENCE))_\d{5}\]\]"
+    r"⟦(?:MATH_(?:INLINE|DISPLAY)|(?:NUMBER|REFERENCE))_\d{5,}⟧"
+    r"|\[\[(?:MATH_(?:INLINE|DISPLAY)|(?:NUMBER|REFERENCE))_\d{5,}\]\]"
 )
-STABLE_PLACEHOLDER = r"(?:⟦|\[\[|\[)?((?:NUMBER|REFERENCE)_\d{5})(?:⟧|\]\]|\])?"
+STABLE_PLACEHOLDER = r"(?:⟦|\[\[|\[)?((?:NUMBER|REFERENCE)_\d{5,})(?:⟧|\]\]|\])?"
 STABLE_VALUE = (
     r"https?://[^\s)\]}]+|" + WORD_START + r"doi:\s*[^\s]+|"
     + WORD_START + r"10\.\d{4,9}/[._;()/:A-Z0-9-]+|"

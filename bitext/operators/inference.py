@@ -35,6 +35,24 @@ def request_payload(batched: DataFrame) -> DataFrame:
     )
 
 
+def review_payload(batched: DataFrame, base: DataFrame) -> DataFrame:
+    """``(doc_id, batch_id, payload)`` for a reviewer: source and base text of each batch's segments, in order.
+
+    ``batched`` as for ``request_payload``; ``base`` has doc_id, segment_id and the base translation as text.
+    """
+    joined = batched.join(
+        base.select("doc_id", "segment_id", F.col("text").alias("base_text")), ["doc_id", "segment_id"]
+    )
+    items = F.array_sort(F.collect_list(F.struct("ordinal", "segment_id", "text", "base_text")))
+    return joined.groupBy(*BATCH_KEY).agg(
+        F.to_json(
+            F.transform(items, lambda s: F.struct(
+                s["segment_id"].alias("segmentId"), s["text"].alias("sourceText"), s["base_text"].alias("baseText")
+            ))
+        ).alias("payload")
+    )
+
+
 def batch_admission(batched: DataFrame, task: str = "translate") -> DataFrame:
     """Per batch: sizes, and whether the service takes it.
 
@@ -65,6 +83,24 @@ def batch_admission(batched: DataFrame, task: str = "translate") -> DataFrame:
 # --------------------------------------------------------------------- calls
 
 
+def checked_answer(asked: list[dict], answered: list[dict]) -> list[dict]:
+    """The answered segments under the identifiers asked for, in their order; raises what a retry understands.
+
+    By identifier where exactly those asked for came back, else by position; an answer with another number of
+    segments, or with a blank text, is refused.
+    """
+    if len(answered) != len(asked):
+        raise ValueError(f"{len(asked)} segments were sent and {len(answered)} came back: not every segment identifier is there.")
+    names = [s["segmentId"] for s in asked]
+    texts = {s.get("segmentId"): s.get("text") for s in answered}
+    if texts.keys() != set(names):
+        texts = dict(zip(names, (s.get("text") for s in answered), strict=True))
+    for name in names:
+        if not (texts[name] or "").strip():
+            raise ValueError(f"Segment {name} came back as an empty translation.")
+    return [{"segmentId": name, "text": texts[name]} for name in names]
+
+
 def _failure_kind(error: Exception) -> str | None:
     detail = str(error)
     if re.search(K.OUTPUT_FAILURE.replace("(?iu)", "(?i)"), detail):
@@ -87,7 +123,8 @@ def call_with_recovery(
     """One batch through ``call``: halved on bad output, retried on a failing server.
 
     ``call`` returns ``segments`` and optional ``elapsed_ms``,
-    ``prompt_token_count`` and ``output_token_count``.  The answer carries the
+    ``prompt_token_count`` and ``output_token_count``.  Every answer has to hold what
+    ``checked_answer`` and ``validate`` ask for.  The result carries the
     segments that worked, in order, and the error that stopped the batch, if any.
     """
     total = {"segments": [], "elapsed_ms": None, "prompt_token_count": None,
@@ -98,8 +135,9 @@ def call_with_recovery(
         total["calls"] += 1
         try:
             answer = call(items)
+            segments = checked_answer(items, answer["segments"])
             if validate:
-                validate(items, answer["segments"])
+                validate(items, segments)
         except Exception as error:  # noqa: BLE001
             kind = _failure_kind(error)
             halve = kind == "output" and len(items) > 1
@@ -115,7 +153,7 @@ def call_with_recovery(
                 pause(min(K.RETRY_STEP_MS * (failed + 1), K.RETRY_CEILING_MS) / 1000)
             work.append((items, failed + 1))
             continue
-        total["segments"] += answer["segments"]
+        total["segments"] += segments
         for counter in ("elapsed_ms", "prompt_token_count", "output_token_count"):
             total[counter] = _add(total[counter], answer.get(counter))
     return total

@@ -53,29 +53,6 @@ def page_heights(items: DataFrame) -> DataFrame:
     )
 
 
-def footnote_top(items: DataFrame, space: DataFrame) -> DataFrame:
-    """Top of the notes of each page, null without notes.
-
-    Notes are small text low on the page, one item of which opens with a label.
-    """
-    typical = page_heights(items).select(*PAGE, "typical_height")
-    low = (F.col("y") + F.col("height") / 2 <= F.col("_page") * L["note_band"]) & (
-        F.col("height") <= F.col("typical_height") * L["note_height"]
-    )
-    labelled = T.matches(T.trim(F.col("text")), K.NOTE_LABEL)
-    return (
-        items.join(typical, PAGE)
-        .join(space.select(*PAGE, F.col("height").alias("_page")), PAGE)
-        .groupBy(*PAGE)
-        .agg(
-            F.max(F.when(low, F.col("y") + F.col("height"))).alias("_top"),
-            F.coalesce(F.bool_or(low & labelled), F.lit(False)).alias("_noted"),
-            F.first("typical_height").alias("_typical"),
-        )
-        .select(*PAGE, F.when(F.col("_noted"), F.col("_top") + F.col("_typical") * L["note_margin"]).alias("footnote_top"))
-    )
-
-
 def merge_ranges(ranges: DataFrame, keys: list[str]) -> DataFrame:
     """Islands of overlapping ``(start, end)`` ranges per key, with the gap before each."""
     low, high = F.least("start", "end"), F.greatest("start", "end")
@@ -278,21 +255,24 @@ def _region_text(page: _Page, ids: np.ndarray) -> str:
     return "\n\n".join(_render(page, run) for run in np.split(ordered, np.flatnonzero(jumps) + 1))
 
 
-def _page_text(page: _Page) -> str:
-    everything = np.arange(len(page.text))
+def _note_top(page: _Page) -> float | None:
+    """Top of a page's notes: small text low on the page, an item or a line of which opens with a label."""
     ordered = np.sort(page.size)
     typical = ordered[int(np.ceil((len(ordered) - 1) * L["note_quantile"]))]
-    small = everything[
-        (page.middle_y <= L["note_band"] * page.page_height) & (page.h <= L["note_height"] * typical)
-    ]
+    small = np.flatnonzero((page.middle_y <= L["note_band"] * page.page_height) & (page.h <= L["note_height"] * typical))
     label = re.compile(K.NOTE_LABEL.replace(r"\z", r"\Z"))
-    bands = [everything]
     if len(small) and (
         any(label.match(page.text[i].strip()) for i in small)
         or any(label.match(line) for line in _render(page, small).split("\n"))
     ):
-        top = (page.y[small] + page.h[small]).max() + L["note_margin"] * typical
-        bands = [everything[page.middle_y > top], everything[page.middle_y <= top]]
+        return float((page.y[small] + page.h[small]).max() + L["note_margin"] * typical)
+    return None
+
+
+def _page_text(page: _Page) -> str:
+    everything = np.arange(len(page.text))
+    top = _note_top(page)
+    bands = [everything] if top is None else [everything[page.middle_y > top], everything[page.middle_y <= top]]
     texts = ["\n\n".join(_region_text(page, r) for r in _regions(page, band)) for band in bands if len(band)]
     if len(bands) == 2:
         texts.insert(len(texts) - 1, K.FOOTNOTE_BOUNDARY)
@@ -316,28 +296,49 @@ def _pages_of(frames: Iterator[pd.DataFrame]) -> Iterator[dict[str, np.ndarray]]
         yield rest
 
 
-def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = []
-    for columns in _pages_of(frame for frame in frames if len(frame)):
-        rows.append((columns["doc_id"][0], columns["page"][0], _page_text(_Page(columns))))
-        if len(rows) == 1000:
-            yield pd.DataFrame(rows, columns=[*PAGE, "text"])
-            rows = []
-    if rows:
-        yield pd.DataFrame(rows, columns=[*PAGE, "text"])
+def _per_page(read, name: str):
+    """A function for ``mapInPandas`` that makes one row of every page."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
+        for columns in _pages_of(frame for frame in frames if len(frame)):
+            rows.append((columns["doc_id"][0], columns["page"][0], read(_Page(columns))))
+            if len(rows) == 1000:
+                yield pd.DataFrame(rows, columns=[*PAGE, name])
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=[*PAGE, name])
 
-def reading_order(items: DataFrame, space: DataFrame) -> DataFrame:
-    """``(doc_id, page, text)``: the items of every page as text in reading order.
+    return run
 
-    Regions are separated by blank lines; notes follow the boundary marker.
-    """
-    sized = clean_text_items(items).join(
+
+def _sorted_pages(items: DataFrame, space: DataFrame) -> DataFrame:
+    """Items with the size of their page, whole pages together and in order."""
+    sized = items.join(
         space.select(*PAGE, F.col("width").alias("page_width"), F.col("height").alias("page_height")), PAGE
     )
     return (
         sized.select(*PAGE, "text", "x", "y", "width", "height", "source_index", "page_width", "page_height")
         .repartition(*PAGE)
         .sortWithinPartitions(*PAGE, "source_index")
-        .mapInPandas(_read, "doc_id long, page int, text string")
+    )
+
+
+def footnote_top(items: DataFrame, space: DataFrame) -> DataFrame:
+    """Top of the notes of each page, null without notes.
+
+    Notes are small text low on the page, an item or a line of which opens with a label.
+    """
+    return _sorted_pages(items, space).mapInPandas(
+        _per_page(_note_top, "footnote_top"), "doc_id long, page int, footnote_top double"
+    )
+
+
+def reading_order(items: DataFrame, space: DataFrame) -> DataFrame:
+    """``(doc_id, page, text)``: the items of every page as text in reading order.
+
+    Regions are separated by blank lines; notes follow the boundary marker.
+    """
+    return _sorted_pages(clean_text_items(items), space).mapInPandas(
+        _per_page(_page_text, "text"), "doc_id long, page int, text string"
     )

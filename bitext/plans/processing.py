@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitext import constants as K
-from bitext.operators import align, inference, protect, review, segment
+from bitext.operators import align, inference, protect, segment
+from bitext.operators import review as review_choice
 from bitext.plans.lineage import cut
 
 
@@ -29,6 +30,7 @@ def prepare(pages: DataFrame) -> dict[str, DataFrame]:
         "protected": safe,
         "math_objects": protect.math_objects(with_math),
         "tokens": protect.stable_tokens(safe),
+        "batched": batched,
         "requests": inference.request_payload(batched),
     }
 
@@ -41,37 +43,85 @@ def keeps_math(asked: list[dict], answered: list[dict]) -> None:
             raise ValueError(f"A math placeholder changed in segment {s['segmentId']}.")
 
 
+def keeps_marks(asked: list[dict], answered: list[dict]) -> None:
+    """Validation of a review: math, number and reference placeholders as in the base text."""
+    stable = re.compile(K.STABLE_PLACEHOLDER)
+    for s, new in zip(asked, answered, strict=True):
+        if re.findall(K.MATH_PLACEHOLDER, s["baseText"]) != re.findall(K.MATH_PLACEHOLDER, new["text"]):
+            raise ValueError(f"The review changed a math placeholder of segment {s['segmentId']}.")
+        if stable.findall(s["baseText"]) != stable.findall(new["text"]):
+            raise ValueError(f"The review changed a protected marker of segment {s['segmentId']}.")
+
+
+def gate(source: DataFrame, base: DataFrame) -> DataFrame:
+    """``(doc_id, detail)`` of documents that must not be published, a row per reason.
+
+    Every segment has to be translated, none may be blank or unknown, and math placeholders have to be as they were.
+    """
+    counts = protect.translation_completeness(source, base).where(~F.col("complete"))
+    incomplete = counts.select("doc_id", F.format_string(
+        "Incomplete: %d segments missing, %d blank, %d unexpected.", "missing", "blank", "unexpected"
+    ).alias("detail"))
+    changed = protect.math_integrity(source, base).groupBy("doc_id").agg(
+        F.format_string("Math placeholders changed, first in segment %s.", F.min("segment_id")).alias("detail")
+    )
+    return incomplete.unionByName(changed)
+
+
+def review(
+    batched: DataFrame, base: DataFrame, make_reviewer: Callable[[], Callable[[list[dict]], dict]]
+) -> DataFrame:
+    """Reviewed texts of the batches whose review succeeded; of the others the base stays."""
+    answers = inference.run_batches(inference.review_payload(batched, base), make_reviewer, keeps_marks)
+    return answers.where(F.col("error").isNull()).select("doc_id", F.explode("segments").alias("s")).select(
+        "doc_id", F.col("s.segmentId").alias("segment_id"), F.col("s.text").alias("text")
+    )
+
+
 def process(
     pages: DataFrame,
     make_translator: Callable[[], Callable[[list[dict]], dict]],
     reviewed: Callable[[DataFrame], DataFrame] | None = None,
     review_level: str = "none",
+    make_reviewer: Callable[[], Callable[[list[dict]], dict]] | None = None,
 ) -> dict[str, DataFrame]:
     """Translate, review, restore and align: the tables ``sources.artifacts`` writes.
 
     ``make_translator`` opens a session per partition and returns the call for a
-    batch.  ``reviewed`` turns base translations into reviewed ones.  Batches
-    that failed for good are in ``failures``; their segments have no translation.
+    batch.  ``make_reviewer`` does the same for batches of ``{"segmentId", "sourceText", "baseText"}``; a review
+    that fails keeps the base.  ``reviewed`` instead turns base translations into reviewed ones as a whole.
+    Only complete documents leave: one with a failed batch, a missing or blank segment or changed math
+    is in no table but ``failures``, with the reasons (batch_id is null where the document as a whole failed).
     """
     ready = prepare(pages)
     answers = cut(inference.run_batches(ready["requests"], make_translator, keeps_math))
-    base = answers.where(F.col("error").isNull()).select("doc_id", F.explode("segments").alias("s")).select(
+    told = answers.select("doc_id", F.explode("segments").alias("s")).select(
         "doc_id", F.col("s.segmentId").alias("segment_id"), F.col("s.text").alias("text")
     )
-    noted = cut(protect.annotate_lost(ready["protected"], base))
+    stopped = cut(gate(ready["protected"], told))
+    failures = (
+        answers.where(F.col("error").isNotNull()).select("doc_id", "batch_id", F.col("error").alias("detail"))
+        .unionByName(stopped.select("doc_id", F.lit(None).cast("int").alias("batch_id"), "detail"))
+    )
+    bad = failures.select("doc_id").distinct()
+    whole = {name: ready[name].join(bad, "doc_id", "left_anti") for name in ("segments", "protected", "batched", "math_objects", "tokens")}
+    noted = cut(protect.annotate_lost(whole["protected"], told.join(bad, "doc_id", "left_anti")))
     candidate = reviewed(noted) if reviewed else None
-    chosen = cut(review.select_reviewed(ready["protected"], noted, candidate, review_level))
-    loose = cut(protect.restore_tokens(chosen, ready["tokens"]))
-    plain = protect.restore_math(loose, ready["math_objects"], "plain")
-    marked = protect.restore_math(loose, ready["math_objects"], "markdown")
-    order = ready["segments"].select("doc_id", "segment_id", "ordinal")
+    if make_reviewer and review_level != "none":
+        candidate = cut(review(whole["batched"], noted, make_reviewer))
+    chosen = cut(review_choice.select_reviewed(whole["protected"], noted, candidate, review_level))
+    loose = cut(protect.restore_tokens(chosen, whole["tokens"]))
+    plain = protect.restore_math(loose, whole["math_objects"], "plain")
+    marked = protect.restore_math(loose, whole["math_objects"], "markdown")
+    order = whole["segments"].select("doc_id", "segment_id", "ordinal")
+    kept = pages.join(bad, "doc_id", "left_anti")
     return {
-        "segments": ready["segments"],
+        "segments": whole["segments"],
         "translations": plain.join(order, ["doc_id", "segment_id"]),
-        "math_objects": ready["math_objects"],
-        "alignments": align.identity_alignments(ready["segments"]),
-        "metadata": inference.run_metadata(pages, chosen, ready["math_objects"]),
-        "source_text": segment.source_text(pages),
-        "markdown": segment.translated_markdown(ready["segments"], marked),
-        "failures": answers.where(F.col("error").isNotNull()).select("doc_id", "batch_id", F.col("error").alias("detail")),
+        "math_objects": whole["math_objects"],
+        "alignments": align.identity_alignments(whole["segments"]),
+        "metadata": inference.run_metadata(kept, chosen, whole["math_objects"]),
+        "source_text": segment.source_text(kept),
+        "markdown": segment.translated_markdown(whole["segments"], marked),
+        "failures": failures,
     }

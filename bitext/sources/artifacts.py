@@ -23,30 +23,45 @@ def _bucket(buckets: int):
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     """A table written by this module without its bucket; None when there is none."""
+    found = _read(spark, path)
+    return None if found is None else found.drop("bucket")
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(path).drop("bucket")
+        return spark.read.parquet(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
             return None
         raise
 
 
-def write_artifacts(tables: dict[str, DataFrame], path: str, buckets: int = BUCKETS) -> None:
-    """Write the tables of processed documents; what these documents had before is replaced.
+def write_artifacts(tables: dict[str, DataFrame], path: str, buckets: int = BUCKETS, documents: DataFrame | None = None) -> None:
+    """Write the tables of processed documents; what these documents had before is replaced in all tables.
 
-    Only the buckets of the written documents are read and rewritten.
+    The written documents are those of ``documents`` (doc_id), else all that any table has: one that no
+    longer has rows in a table loses its old ones there.  Only the buckets of these documents are read and
+    rewritten; give ``buckets`` the size of the collection, and the same for every run.
     """
+    found = [t.select("doc_id") for t in ([documents] if documents is not None else tables.values())]
+    everyone = found[0]
+    for ids in found[1:]:
+        everyone = everyone.unionByName(ids)
+    written = cut(everyone.distinct().withColumn("bucket", _bucket(buckets)))
+    # At most ``buckets`` numbers; the filter on them prunes the folders that are read.
+    touched = [r["bucket"] for r in written.select("bucket").distinct().collect()]
     for name, rows in tables.items():
         target = f"{path}/{name}"
         new = rows.withColumn("bucket", _bucket(buckets))
-        old = read_table(rows.sparkSession, target)
+        old = _read(rows.sparkSession, target)
         if old is not None:
-            old = old.withColumn("bucket", _bucket(buckets))
-            kept = old.join(new.select("bucket").distinct(), "bucket", "left_semi").join(
-                new.select("doc_id").distinct(), "doc_id", "left_anti"
-            )
+            kept = old.where(F.col("bucket").isin(touched)).join(written.select("doc_id"), "doc_id", "left_anti")
             # The buckets are read from the folder they are written to.
             new = cut(new.unionByName(kept, allowMissingColumns=True))
+            emptied = old.where(F.col("bucket").isin(touched)).select("bucket").distinct().join(
+                new.select("bucket").distinct(), "bucket", "left_anti"
+            )
+            _clear(rows.sparkSession, target, [r["bucket"] for r in emptied.collect()])
         (
             # Range partitioning also cuts the bucket of a document that holds most rows.
             new.repartitionByRange("bucket", "doc_id", *[c for c in ("ordinal", "page") if c in new.columns])
@@ -57,6 +72,13 @@ def write_artifacts(tables: dict[str, DataFrame], path: str, buckets: int = BUCK
         )
 
 
+def _clear(spark: SparkSession, target: str, buckets: list[int]) -> None:
+    """Remove buckets that no row is left for; dynamic overwriting only replaces buckets that have rows."""
+    for bucket in buckets:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/bucket={bucket}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def read_reader_artifacts(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Segments, translations and alignments of the documents that have all three."""
     names = ["segments", "translations", "alignments"]

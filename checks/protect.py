@@ -580,6 +580,32 @@ def _(spark, folder):
     )
 
 
+def _careless_model():
+    """A stand-in that, by the length of a segment, leaves it out, blanks it, or gives it another identifier."""
+
+    def call(segments):
+        kept = [(s, len(s["text"]) % 97) for s in segments if len(s["text"]) % 97 != 0]
+        return {"segments": [
+            {"segmentId": "other" if kind == 2 else s["segmentId"], "text": " " if kind == 1 else "es " + s["text"]} for s, kind in kept
+        ]}
+
+    return call
+
+
+@check(
+    "checked_batches",
+    """SELECT doc_id, batch_id, count(*) FILTER (length(text) % 97 IN (0, 1)) > 0 AS failed,
+              CASE WHEN count(*) FILTER (length(text) % 97 IN (0, 1)) = 0
+                   THEN string_agg(segment_id || '=es ' || text, '|' ORDER BY position) END AS answer
+       FROM v_asked GROUP BY doc_id, batch_id""",
+)
+def _(spark, folder):
+    answers = I.run_batches(I.request_payload(asked(spark, folder)), _careless_model)
+    said = F.array_join(F.transform("segments", lambda s: F.concat(s["segmentId"], F.lit("="), s["text"])), "|")
+    failed = F.col("error").isNotNull()
+    return answers.select("doc_id", "batch_id", failed.alias("failed"), F.when(~failed, said).alias("answer"))
+
+
 FAILURES = [
     ("view", "extracting", "Connection refused by worker "),
     ("click", "translating", "Ollama rechazó la traducción (HTTP 503). Caso "),

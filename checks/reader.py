@@ -59,12 +59,9 @@ def page_space(items: DataFrame) -> DataFrame:
     )
 
 
-@check("clean_text_items", """SELECT doc_id, count(*) AS items, sum(source_index)::BIGINT AS places FROM v_items
-                              WHERE trim(text) <> '' GROUP BY doc_id""")
+@check("clean_text_items", """SELECT doc_id, page, source_index, text, x, y, width, height FROM v_items WHERE trim(text) <> ''""")
 def _(spark, folder):
-    return LA.clean_text_items(text_items(spark, folder)).groupBy("doc_id").agg(
-        F.count("*").alias("items"), F.sum("source_index").alias("places")
-    )
+    return LA.clean_text_items(text_items(spark, folder)).select("doc_id", "page", "source_index", "text", "x", "y", "width", "height")
 
 
 @check(

@@ -150,3 +150,18 @@ def test_failures(spark):
     saved = got["Access is denied"]
     assert saved.recoverable and "guardar el resultado" in saved.message and "original no fue modificado" in saved.message
     assert saved.message.endswith("Detalle: Access is denied") and not got["x"].recoverable
+
+
+def test_placeholders_past_five_digits(spark):
+    # One document with more than 99,999 values.
+    rows = [(1, k, f"seg_{k:05d}", " ".join(f"{k}.{j}" for j in range(250)) + " β", "paragraph") for k in range(410)]
+    segments = spark.createDataFrame(rows, "doc_id long, ordinal int, segment_id string, text string, block_type string").withColumn("page", F.lit(1))
+    safe = P.protect_tokens(P.protect_math(segments))
+    last = safe.where("ordinal = 409")
+    assert "[[NUMBER_102500]]" in last.first().text
+    loose = P.restore_tokens(last.select("doc_id", "segment_id", "text"), P.stable_tokens(last))
+    got = P.restore_math(loose, P.math_objects(last)).first().text
+    assert got == rows[-1][3]
+    six = spark.createDataFrame([(1, "s", "x ⟦MATH_INLINE_123456⟧ y")], "doc_id long, segment_id string, text string")
+    objects = spark.createDataFrame([(1, "s", "⟦MATH_INLINE_123456⟧", "β", None, 0.5, "inline")], "doc_id long, segment_id string, placeholder string, source string, latex string, confidence double, type string")
+    assert P.restore_math(six, objects).first().text == "x β y"

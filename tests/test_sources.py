@@ -67,9 +67,26 @@ def test_artifacts_replace_documents(spark, tmp_path):
     assert S.read_reader_artifacts(spark, path) == {}
     S.write_artifacts({"segments": rows([3, 50], "new"), "alignments": rows([3, 4, 50], "new")}, path, buckets=4)
     segments = {r.doc_id: r.text for r in S.read_table(spark, f"{path}/segments").collect()}
-    assert segments == {**{d: "old" for d in range(20)}, 3: "new", 50: "new"}
+    # Document 4 was written too, without segments: its old ones are gone.
+    assert segments == {**{d: "old" for d in range(20) if d != 4}, 3: "new", 50: "new"}
     complete = S.read_reader_artifacts(spark, path)
-    assert {r.doc_id for r in complete["translations"].collect()} == {3, 4}
+    assert {r.doc_id for r in complete["translations"].collect()} == {3}
+
+
+def test_artifacts_leave_no_old_rows(spark, tmp_path):
+    path = str(tmp_path)
+    rows = lambda docs: spark.createDataFrame([(d, 1, "x") for d in docs], "doc_id long, ordinal int, text string")
+    S.write_artifacts({"segments": rows(range(9)), "math_objects": rows(range(9))}, path, buckets=4)
+    # Document 3 no longer has math, document 4 nothing at all.
+    S.write_artifacts({"segments": rows([3]), "math_objects": rows([])}, path, 4, spark.createDataFrame([(3,), (4,)], "doc_id long"))
+
+    def left(name):
+        found = S.read_table(spark, f"{path}/{name}")
+        return set() if found is None else {r.doc_id for r in found.collect()}
+
+    assert left("segments") == set(range(9)) - {4} and left("math_objects") == set(range(9)) - {3, 4}
+    S.write_artifacts({"segments": rows(range(9)), "math_objects": rows([])}, path, buckets=4)
+    assert left("segments") == set(range(9)) and left("math_objects") == set()
 
 
 def test_pages_as_text(spark, tmp_path):
@@ -96,6 +113,57 @@ def test_end_to_end(spark):
     assert (meta.native_page_count, meta.reviewed_segment_count, meta.math_object_count) == (2, 6, 4)
 
 
+def test_no_incomplete_document_leaves(spark):
+    def lazy_model():
+        """Leaves one segment of document 2 out, blanks one of 3, breaks the math of 4, and renames all of 5."""
+
+        def call(batch):
+            doc = batch[0]["text"].split()[1]
+            out = [{"segmentId": s["segmentId"], "text": "ES " + s["text"]} for s in batch]
+            if doc == "two":
+                out = out[:-1]
+            if doc == "three":
+                out[-1]["text"] = " \n"
+            if doc == "four":
+                out = [{**s, "text": s["text"].replace("⟦", "<")} for s in out]
+            if doc == "five":
+                out = [{**s, "segmentId": f"x{k}"} for k, s in enumerate(out)]
+            return {"segments": out}
+
+        return call
+
+    names = {1: "one", 2: "two", 3: "three", 4: "four", 5: "five"}
+    pages = spark.createDataFrame(
+        [(d, 1, "native", f"Heading {n} of it with β in it\n\nBody {n} of it with γ in it.", 0, 0) for d, n in names.items()], schemas.PAGES
+    )
+    out = process(pages, lazy_model)
+    ids = lambda t: {r.doc_id for r in out[t].select("doc_id").distinct().collect()}
+    for table in ("segments", "translations", "math_objects", "alignments", "metadata", "source_text", "markdown"):
+        assert ids(table) == {1, 5}, table
+    assert ids("failures") == {2, 3, 4}
+    assert [r.text[:8] for r in out["translations"].where("doc_id = 5").orderBy("ordinal").collect()] == ["ES Headi", "ES Body "]
+
+
+def test_failed_review_keeps_the_base(spark):
+    pages = spark.createDataFrame([(d, 1, "native", f"Heading {d} of it\n\nThe value {d} is 0.25 here.", 0, 0) for d in (1, 2)], schemas.PAGES)
+
+    def translator():
+        return lambda batch: {"segments": [{"segmentId": s["segmentId"], "text": "ES " + s["text"]} for s in batch]}
+
+    def reviewer():
+        def call(batch):
+            drop = spoil and "NUMBER_00001" in batch[0]["sourceText"]
+            return {"segments": [{"segmentId": s["segmentId"], "text": s["baseText"].replace("NUMBER", "N") if drop else s["baseText"] + " ok"} for s in batch]}
+
+        return call
+
+    for spoil, end in ((False, " ok"), (True, "it")):
+        out = process(pages, translator, review_level="normal", make_reviewer=reviewer)
+        first = out["translations"].where("doc_id = 1").orderBy("ordinal").first()
+        assert first.text.endswith(end), first
+        assert out["failures"].count() == 0
+
+
 def test_job_stream_over_several_batches(spark, tmp_path):
     source = str(tmp_path / "in")
     rows = [("p", d, i, f"2024-01-01 00:00:{i:02d}", k, None, e) for i, (d, k, e) in enumerate(
