@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +16,7 @@ from bitext import constants as K
 from bitext import schemas
 from bitext.functions import paths as P
 from bitext.functions import text as T
+from bitext.plans.lineage import cut
 
 
 def _any_case(extension: str) -> str:
@@ -23,30 +30,72 @@ def _below(root: str, path: Column) -> Column:
     return F.substr(bare(path), F.length(top) + 1)
 
 
+def _open(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and plain path of a folder, with or without scheme."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
+def _list_folders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What is in each folder: files with size and time, and folders; symbolic links are passed over."""
+    for frame in frames:
+        for folder in frame["path"]:
+            system, plain = _open(folder)
+            local = isinstance(system, fs.LocalFileSystem)
+            scheme = folder.removesuffix(plain)
+            found = [e for e in system.get_file_info(fs.FileSelector(plain)) if not (local and os.path.islink(e.path))]
+            yield pd.DataFrame({
+                "path": [scheme + e.path for e in found], "is_folder": [e.type == fs.FileType.Directory for e in found],
+                "size": [e.size or 0 for e in found], "modified_at": [int((e.mtime_ns or 0) // 10**9) for e in found],
+            })
+
+
+def _digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """SHA-256 of each file, read a megabyte at a time."""
+    for frame in frames:
+        digests = []
+        for path in frame["path"]:
+            system, plain = _open(path)
+            state = hashlib.sha256()
+            with system.open_input_stream(plain) as source:
+                while chunk := source.read(1 << 20):
+                    state.update(chunk)
+            digests.append(state.hexdigest())
+        yield frame.assign(sha256=digests)
+
+
 def scan_files(
     spark: SparkSession, root: str, directory: str, side: str, project_id: str, extensions: list[str] | None = None
 ) -> DataFrame:
     """The files of one side of a project with digest, size and time.
 
-    The extension filter reaches the listing, so that other files are not read.
-    Names starting with ``.`` or ``_`` are passed over, as in every Spark listing.
+    All names count, also those that start with ``.`` or ``_``; symbolic links do not.  Folders are listed in
+    tasks, one round per level of the tree; files are hashed in tasks in pieces, whatever their size.
     """
     allowed = extensions or (K.ORIGINAL_EXTENSIONS if side == "original" else K.TRANSLATION_EXTENSIONS)
-    found = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{" + ",".join(_any_case(e) for e in allowed) + "}")
-        .load(f"{root.rstrip('/')}/{directory}")
-    )
+    listing = "path string, is_folder boolean, size long, modified_at long"
+    folders = spark.createDataFrame([(f"{root.rstrip('/')}/{directory}",)], "path string")
+    files = None
+    while True:
+        found = cut(folders.repartition("path").mapInPandas(_list_folders, listing))
+        here = found.where("NOT is_folder").drop("is_folder")
+        files = here if files is None else files.unionByName(here)
+        folders = found.where("is_folder").select("path")
+        if folders.isEmpty():
+            break
     path = _below(root, F.col("path"))
-    return found.select(
-        F.lit(project_id).alias("project_id"),
-        F.lit(side).alias("side"),
-        path.alias("relative_path"),
-        F.sha2("content", 256).alias("sha256"),
-        F.col("length").alias("size"),
-        F.unix_timestamp("modificationTime").alias("modified_at"),
-        P.media_type(P.extension(path)).alias("media_type"),
+    return (
+        files.where(P.extension(path).isin([e.lower() for e in allowed]))
+        .repartition("path")
+        .mapInPandas(_digest, "path string, size long, modified_at long, sha256 string")
+        .select(
+            F.lit(project_id).alias("project_id"),
+            F.lit(side).alias("side"),
+            path.alias("relative_path"),
+            "sha256", "size", "modified_at",
+            P.media_type(P.extension(path)).alias("media_type"),
+        )
     )
 
 

@@ -25,6 +25,22 @@ def test_scan(spark, tmp_path):
     assert texts == {"hola", "texto"}
 
 
+def test_scan_finds_hidden_names_and_no_links(spark, tmp_path):
+    base = tmp_path / "C_orig"
+    for name in ("a.pdf", "_draft.PDF", ".h.pdf", "_sub/b.pdf", ".deep/x/y/z.pdf", "sub/c d.pdf", "skip.txt", "pdf"):
+        (base / name).parent.mkdir(parents=True, exist_ok=True)
+        (base / name).write_bytes(name.encode() * 300_000)
+    (base / "link.pdf").symlink_to(base / "a.pdf")
+    (base / "loop").symlink_to(base)
+    rows = {r.relative_path: r for r in FS.scan_files(spark, f"file://{tmp_path}", "C_orig", "original", "p").collect()}
+    want = ["a.pdf", "_draft.PDF", ".h.pdf", "_sub/b.pdf", ".deep/x/y/z.pdf", "sub/c d.pdf"]
+    assert set(rows) == {f"C_orig/{n}" for n in want}
+    for n in want:
+        r = rows[f"C_orig/{n}"]
+        assert r.sha256 == hashlib.sha256(n.encode() * 300_000).hexdigest() and r.size == len(n) * 300_000
+        assert r.modified_at == int((base / n).stat().st_mtime) and r.media_type == "application/pdf"
+
+
 def test_manifests(spark, tmp_path):
     def project(path, **changes):
         config = {"projectId": path, "name": path.title(), "schemaVersion": 1, "originalDir": "A_orig", "translationDir": "A_trad", **changes}
