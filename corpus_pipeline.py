@@ -23,14 +23,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar ones, that with the least identifier.
 
-    A document without identifier stays only where its component has none; of rows that repeat an
-    identifier one stays, the one of least text.
+    Rows are told apart by a 64-bit hash of all their columns, so that different texts under one identifier, or
+    under none, are different documents; of rows that are equal in every column one stays. A document without
+    identifier stands for a component only where all are without, then the one of least hash does.
     """
-    linked = jaccard.link_similar(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = linked.groupBy(F.col("doc_id").alias("_kept")).count().drop("count")
-    row = F.struct(*[F.col(c) for c in sorted(docs.columns, key=lambda c: c != "text")])
-    one = docs.join(kept, common.same(F.col("doc_id"), F.col("_kept")), "left_semi")
-    return one.groupBy("doc_id").agg(F.min(row).alias("_row")).select("_row.*").select(*docs.columns)
+    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns))
+    linked = jaccard.link_similar(keyed, id="_key").select("_key", "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_key")).alias("first")
+    kept = keyed.select("_key", "doc_id").join(linked, "_key").groupBy("component_id").agg(first).select("first._key")
+    return keyed.dropDuplicates(["_key"]).join(kept, "_key", "left_semi").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
