@@ -18,7 +18,7 @@ from bitext import constants as K
 from bitext.functions import paths as P
 from bitext.functions import text as T
 from bitext.plans.lineage import cut
-from bitext.plans.ordered import HOT_ROWS, match_in_order
+from bitext.plans.ordered import HOT_ROWS, match_in_order, rank_within
 
 REFERENCE = ["relative_path", "sha256", "size", "modified_at", "media_type"]
 FILE = ["project_id", "side", "relative_path"]
@@ -177,16 +177,34 @@ def pair_new_files(
     )
 
 
+def _numbered(fresh: DataFrame, catalog: DataFrame, projects: DataFrame, hot_rows: int) -> DataFrame:
+    """New documents with their ``ordinal``: after the highest of their project, by key and then in the order of pairing."""
+    path = lambda side: F.col(f"{side}.relative_path")
+    keyed = cut(fresh).join(projects.select("project_id", "original_dir", "translation_dir"), "project_id").select(
+        *fresh.columns,
+        F.coalesce(
+            P.pair_key(path("original"), F.col("original_dir")), P.pair_key(path("translation"), F.col("translation_dir"))
+        ).alias("_key"),
+        path("original").isNull().alias("_late"), path("original").alias("_original"), path("translation").alias("_translation"),
+    )
+    placed = rank_within(keyed, ["project_id"], ["_key", "_late", "_original", "_translation"], "_n", hot_rows)
+    highest = catalog.groupBy("project_id").agg(F.max("ordinal").alias("_highest"))
+    return placed.join(highest, "project_id", "left").select(
+        *fresh.columns, (F.coalesce("_highest", F.lit(-1)) + F.col("_n")).cast("long").alias("ordinal")
+    )
+
+
 def reconcile(
     catalog: DataFrame, files: DataFrame, projects: DataFrame, snapshot: str = "", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """The catalog after a scan: records with refreshed, adopted and new files.
 
+    New records come after the old ones of their project, so that the next scan serves the older first.
     Adds ``original_available`` and ``translation_available``.
     """
     sides = cut(refresh_references(catalog, files, hot_rows))
     sides = cut(sides.unionByName(adopt_counterparts(sides, files, projects, hot_rows)))
-    fresh = pair_new_files(unused_files(files, sides), projects, snapshot, hot_rows)
+    fresh = _numbered(pair_new_files(unused_files(files, sides), projects, snapshot, hot_rows), catalog, projects, hot_rows)
 
     def pick(side, value):
         return F.first(F.when(F.col("side") == side, value), ignorenulls=True)
@@ -201,7 +219,7 @@ def reconcile(
         known, ["project_id", "document_id"], "left"
     )
     new = fresh.select(
-        "project_id", "document_id", F.lit(None).cast("long").alias("ordinal"), F.lit(False).alias("hidden"),
+        "project_id", "document_id", "ordinal", F.lit(False).alias("hidden"),
         "original", "translation",
         F.col("original").isNotNull().alias("original_available"),
         F.col("translation").isNotNull().alias("translation_available"),

@@ -157,7 +157,9 @@ SELECT coalesce(o.project_id, t.project_id) AS project_id,
   sha256(concat_ws(':', '', coalesce(o.project_id, t.project_id), coalesce(o.relative_path, ''), coalesce(o.sha256, ''),
                    coalesce(t.relative_path, ''), coalesce(t.sha256, ''))) AS document_id,
   o.relative_path AS original_path, t.relative_path AS translation_path,
-  o.modified_at AS original_time, t.modified_at AS translation_time
+  o.modified_at AS original_time, t.modified_at AS translation_time,
+  row_number() OVER (PARTITION BY coalesce(o.project_id, t.project_id)
+    ORDER BY coalesce(o.pair_key, t.pair_key), o.relative_path NULLS LAST, t.relative_path) AS place
 FROM (SELECT *, row_number() OVER (PARTITION BY project_id, pair_key ORDER BY relative_path) AS n FROM v_unused WHERE side = 'original') o
 FULL JOIN (SELECT *, row_number() OVER (PARTITION BY project_id, pair_key ORDER BY relative_path) AS n FROM v_unused WHERE side = 'translation') t
 ON o.project_id = t.project_id AND o.pair_key = t.pair_key AND o.n = t.n
@@ -169,13 +171,14 @@ SELECT * FROM v_spare f WHERE NOT EXISTS (
 VIEWS["v_records"] = """
 SELECT c.project_id, c.document_id, c.hidden, o.relative_path AS original_path, t.relative_path AS translation_path,
        o.modified_at AS original_time, t.modified_at AS translation_time,
-       coalesce(o.available, false) AS oa, coalesce(t.available, false) AS ta
-FROM (SELECT DISTINCT project_id, document_id, hidden FROM v_sides) c
+       coalesce(o.available, false) AS oa, coalesce(t.available, false) AS ta, c.ordinal
+FROM (SELECT DISTINCT project_id, document_id, hidden, ordinal FROM v_sides) c
 LEFT JOIN v_settled o ON o.document_id = c.document_id AND o.side = 'original'
 LEFT JOIN v_settled t ON t.document_id = c.document_id AND t.side = 'translation'
 UNION ALL
 SELECT project_id, document_id, false, original_path, translation_path, original_time, translation_time,
-       original_path IS NOT NULL, translation_path IS NOT NULL FROM v_fresh
+       original_path IS NOT NULL, translation_path IS NOT NULL,
+       coalesce((SELECT max(ordinal) FROM v_sides s WHERE s.project_id = f.project_id), -1) + place FROM v_fresh f
 """
 VIEWS["v_conflicts"] = f"""
 SELECT DISTINCT project_id, k AS pair_key FROM (
@@ -268,12 +271,12 @@ def _(spark, folder):
 
 @check(
     "reconcile",
-    """SELECT project_id, document_id, hidden, original_path, translation_path,
+    """SELECT project_id, document_id, ordinal, hidden, original_path, translation_path,
               oa AS original_available, ta AS translation_available FROM v_records""",
 )
 def _(spark, folder):
     return records(spark, folder).select(
-        "project_id", "document_id", "hidden", F.col("original.relative_path").alias("original_path"),
+        "project_id", "document_id", "ordinal", "hidden", F.col("original.relative_path").alias("original_path"),
         F.col("translation.relative_path").alias("translation_path"), "original_available", "translation_available",
     )
 

@@ -135,3 +135,27 @@ def test_recents(spark):
     places = [r.location for r in C.recent_locations(opened).orderBy("place").collect()]
     assert places[:3] == ["/q", "/z", "/Home/11"]
     assert C.present_pair_state is not None and F is not None
+
+
+def test_scans_number_new_records_after_old_ones(spark):
+    """Of records with one key, the older takes the counterpart that a later scan finds."""
+
+    def scan(catalog, files, label):
+        c = catalog if catalog is not None else spark.createDataFrame([], schemas.CATALOG)
+        _, f, p = tables(spark, [], files)
+        found = C.reconcile(c, f, p, label)
+        rows = [(r.project_id, r.document_id, r.ordinal, r.original, r.translation, r.hidden) for r in found.collect()]
+        return rows, spark.createDataFrame(rows, schemas.CATALOG)
+
+    z, a, b = file("original", "C_orig/z/text.pdf", "z"), file("original", "C_orig/b.pdf", "b"), file("original", "C_orig/a.pdf", "a")
+    rows, catalog = scan(None, [z, a, b], "1")
+    assert [(r[2], r[3].relative_path) for r in sorted(rows, key=lambda r: r[2])] == [(0, "C_orig/a.pdf"), (1, "C_orig/b.pdf"), (2, "C_orig/z/text.pdf")]
+    old = next(r[1] for r in rows if r[2] == 2)
+    # A second text with the same key, earlier by path, and last its translation.
+    more = file("original", "C_orig/z/text.PDF", "y")
+    rows, catalog = scan(catalog, [z, a, b, more], "2")
+    assert max(rows, key=lambda r: r[2])[3].relative_path == "C_orig/z/text.PDF" and len({r[2] for r in rows}) == len(rows)
+    rows, _ = scan(catalog, [z, a, b, more, file("translation", "C_trad/z/text.md", "t")], "3")
+    paired = [r for r in rows if r[4] is not None]
+    assert len(paired) == 1 and len(rows) == 4
+    assert paired[0][1] == old
