@@ -607,13 +607,19 @@ def _(spark, folder):
 def _map(leader):
     def run(spark, folder):
         intervals = cut(PO.alignment_intervals(aligned_turns(spark, folder), bounds(spark, folder), leader))
-        return PO.map_positions(positions(spark, folder), intervals).where("mapped IS NOT NULL").select("event_id", "doc_id", "mapped")
+        return PO.map_positions(positions(spark, folder), intervals).select("event_id", "doc_id", "mapped")
 
     return run
 
 
-check("map_positions", mapped_sql("v_positions", "v_forward", "event_id, doc_id", "position"))(_map("source"))
-check("map_positions_back", mapped_sql("v_positions", "v_backward", "event_id, doc_id", "position"))(_map("translation"))
+def _with_unmapped(intervals):
+    """Events of documents without alignment stay, unmapped."""
+    mapped = mapped_sql("v_positions", intervals, "event_id, doc_id", "position")
+    return f"SELECT p.event_id, p.doc_id, m.mapped FROM v_positions p LEFT JOIN ({mapped}) m ON m.event_id = p.event_id"
+
+
+check("map_positions", _with_unmapped("v_forward"))(_map("source"))
+check("map_positions_back", _with_unmapped("v_backward"))(_map("translation"))
 
 VIEWS["v_scrolls"] = """
 SELECT event_id, user_id AS doc_id, CASE WHEN event_type IN ('view', 'signup') THEN 'source' ELSE 'translation' END AS side,
