@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Temporary folders of local sessions; each goes when the driver ends.
+_temporary: list[tempfile.TemporaryDirectory] = []
+
+
+def _bare(path: str) -> str:
+    return re.sub(r"^[A-Za-z0-9+.-]+:/+", "/", path).rstrip("/")
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only for a local master."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
-    if named and (current is None or named.rstrip("/") not in current):
+    if named and (current is None or _bare(current).rpartition("/")[0] != _bare(named)):
         context.setCheckpointDir(named)
     elif current is None:
         if not context.master.startswith("local"):
             raise ValueError("Set spark.checkpoint.dir to a folder that every executor reads.")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="bitext-checkpoint-"))
+        _temporary.append(tempfile.TemporaryDirectory(prefix="bitext-checkpoint-", ignore_cleanup_errors=True))
+        context.setCheckpointDir(_temporary[-1].name)
     return context.getCheckpointDir()
 
 
