@@ -50,31 +50,40 @@ def debounced_sync(events: DataFrame, hot_rows: int = 4_000_000) -> DataFrame:
     """Scroll events that make their side the leader: those not caused by a move of ours.
 
     ``events(reader_id, seq, at_ms, kind, side, behavior)`` with kind scroll or
-    intent.  An accepted scroll moves the other side, whose scroll events are then
+    intent, and optionally ``moved``, false for scrolls that moved nothing (``position.sync_decisions`` tells).
+    An accepted scroll that moves the other side has that side's scroll events
     ignored for a while; an intent ends that.  Nothing outlasts the longest such
     while, so that a pause of that length cuts a reader's events into sessions
     that are folded independently.
     """
-    ranked = rank_within(events, ["reader_id"], ["at_ms", "seq"], "_n", hot_rows)
+    ranked = rank_within(with_moved(events), ["reader_id"], ["at_ms", "seq"], "_n", hot_rows)
     lagged = previous(ranked, ["reader_id"], "_n", {"at_ms": "_before"})
     opens = F.coalesce(F.col("at_ms") - F.col("_before") >= K.SUPPRESS_SMOOTH_MS, F.lit(True))
     sessions = running_before(
         lagged.withColumn("_opens", opens.cast("int")), ["reader_id"], "_n", {"_earlier": ("sum", F.col("_opens"))}
     ).withColumn("_session", F.col("_earlier") + F.col("_opens"))
     return (
-        sessions.select("reader_id", "_session", "_n", "seq", "at_ms", "kind", "side", "behavior")
+        sessions.select("reader_id", "_session", "_n", "seq", "at_ms", "kind", "side", "behavior", "moved")
         .repartition("reader_id", "_session")
         .sortWithinPartitions("reader_id", "_session", "_n")
         .mapInPandas(_fold_scrolls, "reader_id long, seq long, at_ms long, side string")
     )
 
 
-def scroll_step(state: tuple[str, int] | None, kind: str, side: str, at_ms: int, behavior: str):
+def with_moved(events: DataFrame) -> DataFrame:
+    """``events`` with ``moved``, true where it is not said."""
+    said = F.coalesce(F.col("moved"), F.lit(True)) if "moved" in events.columns else F.lit(True)
+    return events.withColumn("moved", said)
+
+
+def scroll_step(state: tuple[str, int] | None, kind: str, side: str, at_ms: int, behavior: str, moved: bool = True):
     """(new state, accepted) after one event; the state is the silenced side and until when."""
     if kind == "intent":
         return None, False
     if state and state[0] == side and at_ms < state[1]:
         return state, False
+    if not moved:
+        return state, True
     other = "translation" if side == "source" else "source"
     quiet = K.SUPPRESS_SMOOTH_MS if behavior == "smooth" else K.SUPPRESS_AUTO_MS
     return (other, at_ms + quiet), True
@@ -85,7 +94,7 @@ def _fold_scrolls(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         keep = []
         for row in zip(frame.reader_id, frame["_session"], frame.kind,
-                       frame.side, frame.at_ms, frame.behavior):
+                       frame.side, frame.at_ms, frame.behavior, frame.moved):
             if row[:2] != session:
                 session, state = row[:2], None
             state, accepted = scroll_step(state, *row[2:])

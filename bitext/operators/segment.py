@@ -21,10 +21,15 @@ BATCH_CHUNK = 4096
 
 
 def route_pages(native: DataFrame, recognised: DataFrame | None, policy: str = "when-needed") -> DataFrame:
-    """Choose the native or the recognised text of every page; pages without text drop out."""
+    """Choose the native or the recognised text of every page; pages without text drop out.
+
+    Unless ``policy`` is "never", pages whose own text cannot be used need ``recognised``, which may be empty.
+    """
+    if policy != "never" and recognised is None:
+        raise ValueError('Give the recognised pages, or say policy="never" to keep native text as it is.')
     blank = T.normalize_page(T.or_empty(F.col("text"))) == ""
     usable = T.usable_text(T.normalize_page(T.or_empty(F.col("text"))))
-    if policy == "never" or recognised is None:
+    if policy == "never":
         return native.where(usable | ~blank).withColumn("method", F.lit("native"))
     other = recognised.select("doc_id", "page", F.col("text").alias("_recognised"))
     return (

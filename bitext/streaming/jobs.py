@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from bitext.operators.jobs import JOB, TYPES, scroll_step
+from bitext.operators.jobs import JOB, TYPES, scroll_step, with_moved
 
 STATE = "seq long, type string, error string, progress_seq long, progress string"
 OUTPUT = "project_id string, document_id string, seq long, phase string, progress string, error string"
@@ -34,12 +34,9 @@ def _fold_jobs(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
             last = steps.loc[steps["seq"].idxmax()]
             if last["seq"] > progress_seq:
                 progress_seq, progress = int(last["seq"]), last["progress"]
-    if kind == "finished":
-        if state.exists:
-            state.remove()
-    else:
-        state.update((seq, kind, error, progress_seq, progress))
-        state.setTimeoutTimestamp(expires)
+    # A finished job stays known too, or an event that comes late would revive it.
+    state.update((seq, kind, error, progress_seq, progress))
+    state.setTimeoutTimestamp(expires)
     if kind is not None:
         running = kind == "started"
         yield pd.DataFrame(
@@ -57,7 +54,7 @@ def stream_job_state(events: DataFrame, watermark: str = "1 hour", ttl_hours: in
     """Changes of job state, one row per job and micro-batch: running, failed or finished.
 
     ``events`` has the columns of ``operators.jobs`` and a timestamp ``ts``.  The
-    state of a job goes when it finishes, or ``ttl_hours`` after the watermark
+    state of a job, also of a finished one, goes ``ttl_hours`` after the watermark
     passed its last event.  ``progress`` is JSON.
     """
     return (
@@ -79,7 +76,7 @@ def _fold_readers(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState)
     quiet = state.get if state.exists else None
     quiet = (quiet[0], quiet[1]) if quiet and quiet[0] else None
     keep = []
-    for row in zip(events["kind"], events["side"], events["at_ms"], events["behavior"]):
+    for row in zip(events["kind"], events["side"], events["at_ms"], events["behavior"], events["moved"]):
         quiet, accepted = scroll_step(quiet, *row)
         keep.append(accepted)
     state.update(quiet or ("", 0))
@@ -96,8 +93,8 @@ def stream_debounced_sync(events: DataFrame, watermark: str = "10 seconds") -> D
     past the last event.  A micro-batch holds what a reader did since the last one.
     """
     return (
-        events.withWatermark("ts", watermark)
-        .select("reader_id", "seq", "at_ms", "ts", "kind", "side", "behavior", _expires(60_000))
+        with_moved(events).withWatermark("ts", watermark)
+        .select("reader_id", "seq", "at_ms", "ts", "kind", "side", "behavior", "moved", _expires(60_000))
         .groupBy("reader_id")
         .applyInPandasWithState(
             _fold_readers, "reader_id long, seq long, at_ms long, side string", "side string, until long",

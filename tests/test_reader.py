@@ -261,3 +261,10 @@ def test_debounce(spark):
     df = spark.createDataFrame(rows, schemas.SCROLL_EVENTS)
     for hot in (10**6, 50):
         assert sorted(r.seq for r in J.debounced_sync(df, hot).collect()) == sorted(want)
+
+
+def test_scroll_without_move_silences_nobody(spark):
+    kind = "reader_id long, seq long, at_ms long, kind string, side string, behavior string, moved boolean"
+    rows = [(1, 0, 0, "scroll", "source", "smooth", False), (1, 1, 50, "scroll", "translation", "auto", True), (1, 2, 60, "scroll", "source", "auto", True), (1, 3, 70, "scroll", "translation", "auto", None)]
+    got = sorted(r.seq for r in J.debounced_sync(spark.createDataFrame(rows, kind)).collect())
+    assert got == [0, 1, 3]

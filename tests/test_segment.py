@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from bitext import constants as K
@@ -85,6 +86,8 @@ def test_route_pages(spark):
     got = {r.page: (r.method, r.text) for r in S.route_pages(native, ocr).collect()}
     assert got == {1: ("native", good), 2: ("ocr", "read text")}
     assert sorted(r.page for r in S.route_pages(native, None, "never").collect()) == [1, 2]
+    with pytest.raises(ValueError, match="policy"):
+        S.route_pages(native, None)
     assert sorted(r.page for r in S.pages_to_recognise(native).collect()) == [2, 3, 4]
 
 

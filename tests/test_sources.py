@@ -195,6 +195,25 @@ def test_job_stream_over_several_batches(spark, tmp_path):
     assert {r.document_id: r.phase for r in out.collect()} == {"a": "running", "b": "finished"}
 
 
+def test_late_event_does_not_revive_a_finished_job(spark, tmp_path):
+    source = str(tmp_path / "in")
+    batches = [[("a", 0, "started"), ("b", 5, "started")], [("a", 3, "finished")], [("a", 1, "started"), ("a", 2, "progressed")], [("b", 7, "failed")]]
+    for n, rows in enumerate(batches):
+        part = spark.createDataFrame([("p", d, i, f"2024-01-01 00:00:{i:02d}", k, None, None) for d, i, k in rows], schemas.JOB_EVENTS.replace("ts timestamp", "ts string"))
+        part.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schemas.JOB_EVENTS).option("maxFilesPerTrigger", 1).parquet(source)
+    query = (stream_job_state(stream).writeStream.foreachBatch(lambda df, n: df.write.mode("append").parquet(str(tmp_path / "out"))).outputMode("update")
+             .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {r.phase for r in rows if r.document_id == "a" and r.seq >= 3} == {"finished"}
+    last = {}
+    for r in sorted(rows, key=lambda r: r.seq):
+        last[r.document_id] = r.phase
+    assert last == {"a": "finished", "b": "failed"}
+    assert not [r for r in rows if r.document_id == "a" and r.phase == "running" and r.seq != 0]
+
+
 def test_incremental_reconcile(spark, tmp_path):
     listing, store = str(tmp_path / "in"), str(tmp_path / "catalog")
     projects = spark.createDataFrame([("p", "C_orig", "C_trad")], schemas.PROJECTS)
