@@ -115,22 +115,23 @@ PIECE = re.compile(
 
 
 class Encoder:
-    """Byte-level BPE of the ``tokenizers`` library, each distinct piece encoded once.
+    """Byte-level BPE of the ``tokenizers`` library, each distinct piece encoded once while it is remembered.
 
     Pieces are cut where the pre-tokenizer cuts anyway, so the ids of a text are
-    those of its pieces in a row.  ``remember`` bounds the memory: when so many
-    pieces are known, all are forgotten.
+    those of its pieces in a row.  ``remember`` bounds the memory: when so many pieces are
+    new, those not seen since the last time are forgotten.
     """
 
     _open: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, remember: int = 1_000_000):
+    def __init__(self, path: str, remember: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are text
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.remember = remember
 
     @classmethod
@@ -140,17 +141,25 @@ class Encoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Free what this Python worker, which Spark uses again for other operators, remembers of pieces."""
+        cls._open.clear()
+
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null like an empty text."""
         import numpy as np
 
         cut = [PIECE.findall(text) if text else [] for text in texts]
         if len(self.known) > self.remember:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         new = set()
         for pieces in cut:
             new.update(pieces)
-        new = [piece for piece in new if piece not in self.known]
+        new, older = new.difference(self.known), self.older
+        again = new.intersection(older)
+        self.known.update((piece, older[piece]) for piece in again)
+        new = list(new.difference(again))
         for lo in range(0, len(new), 4096):
             some = new[lo : lo + 4096]
             for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):

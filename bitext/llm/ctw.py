@@ -24,15 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitext.llm.common import staged, text_blocks
-from bitext.llm.jaccard import split_words, LOWER_BYTES
+from bitext.llm.common import Encoder, staged, text_blocks
+from bitext.llm.jaccard import LOWER_BYTES, split_words
 
 DEPTH = 5
 UPPER_DEPTH = 2
 END = 0xFF  # no byte of UTF-8
 END_WORD = 0  # name of the end token; words have names above 0
-BLOCK_CHARS = 12 << 20
-REMEMBER = 250_000
+BLOCK_CHARS = 3 << 20
+REMEMBER = 150_000
 U = np.uint64
 STOP, GO = math.log(0.5), math.log(0.5)
 
@@ -183,26 +183,33 @@ def _code_bucket(codes: np.ndarray, buckets: int) -> np.ndarray:
     return _bucket((codes >> U(8)) & U((1 << 24) - 1), buckets)
 
 
-def _word_names(texts: list[str | None]) -> list[list[int]]:
+def _word_names(texts: list[str | None]) -> list[np.ndarray]:
     if len(_names) > REMEMBER:
         _names.clear()
-    known, out = _names, []
-    for text in texts:
-        words = split_words(text)
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w) or 1
-        out.append([known[w] for w in words])
-    return out
+    split, new = [split_words(t) for t in texts], set()
+    for words in split:
+        new.update(words)
+    for w in new.difference(_names):
+        _names[w] = xxhash.xxh3_64_intdigest(w) or 1
+    return [np.fromiter(map(_names.__getitem__, words), np.uint64, len(words)) for words in split]
+
+
+def distinct(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and how often each occurs."""
+    names = np.sort(names)
+    if not len(names):
+        return names, np.zeros(0, dtype=np.int64)
+    begins = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+    return names[begins], np.diff(begins, append=len(names))
 
 
 def _counted(names: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct names, sorted, and how often each occurs in the training part ``train``."""
-    distinct = np.unique(names)
-    some, count = np.unique(train, return_counts=True)
-    counts = np.zeros(len(distinct), dtype=np.int64)
-    counts[np.searchsorted(distinct, some)] = count
-    return distinct, counts
+    all_, _ = distinct(names)
+    some, count = distinct(train)
+    counts = np.zeros(len(all_), dtype=np.int64)
+    counts[np.searchsorted(all_, some)] = count
+    return all_, counts
 
 
 def _texts(data: bytes) -> pa.Table:
@@ -215,13 +222,15 @@ def _asked(table: pa.Table, depth: int, fold: int, folds: int):
     out = np.array([held_out(i, fold, folds) for i in ids], dtype=bool)
     words = _word_names(texts)
     codes = [codes_of((t or "").encode("utf-8", "surrogatepass").translate(LOWER_BYTES), depth) for t in texts]
-    flat = lambda lists: np.array([n for w in lists for n in w], dtype=np.uint64)
-    train = [w for w, o in zip(words, out, strict=True) if not o]
-    word_names, word_counts = _counted(flat(words), flat(train))
+    empty = [np.zeros(0, dtype=np.uint64)]
+
+    def counted(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return _counted(np.concatenate(lists or empty), np.concatenate([x for x, o in zip(lists, out, strict=True) if not o] or empty))
+
+    word_names, word_counts = counted(words)
     # The end of a text is a token of every document.
     word_names, word_counts = np.concatenate([[U(END_WORD)], word_names]), np.concatenate([[int((~out).sum())], word_counts])
-    empty = [np.zeros(0, dtype=np.uint64)]
-    code_names, code_counts = _counted(np.concatenate(codes or empty), np.concatenate([c for c, o in zip(codes, out, strict=True) if not o] or empty))
+    code_names, code_counts = counted(codes)
     return ids, out, words, codes, (word_names, word_counts), (code_names, code_counts)
 
 
@@ -243,6 +252,7 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", depth:
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Encoder.forget()
         block = TaskContext.get().partitionId() << 32
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
@@ -261,8 +271,9 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", depth:
             for block, data in zip(batch["block"], batch["data"], strict=True):
                 *_, words, codes = _asked(_texts(data), depth, fold, folds)
                 for kind, (names, counts), bucket in (("word", words, _bucket(words[0], buckets)), ("code", codes, _code_bucket(codes[0], buckets))):
-                    filled = np.unique(bucket)
-                    parts = [bucket == b for b in filled]
+                    order = np.argsort(bucket, kind="stable")
+                    filled, many = distinct(bucket)
+                    parts = np.split(order, np.cumsum(many)[:-1])
                     yield pd.DataFrame({"kind": kind, "bucket": filled, "block": block, "data": [_pack(names[p], counts[p]) for p in parts]})
 
     asked = staged(blocks.repartition(max(1, blocks.count())).mapInPandas(ask, "kind string, bucket long, block long, data binary"), "asked")
@@ -279,7 +290,7 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", depth:
     reply = "block long, kind string, bucket long, data binary"
     words = staged(asked.where("kind = 'word'").groupBy("bucket").applyInPandas(count_words, reply + ", tokens long, distinct long"), "words")
     total = words.where("block < 0").agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
-    train_tokens, distinct = total["n"] or 0, total["v"] or 0
+    train_tokens, vocabulary = total["n"] or 0, total["v"] or 0
 
     def lower_levels(group: pd.DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[Level]]:
         parts = [_unpack(d) for d in group["data"]]
@@ -314,13 +325,13 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", depth:
         own = list(shared.value)
         for d, level in enumerate(reversed(levels), UPPER_DEPTH + 1):
             own.append(mix_down(level, own[-1], d, d == depth))
-        wanted = np.unique(np.concatenate([n for n, _ in parts]))
+        wanted, _ = distinct(np.concatenate([n for n, _ in parts]))
         lengths = code_lengths(wanted, own, depth)
         answers = [zstandard.compress(lengths[np.searchsorted(wanted, n)].astype("<f4").tobytes(), 1) for n, _ in parts]
         return pd.DataFrame({"block": group["block"], "kind": "code", "bucket": group["bucket"], "data": answers})
 
     answers = words.where("block >= 0").select("block", "kind", "bucket", "data").unionByName(codes.groupBy("bucket").applyInPandas(answer, reply))
-    unknown = math.log10(train_tokens + distinct + 1)
+    unknown = math.log10(train_tokens + vocabulary + 1)
 
     def score(block: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         ids, out, words, codes, (names, _), (code_names, _) = _asked(_texts(block["data"].iloc[0]), depth, fold, folds)
@@ -331,17 +342,19 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", depth:
                 values[bucket == b] = np.frombuffer(zstandard.decompress(data), form)
             found.append(values)
         counts, lengths = found
-        known = dict(zip(names.tolist(), counts.tolist(), strict=True))
+        logs, end = np.log10(counts + 1.0), np.array([END_WORD], dtype=np.uint64)
         rows = []
-        for i, o, w, c in zip(ids, out, words, codes, strict=True):
-            seen = [known[n] for n in [*w, END_WORD]]
-            distinct_, repeat = np.unique(c, return_counts=True)
-            bits = float((lengths[np.searchsorted(code_names, distinct_)] * repeat).sum())
+        for o, w, c in zip(out, words, codes, strict=True):
+            at = np.searchsorted(names, np.concatenate([w, end]))
+            some, repeat = distinct(c)
+            bits = float((lengths[np.searchsorted(code_names, some)] * repeat).sum())
             rows.append((
-                i, bool(o), len(seen), sum(1 for s in seen if s > 0), train_tokens, math.fsum(math.log10(s + 1) for s in seen) - len(seen) * unknown,
+                bool(o), len(at), int((counts[at] > 0).sum()), train_tokens, float(logs[at].sum()) - len(at) * unknown,
                 -bits * math.log10(2), len(c) - 1, bits / len(c),
             ))
-        return pd.DataFrame(rows, columns=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]).astype({"id": "Int64"})
+        result = pd.DataFrame(rows, columns=["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])
+        result.insert(0, "id", pd.array(ids, dtype="Int64"))
+        return result
 
     scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
         score, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"

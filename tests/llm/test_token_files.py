@@ -32,8 +32,10 @@ def test_random_texts_encode_like_the_tokenizer(tokenizer):
 
 
 def test_known_pieces_are_forgotten(tokenizer):
-    encoder = common.Encoder(tokenizer, remember=2)
-    assert encoder.encode(["a b c d"]) == encoder.encode(["a b c d"])
+    encoder, whole = common.Encoder(tokenizer, remember=2), common.Encoder(tokenizer)
+    for text in ("a b c d", "e f g h", "a b c d", "x", "e f g h i", "a"):
+        assert encoder.encode([text]) == whole.encode([text])
+        assert len(encoder.known) + len(encoder.older) <= 12
 
 
 def test_round_trip(spark, odd, tokenizer, tmp_path):
