@@ -25,14 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitext.llm.common import LOWER, UPPER, same, staged, text_blocks
+from bitext.llm.common import LOWER, UPPER, Encoder, same, staged, text_blocks
 
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
-BLOCK_CHARS = 6 << 20  # words of a block are held as objects, ten times its size
+BLOCK_CHARS = 3 << 20  # words of a block are held as objects, ten times its size
 TILE = 1 << 17  # shingles of a side of a tile, plus 64 per text
 COLUMNS = 4096  # shingles multiplied at once
 FILTER_BITS = 1 << 22
-REMEMBER = 250_000  # word hashes a worker keeps
+REMEMBER = 150_000  # word hashes a worker keeps
 
 _word_hashes: dict[bytes, int] = {}
 
@@ -81,6 +81,7 @@ def shingle_sets(texts: list[list[bytes]], width: int) -> list[np.ndarray]:
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[list[bytes]]]]:
+    Encoder.forget()
     for batch in batches:
         for part in text_blocks(batch["text"].tolist(), BLOCK_CHARS):
             some = batch.iloc[part]
