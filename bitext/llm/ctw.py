@@ -31,7 +31,7 @@ DEPTH = 5
 UPPER_DEPTH = 2
 END = 0xFF  # no byte of UTF-8
 END_WORD = 0  # name of the end token; words have names above 0
-BLOCK_CHARS = 3 << 20
+BLOCK_CHARS = 5 << 20
 REMEMBER = 150_000
 U = np.uint64
 STOP, GO = math.log(0.5), math.log(0.5)
@@ -216,8 +216,11 @@ def _texts(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
-def _asked(table: pa.Table, depth: int, fold: int, folds: int):
-    """Of a block: word names, codes, and which documents are held out, with the distinct ones and their training counts."""
+def _asked(table: pa.Table, depth: int, fold: int, folds: int, count: bool):
+    """Of a block: which documents are held out, word names and codes, and the distinct ones with their training counts.
+
+    Without ``count`` the counts are left out: the distinct names alone tell in which order answers come.
+    """
     ids, texts = table["id"].to_pylist(), table["text"].to_pylist()
     out = np.array([held_out(i, fold, folds) for i in ids], dtype=bool)
     words = _word_names(texts)
@@ -225,7 +228,8 @@ def _asked(table: pa.Table, depth: int, fold: int, folds: int):
     empty = [np.zeros(0, dtype=np.uint64)]
 
     def counted(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        return _counted(np.concatenate(lists or empty), np.concatenate([x for x, o in zip(lists, out, strict=True) if not o] or empty))
+        train = [x for x, o in zip(lists, out, strict=True) if not o] if count else []
+        return _counted(np.concatenate(lists or empty), np.concatenate(train or empty))
 
     word_names, word_counts = counted(words)
     # The end of a text is a token of every document.
@@ -269,14 +273,14 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", depth:
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for block, data in zip(batch["block"], batch["data"], strict=True):
-                *_, words, codes = _asked(_texts(data), depth, fold, folds)
+                *_, words, codes = _asked(_texts(data), depth, fold, folds, True)
                 for kind, (names, counts), bucket in (("word", words, _bucket(words[0], buckets)), ("code", codes, _code_bucket(codes[0], buckets))):
                     order = np.argsort(bucket, kind="stable")
                     filled, many = distinct(bucket)
                     parts = np.split(order, np.cumsum(many)[:-1])
                     yield pd.DataFrame({"kind": kind, "bucket": filled, "block": block, "data": [_pack(names[p], counts[p]) for p in parts]})
 
-    asked = staged(blocks.repartition(max(1, blocks.count())).mapInPandas(ask, "kind string, bucket long, block long, data binary"), "asked")
+    asked = staged(blocks.mapInPandas(ask, "kind string, bucket long, block long, data binary"), "asked")
 
     def count_words(group: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpack(d) for d in group["data"]]
@@ -334,7 +338,7 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", depth:
     unknown = math.log10(train_tokens + vocabulary + 1)
 
     def score(block: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        ids, out, words, codes, (names, _), (code_names, _) = _asked(_texts(block["data"].iloc[0]), depth, fold, folds)
+        ids, out, words, codes, (names, _), (code_names, _) = _asked(_texts(block["data"].iloc[0]), depth, fold, folds, False)
         found = []
         for kind, own, bucket, form in (("word", names, _bucket(names, buckets), "<i8"), ("code", code_names, _code_bucket(code_names, buckets), "<f4")):
             values = np.zeros(len(own))
