@@ -106,7 +106,7 @@ def _repeated(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                 {"id": i, "known": k, "cls": c or 0, "n": len(s)}
                 for i, k, c, s in zip(some["id"].tolist(), some["known"].tolist(), names, sets, strict=True)
             ]
-            yield pd.DataFrame({"bucket": [-1 - block % buckets], "block": [block], "lows": [b""], "counts": [b""], "docs": [rows]})
+            yield pd.DataFrame({"bucket": [-1 - block % buckets], "block": [block], "lows": [b""], "counts": [b""], "wide": [False], "docs": [rows]})
             # A class once per block: copies do not make a shingle common.
             first = {c: k for k, c in reversed(list(enumerate(names))) if c is not None}
             at = sorted(first.values())
@@ -118,11 +118,12 @@ def _repeated(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                 ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 filled = [b for b in range(buckets) if ends[b] < ends[b + 1]]
                 parts = [order[ends[b] : ends[b + 1]] for b in filled]
+                wide = max(map(len, sets)) >= 65536
                 yield pd.DataFrame({
                     "bucket": filled, "block": block,
                     "lows": [flat[p].astype("<u4").tobytes() for p in parts],
-                    "counts": [np.bincount(owner[p], minlength=len(rows)).astype("<u2" if max(map(len, sets)) < 65536 else "<u4").tobytes() for p in parts],
-                    "docs": [None] * len(filled),
+                    "counts": [np.bincount(owner[p], minlength=len(rows)).astype("<u4" if wide else "<u2").tobytes() for p in parts],
+                    "wide": wide, "docs": [None] * len(filled),
                 })
             block += 1
 
@@ -133,22 +134,19 @@ def _repeated(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         flat, bucket = np.concatenate(lows), int(group["bucket"].iloc[0])
         _, back, count = np.unique(flat, return_inverse=True, return_counts=True)
         count, out, lo = count[back], [], 0
-        for block, own, found in zip(group["block"], lows, group["counts"], strict=True):
+        for block, own, found, wide in zip(group["block"], lows, group["counts"], group["wide"], strict=True):
             here = count[lo : lo + len(own)]
             many = here > 1
             lo += len(own)
             if many.any():
-                # The lengths tell the width of the counts: they add up to the shingles sent.
-                per = np.frombuffer(found, "<u2")
-                if per.sum() != len(own):
-                    per = np.frombuffer(found, "<u4")
+                per = np.frombuffer(found, "<u4" if wide else "<u2")
                 owner = np.repeat(np.arange(len(per)), per)[many].astype("<u4")
                 keys = (np.uint64(bucket) << np.uint64(32)) | own[many].astype(np.uint64)
                 out.append((block, None, owner.tobytes(), keys.astype("<i8").tobytes(), here[many].astype("<u4").tobytes()))
         return pd.DataFrame(out, columns=["block", "docs", "owner", "keys", "counts"])
 
     sent = docs.mapInPandas(
-        scatter, "bucket long, block long, lows binary, counts binary, docs array<struct<id: long, known: boolean, cls: long, n: int>>"
+        scatter, "bucket long, block long, lows binary, counts binary, wide boolean, docs array<struct<id: long, known: boolean, cls: long, n: int>>"
     )
     return sent.groupBy("bucket").applyInPandas(
         gather, "block long, docs array<struct<id: long, known: boolean, cls: long, n: int>>, owner binary, keys binary, counts binary"

@@ -78,3 +78,13 @@ def test_rows_without_identifier(spark):
 
 def test_empty_table(none):
     assert jaccard.link_similar(none).collect() == []
+
+
+def test_very_long_text_between_near_copies(spark):
+    # All in one block; the long text makes its counts wide although each of them is small.
+    near = [[f"n{k}w{i}" for i in range(60)] for k in range(12)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(near)]
+    rows.append((100, " ".join(f"long{i}" for i in range(70_000))))
+    rows += [(200 + k, " ".join([*w[:-1], "other"])) for k, w in enumerate(near)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert order(jaccard.link_similar(docs).collect()) == order(brute(rows))
