@@ -1,6 +1,6 @@
 """Licence scans by sentence rules.
 
-A text's sentences are normalised and looked up among known licence sentences; the identifiers in
+A text's lines are normalised and known licence sentences found in them, wrapped or not; the identifiers in
 their order are then matched against ordered rules, longest and most specific first, and what a rule took is not matched
 again.  All in DataFrame functions.
 """
@@ -72,6 +72,9 @@ RULES = [
 #: Every known sentence has one of these, so that a text without any has no licence sentence.
 MARKERS = "licen[sc]|copyright|permission|warrant|redistribut|cc0"
 
+#: A line end and what is before the text of the next line: marks, words that open a comment, a number in a list.
+LINE_START = r"\n[^a-z0-9\n]*(?:(?:dnl|rem|c)[ \t]+[^a-z0-9\n]*)?(?:(?:[0-9]{1,3}|[a-z]|[ivx]{1,4})[.)][ \t]*(?=[a-z]))?"
+
 
 def normalised(sentence: str) -> str:
     """Lower case, every run of other characters than letters, digits and dots inside numbers a blank."""
@@ -84,10 +87,22 @@ def known_sentences() -> dict[str, str]:
     return {normalised(s): name for name, forms in SENTENCES.items() for s in forms}
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text: cut at line ends and after . ! ? ; : before white space."""
-    cut = F.split(F.regexp_replace(text, r"([.!?;:])[ \t]+", "$1\n"), "\n")
-    return F.transform(cut, lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), r"[^a-z0-9.]+", " "), r"\.+( |$)", "$1")))
+def lines(text: Column) -> Column:
+    """A text's normalised lines, each between line ends; a blank line stands where a sentence ends inside or at the end of one.
+
+    Marks of comments and list numbers at the start of a line are no part of it.
+    """
+    out = F.concat(F.lit("\n"), F.lower(text), F.lit("\n"))
+    out = F.regexp_replace(out, LINE_START, "\n")
+    out = F.regexp_replace(out, r"([.!?;:])(?:[ \t]+|\r?\n)", "$1\n\n")
+    out = F.regexp_replace(out, r"[^a-z0-9.\n]+", " ")
+    return F.regexp_replace(F.regexp_replace(out, r"\.+(?=[ \n])", ""), r" *\n *", "\n")
+
+
+def sentence_pattern() -> str:
+    """Finds the known sentences that fill whole lines of ``lines``, one or several; the longest first."""
+    forms = sorted(known_sentences(), key=lambda s: (-len(s), s))
+    return r"\n(" + "|".join(s.replace(".", r"\.").replace(" ", r"[ \n]") for s in forms) + r")(?=\n)"
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -95,12 +110,13 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Identifiers of the known sentences in order; the licences whose rules match, in the order of the rules, each once; the first
     of them; and how many known sentences no rule took.  Null or empty texts, and texts without known sentence: empty
-    arrays, null, 0.  A sentence broken over lines is not known.  Repeated rows are rows of their own.  Columns named like a
+    arrays, null, 0.  A sentence may be wrapped over lines, also in a comment, but not over a blank one.  Repeated rows are rows of their own.  Columns named like a
     result column give way.  An empty table gives an empty one.
     """
     table = F.create_map(*[F.lit(x) for pair in known_sentences().items() for x in pair])
     whole = F.coalesce(F.col(text), F.lit(""))
-    found = F.filter(F.transform(sentences(whole), lambda s: F.try_element_at(table, s)), lambda x: x.isNotNull())
+    said = F.regexp_extract_all(lines(whole), F.lit(sentence_pattern()), 1)
+    found = F.transform(said, lambda s: F.try_element_at(table, F.translate(s, "\n", " ")))
     marked = F.lower(whole).rlike(MARKERS)
     rows = docs.select(
         F.struct(*without(docs, RESULT)).alias("row"), F.when(marked, found).otherwise(F.array().cast("array<string>")).alias("licence_sentences")

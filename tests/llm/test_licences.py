@@ -62,3 +62,87 @@ def test_odd_and_empty(odd, none):
 @pytest.mark.parametrize("name", ["Python", "Pandas", "Arrow"])
 def test_plan_is_native(spark, odd, name):
     assert name not in licences.scan(spark.range(1).selectExpr("'x' AS text"))._jdf.queryExecution().executedPlan().toString()
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE.
+"""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+APACHE = """Copyright 2020 Somebody
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+NOTICES = [
+    (MIT, "MIT", ["mit_grant", "mit_notice", "mit_warranty"]),
+    (BSD2, "BSD-2-Clause", ["bsd_redistribute", "bsd_source", "bsd_binary"]),
+    (BSD3, "BSD-3-Clause", ["bsd_redistribute", "bsd_source", "bsd_binary", "bsd_endorse"]),
+    (GPL, "GPL-3.0-or-later", ["gpl_free", "gpl_hope", "gpl_merchant"]),
+    (GPL.replace("version 3", "version 2"), "GPL-2.0-or-later", ["gpl2_free", "gpl_hope", "gpl_merchant"]),
+    (APACHE, "Apache-2.0", ["apache_release", "apache_compliance", "apache_copy", "apache_basis"]),
+]
+
+
+def test_wrapped_notices(spark):
+    def ways(t):
+        yield t
+        yield t.replace("\n", "\r\n")
+        yield t.replace("1. ", "(a) ").replace("2. ", "(b) ").replace("3. ", "iii) ")
+        for mark in ("# ", "// ", " * ", ";; ", "dnl ", ".. ", '.\\" ', "C     ", "> "):
+            yield "".join(mark + line + "\n" for line in t.splitlines())
+
+    cases = [(t, name, found) for text, name, found in NOTICES for t in ways(text)]
+    docs = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: (r.licence_sentences, r.licences, r.licence, r.unmatched_sentences) for r in licences.scan(docs).collect()}
+    assert got == {k: (found, [name], name, 0) for k, (_, name, found) in enumerate(cases)}
+
+
+def test_no_sentence_over_a_blank_line(spark):
+    docs = spark.createDataFrame([("Released under the\n\nMIT License.",), ("Released under the\nMIT License.\nLicensed under CC BY 4.0.",)], "text string")
+    assert sorted(r.licence_sentences for r in licences.scan(docs).collect()) == [[], ["mit_release", "cc_by"]]
