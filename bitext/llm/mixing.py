@@ -2,8 +2,8 @@
 
 Every document gets an exponential key divided by its quality weight; inside
 its source the documents stand in the order of the keys, which is weighted
-sampling without replacement.  A source takes whole epochs first, then the
-documents whose running sum fits into what is left of its token budget.
+sampling without replacement.  A source takes whole epochs first, then in key
+order the documents that fit into what is left of its token budget.
 """
 
 from __future__ import annotations
@@ -61,6 +61,61 @@ def sampling_key(id_: Column, weight: Column, seed: str) -> Column:
     return F.when(weight > 0, -F.ln(uniform) / weight).otherwise(F.lit(float("inf")))
 
 
+def _pass_over(left: DataFrame, state: DataFrame) -> DataFrame:
+    """Rounds in which sources go on in key order and pass over what is larger than what is missing.
+
+    ``left`` (source, rank, size) are documents not taken, ``state`` (s_source, missing, at) what each source misses
+    when the first ``at`` documents have been looked at.  Gives rows (s_source, round, missing, off, last, low, high, limit,
+    event): in a round the documents of ranks low to high (without high) up to the size ``limit`` are taken, and that of
+    rank ``event``; then ``missing`` is missing, and the one left whose size is nearest to it, ``last``, leaves ``off``.
+
+    With what is missing between a power of two and its double, all documents up to the power fit and at most
+    one larger.  So one running sum leads below the power, and rounds are no more than the bits of what is missing.
+    """
+    none, key = F.lit(None).cast("long"), same(F.col("source"), F.col("s_source"))
+    state = state.select("s_source", "missing", "at", none.alias("low"), none.alias("high"), none.alias("limit"), none.alias("event"))
+    told, number = None, 0
+    while True:
+        # What is missing only shrinks: twice as large a document is of no use any more.
+        left = staged(
+            left.join(state, key).where(
+                (F.col("size") > 0) & (F.col("size") < 2 * F.col("missing"))
+                & ~F.coalesce((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")) & (F.col("size") <= F.col("limit")), F.lit(False))
+                & ~F.coalesce(F.col("rank") == F.col("event"), F.lit(False))
+            ).select("source", "rank", "size"), "mix-left",
+        )
+        near = left.join(state, key).groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("missing")).alias("off"), "rank")).alias("best"))
+        state = staged(
+            state.join(near, key, "left").select(
+                "s_source", F.lit(number).alias("round"), "missing", F.least("missing", "best.off").alias("off"),
+                F.when(F.col("best.off") < F.col("missing"), F.col("best.rank")).alias("last"), "at", "low", "high", "limit", "event",
+            ), "mix-round",
+        )
+        told = state if told is None else told.union(state)
+        # Sizes are whole: nothing is nearer than a half.
+        power = F.pow(F.lit(2.0), F.floor(F.log2("missing")))
+        power = F.when(power > F.col("missing"), power / 2).otherwise(power).cast("long")
+        going = state.where("off > 0.5").withColumn("power", power)
+        able = left.join(going, key).where("rank >= at AND size <= missing").select("source", "rank", "size", "missing", "power")
+        small = F.when(F.col("size") <= F.col("power"), F.col("size")).otherwise(0)
+        able = running(able, ["source"], ["rank"], {"before": small}, "mix-able")
+        rest = F.col("missing") - F.col("before") - F.col("size")
+        falls = F.when(F.col("size") <= F.col("power"), rest < F.col("power")).otherwise(rest >= 0)
+        steps = able.groupBy("source").agg(
+            F.min(F.when(falls, F.struct("rank", rest.alias("rest")))).alias("event"), F.sum(small).alias("all"), F.max("rank").alias("end")
+        )
+        state = staged(
+            going.select("s_source", "missing", "at", "power").join(steps, key).select(
+                "s_source", F.coalesce("event.rest", F.col("missing") - F.col("all")).alias("missing"),
+                (F.coalesce("event.rank", "end") + 1).alias("at"), F.col("at").alias("low"),
+                F.coalesce("event.rank", F.col("end") + 1).alias("high"), F.col("power").alias("limit"), F.col("event.rank").alias("event"),
+            ), "mix-state",
+        )
+        if state.isEmpty():
+            return told
+        number += 1
+
+
 def mix(
     docs: DataFrame,
     size: Column,
@@ -70,13 +125,16 @@ def mix(
     cycle: Sequence[int] = (5, 2, 1),
     max_epochs: int = 3,
     seed: str = "mix",
+    pass_over: bool = True,
 ) -> DataFrame:
     """How often each document enters the mix: the rows of ``docs`` with source_size, target, copies, taken.
 
     ``copies`` is the number of whole epochs of its source, plus one for documents that the
     fraction of an epoch selects; ``taken`` is copies times ``size``.  The fraction takes documents in key
-    order while they fit, then the one document left over whose size is nearest to what is
-    missing, if that brings the source nearer.  Equal input gives equal output.
+    order while they fit, then goes on and passes over those larger than what is missing; where it stops, the one document
+    left over whose size is nearest to what is missing comes last, if that brings the source nearer.  It may stop at the first
+    that does not fit, and whenever what is missing falls below a power of two: where the source comes nearest.  Without ``pass_over`` it stops at the first document that does not fit.  Equal input
+    gives equal output.
 
     Null source: a source of its own, the last.  Null or negative size: 0, such documents come along
     with whole epochs.  Null weight: 1; zero or less: last in its source.  Null identifiers draw one key.
@@ -103,19 +161,37 @@ def mix(
     narrow = ordered.drop("row").join(targets, same(F.col("source"), F.col("t_source")))
     fits = F.col("before") + F.col("size") <= F.col("budget")
     filled = narrow.groupBy("source").agg(
-        F.coalesce(F.max(F.when(fits, F.col("before") + F.col("size"))), F.lit(0)).alias("filled")
+        F.coalesce(F.max(F.when(fits, F.col("before") + F.col("size"))), F.lit(0)).alias("filled"),
+        F.coalesce(F.max(F.when(fits, F.col("rank"))) + 1, F.lit(0)).alias("at"),
     ).withColumnRenamed("source", "f_source")
     missing = F.col("budget") - F.col("filled")
-    last = (
-        narrow.where(~fits & (F.col("budget") > 0))
-        .join(filled, same(F.col("source"), F.col("f_source")))
-        .where(F.abs(F.col("size") - missing) < missing)
-        .groupBy("source")
-        .agg(F.min(F.struct(F.abs(F.col("size") - missing).alias("off"), "rank")).alias("best"))
-        .select(F.col("source").alias("l_source"), F.col("best.rank").alias("last"))
-    )
+    if pass_over:
+        state = targets.where("budget > 0").join(filled, same(F.col("t_source"), F.col("f_source")))
+        state = staged(state.select(F.col("t_source").alias("s_source"), missing.alias("missing"), "at"), "mix-start")
+        rounds = _pass_over(narrow.where(~fits & (F.col("budget") > 0)).select("source", "rank", "size"), state)
+        best = rounds.groupBy("s_source").agg(
+            F.min(F.struct("off", "round", "last")).alias("best"), F.collect_list(F.struct("round", "low", "high", "limit", "event")).alias("steps")
+        )
+        last = best.select(
+            F.col("s_source").alias("l_source"), F.col("best.last").alias("last"),
+            F.filter("steps", lambda x: (x["round"] > 0) & (x["round"] <= F.col("best.round"))).alias("steps"),
+        )
+    else:
+        last = (
+            narrow.where(~fits & (F.col("budget") > 0))
+            .join(filled, same(F.col("source"), F.col("f_source")))
+            .where(F.abs(F.col("size") - missing) < missing)
+            .groupBy("source")
+            .agg(F.min(F.struct(F.abs(F.col("size") - missing).alias("off"), "rank")).alias("best"))
+            .select(F.col("source").alias("l_source"), F.col("best.rank").alias("last"))
+        )
     plan = targets.join(last, same(F.col("t_source"), F.col("l_source")), "left").drop("l_source")
-    extra = (F.col("budget") > 0) & (fits | F.coalesce(F.col("rank") == F.col("last"), F.lit(False)))
+    chosen = fits | F.coalesce(F.col("rank") == F.col("last"), F.lit(False))
+    if pass_over:
+        later = F.exists("steps", lambda x: (F.col("rank") >= x["low"]) & (F.col("rank") < x["high"]) & (F.col("size") <= x["limit"])
+                         | F.coalesce(F.col("rank") == x["event"], F.lit(False)))
+        chosen = chosen | (F.coalesce(later, F.lit(False)) & (F.col("size") > 0))
+    extra = (F.col("budget") > 0) & chosen
     copies = (F.col("epochs") + F.when(extra, 1).otherwise(0)).cast("int")
     return (
         ordered.join(plan, same(F.col("source"), F.col("t_source")))

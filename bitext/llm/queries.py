@@ -24,11 +24,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 @query
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents labelled good weigh 1, without label 0.5, labelled bad 0.25."""
+    """Documents labelled good weigh 1, without label 0.5, labelled bad 0.25; stops where its SQL does."""
     docs = common.staged(
         table(spark, folder, "documents").select("doc_id", "source", common.n_words(F.col("text")).alias("size")), "sizes"
     )
-    mixed = mixing.mix(with_quality(docs, table(spark, folder, "labels")), F.col("size"), F.col("quality_weight"))
+    mixed = mixing.mix(with_quality(docs, table(spark, folder, "labels")), F.col("size"), F.col("quality_weight"), pass_over=False)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "quality_weight")
 
 

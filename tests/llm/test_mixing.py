@@ -72,3 +72,51 @@ def test_odd_rows(odd, none):
     assert len(rows) == odd.count() and found.columns.count("taken") == 1
     assert all(r.taken == 0 for r in rows if not r.text) and all(0 <= r.copies <= 3 for r in rows)
     assert mixing.mix(none, F.length("text")).collect() == []
+
+
+def in_turn(sizes, budget):
+    """How near a source comes, one document at a time in key order; it may stop where the first does not fit, and
+    whenever what is missing falls below a power of two."""
+    left, taken, plans, power = budget, set(), [], None
+    for k in [*range(len(sizes)), None]:
+        first = power is None and (k is None or sizes[k] > left)
+        if k is not None and 0 < sizes[k] <= left:
+            taken.add(k)
+            left -= sizes[k]
+        if first or k is None or (power and left < power):
+            rest = [s for j, s in enumerate(sizes) if s and j not in taken]
+            plans.append(min([left, *(abs(s - left) for s in rest)]))
+            power = 2 ** math.floor(math.log2(left)) if left >= 1 else 0
+    return min(plans)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_dominating_document(spark, seed):
+    # Targets are 5, 2 and 1 eighths of 3600; b takes 900 of its 2000, c 450 of its 1600.
+    random.seed(seed)
+    rows = [(0, "b", 1000)] + [(k, "b", 10) for k in range(1, 101)] + [(200, "c", 1500)] + [(200 + k, "c", random.choice([3, 7, 20])) for k in range(1, 11)]
+    rows += [(300, "a", 2000)] + [(300 + k, "a", 50) for k in range(1, 31)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = mixing.mix(docs, F.col("size"), F.when(F.col("size") >= 1000, 1000.0), seed=str(seed)).collect()
+    order = {r.doc_id: r.key for r in docs.select("doc_id", mixing.sampling_key(F.col("doc_id"), F.when(F.col("size") >= 1000, 1000.0).otherwise(1.0), str(seed)).alias("key")).collect()}
+    for source in "abc":
+        some = sorted((r for r in got if r.source == source), key=lambda r: order[r.doc_id])
+        target, size = some[0].target, some[0].source_size
+        want = in_turn([r.size for r in some], target - target // size * size)
+        assert abs(abs(sum(r.taken for r in some) - target) - want) < 1e-6
+        assert source != "b" or want <= 5
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_passing_over_against_one_at_a_time(spark, seed):
+    random.seed(seed)
+    rows = [(k, random.choice(["p", "q", "r", None]), int(2 ** random.uniform(3, 14))) for k in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = mixing.mix(docs, F.col("size")).collect()
+    order = {r.doc_id: r.key for r in docs.select("doc_id", mixing.sampling_key(F.col("doc_id"), F.lit(1.0), "mix").alias("key")).collect()}
+    for source in {r.source for r in got}:
+        some = sorted((r for r in got if r.source == source), key=lambda r: order[r.doc_id])
+        target, size = some[0].target, some[0].source_size
+        want = in_turn([r.size for r in some], target - target // size * size)
+        assert abs(abs(sum(r.taken for r in some) - target) - want) < 1e-6
+        assert {r.copies for r in some} <= {target // size, target // size + 1}
