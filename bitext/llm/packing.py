@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitext.llm.common import Encoder, running, text_blocks, without
+from bitext.llm.common import Encoder, arrow_blocks, running, without
 
 RESULT = ["sequence_id", "offset"]
 
@@ -185,27 +186,31 @@ def token_pieces(
     length, of which the first takes what is over.  A null text is empty: a document of one end id.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = Encoder.of(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder.of(tokenizer)
         for batch in batches:
-            for part in text_blocks(batch["text"].tolist()):
-                some = batch.iloc[part]
-                rows = []
-                for key, raw in zip(some["id"], encoder.encode(some["text"].tolist()), strict=True):
-                    raw += end
-                    n = len(raw) // 4
-                    first = (n - 1) % capacity + 1
-                    starts = [0, *range(first, n, capacity)]
-                    for piece, (lo, hi) in enumerate(zip(starts, [*starts[1:], n], strict=True)):
-                        ids = raw[4 * lo : 4 * hi]
-                        rows.append((key, piece, lo, hi - lo, zlib.crc32(ids), *([np.frombuffer(ids, "<u4").astype(np.int32)] if with_ids else [])))
-                yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
+            for some in arrow_blocks(batch, "text"):
+                ids, bounds = encoder.encode(some.column("text"))
+                ends = bounds[1:] + np.arange(1, len(bounds))
+                ids = np.insert(ids, bounds[1:], np.uint32(end_id)).astype("<u4")
+                lengths = np.diff(ends, prepend=0)
+                first = (lengths - 1) % capacity + 1
+                pieces = 1 + (lengths - first) // capacity
+                owner = np.repeat(np.arange(len(some)), pieces)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = np.where(piece == 0, 0, first[owner] + (piece - 1) * capacity)
+                length = np.where(piece == 0, first[owner], capacity)
+                at = (ends - lengths)[owner] + start
+                raw = memoryview(ids).cast("B")
+                digests = [zlib.crc32(raw[4 * lo : 4 * hi]) for lo, hi in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                columns = [some.column("id").take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(digests, pa.int64())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
     kind = dict(docs.dtypes)[id]
-    types = f"id string, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    # Identifiers travel as text: integers with nulls would become doubles.
-    found = docs.select(F.col(id).cast("string").alias("id"), F.col(text).alias("text")).mapInPandas(cut, types)
-    return found.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id)
+    types = f"id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
+    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(cut, types).withColumnRenamed("id", id)
 
 
 def sequences(packed: DataFrame, ids: str = "ids") -> DataFrame:

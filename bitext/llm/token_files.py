@@ -9,6 +9,7 @@ their own; only the files of tasks that ended well are listed in ``parts``, whic
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import uuid
 import zlib
@@ -16,19 +17,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bitext.llm.common import Encoder, text_blocks
+from bitext.llm.common import Encoder, arrow_blocks
 
 MAGIC = b"BTXIDS01"
 FOOTER = "<QQ"  # where the index begins, how many documents
 ENTRY = np.dtype([("id", "<i8"), ("known", "u1"), ("offset", "<u8"), ("tokens", "<u8")])
 SAMPLE_CHARS = 4096
 PARTS = "part int, file string, documents long, tokens long"
+PART_TYPES = pa.schema([("part", pa.int32()), ("file", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())])
 
 
 def open_path(path: str) -> tuple[fs.FileSystem, str]:
@@ -45,25 +48,30 @@ def _frames(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
 def train_dictionary(
     docs: DataFrame, tokenizer: str, text: str, width: int, sample_docs: int = 2_000, size: int = 1 << 16
 ) -> bytes:
-    """A dictionary from the serialized ids of ``sample_docs`` short documents, those of the least text hash.
+    """A dictionary from the serialized ids of ``sample_docs`` short, different texts, those of the least text hash.
 
-    The dictionary is for short documents, so texts over ``SAMPLE_CHARS`` are no samples.  The sample is bounded
-    because zstandard uses a bounded one; all documents are written with the result.  Too few samples: no dictionary.
+    The dictionary is for short documents, so texts over ``SAMPLE_CHARS`` are no samples; copies are one sample.  The sample
+    is bounded because zstandard uses a bounded one; all documents are written with the result.  Too few samples: no dictionary.
     """
     sample = docs.select(F.col(text).alias("text")).where(F.length("text").between(1, SAMPLE_CHARS))
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         samples = []
         for batch in batches:
-            samples += [np.frombuffer(raw, "<u4").astype(f"<u{width}").tobytes() for raw in Encoder.of(tokenizer).encode(batch["text"].tolist())]
+            ids, bounds = Encoder.of(tokenizer).encode(batch["text"].tolist())
+            ids = ids.astype(f"<u{width}")
+            samples += [ids[lo:hi].tobytes() for lo, hi in itertools.pairwise(bounds.tolist())]
         try:
             found = zstandard.train_dictionary(size, samples).as_bytes() if len(samples) > 7 else b""
         except zstandard.ZstdError:  # too little to learn from
             found = b""
         yield pd.DataFrame({"dictionary": [found]})
 
-    chosen = sample.orderBy(F.xxhash64("text"), "text").limit(sample_docs)
-    return bytes(chosen.coalesce(1).mapInPandas(train, "dictionary binary").first()["dictionary"])
+    # Combined before the shuffle, so a group of copies is a row per task.
+    hashes = sample.select(F.xxhash64("text").alias("hash")).distinct().orderBy("hash").limit(sample_docs)
+    chosen = sample.join(F.broadcast(hashes), F.xxhash64("text") == F.col("hash")).select("text").distinct()
+    found = chosen.coalesce(1).mapInPandas(train, "dictionary binary").first()
+    return bytes(found["dictionary"]) if found else b""
 
 
 def write_tokens(
@@ -87,33 +95,39 @@ def write_tokens(
     # Integers with nulls would become doubles.
     ordered = ordered.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNotNull().alias("known"), "text")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = open_path(path)
-        encoder, end = Encoder.of(tokenizer), np.array([end_id], dtype="<u4").tobytes()
-        packer = zstandard.ZstdCompressor(level=level, dict_data=_frames(dictionary))
+        encoder, end = Encoder.of(tokenizer), np.array([end_id], dtype=f"<u{width}").tobytes()
+        frames = _frames(dictionary)
+        if frames:
+            frames.precompute_compress(level=level)  # else every frame would digest the dictionary anew
+        packer = zstandard.ZstdCompressor(level=level, dict_data=frames)
         name = f"ids-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         out, index, at, tokens = None, [], 0, 0
         for batch in batches:
-            for part in text_blocks(batch["text"].tolist()):
-                some = batch.iloc[part]
+            for some in arrow_blocks(batch, "text"):
                 if out is None:
                     out = system.open_output_stream(f"{folder}/{name}")
                     at = out.write(MAGIC + hashlib.sha256(dictionary).digest() + struct.pack("<B", width))
                 entries = np.zeros(len(some), dtype=ENTRY)
-                entries["known"], entries["id"] = some["known"], some["id"]
-                for k, raw in enumerate(encoder.encode(some["text"].tolist())):
-                    ids = np.frombuffer(raw + end, "<u4")
-                    entries["offset"][k], entries["tokens"][k] = at, len(ids)
-                    at += out.write(packer.compress(ids.astype(f"<u{width}").tobytes()))
+                entries["known"] = some.column("known").to_numpy(zero_copy_only=False)
+                entries["id"] = some.column("id").to_numpy(zero_copy_only=False)
+                ids, bounds = encoder.encode(some.column("text"))
+                ids = ids.astype(f"<u{width}")
+                entries["tokens"] = np.diff(bounds) + 1
+                for k, (lo, hi) in enumerate(itertools.pairwise(bounds.tolist())):
+                    entries["offset"][k] = at
+                    at += out.write(packer.compress(ids[lo:hi].tobytes() + end))
                 index.append(entries)
                 tokens += int(entries["tokens"].sum())
         if out is not None:
             whole = np.concatenate(index)
             out.write(whole.tobytes() + struct.pack(FOOTER, at, len(whole)) + MAGIC)
             out.close()
-            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "file": [name], "documents": [len(whole)], "tokens": [tokens]})
+            found = {"part": [TaskContext.get().partitionId()], "file": [name], "documents": [len(whole)], "tokens": [tokens]}
+            yield pa.RecordBatch.from_pydict(found, schema=PART_TYPES)
 
-    ordered.mapInPandas(write, PARTS).write.parquet(f"{path}/parts")
+    ordered.mapInArrow(write, PARTS).write.parquet(f"{path}/parts")
 
 
 class TokenFile:
