@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitext.llm import chat, common, ctw, forest, jaccard, licences, mixing, packing, parsing, shards, token_files
+from bitext.llm import (
+    chat, common, ctw, forest, jaccard, licences, merkle, mixing, packing, parsing, periods, shards, token_files, windows,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -219,3 +221,106 @@ FROM listed
 
 
 SQL["op8_licences"] = _licence_sql()
+
+
+@query
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Sequences that hold the sources in the proportions of the whole corpus."""
+    pieces = windows.pack_mixture(table(spark, folder, "documents"), tokenizer(), capacity=2048, end_id=1)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source",
+    )
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id, text: texts of documents with h % 10 = 0 repeat a stretch of their own words from some word on.
+
+    h is the CRC-32 of the decimal identifier (without identifier nothing repeats).  Such a text comes out as words joined by blanks.
+    """
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({common.WORD})"), F.lit(1)))
+    rows = rows.withColumn("words", words).withColumn("n", F.size("words").cast("long")).withColumn("g", F.floor(F.col("h") / 10))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("n") - 1),
+        lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")),
+    )
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periods(spark: SparkSession, folder: str) -> DataFrame:
+    found = periods.find_runs(planted_periods(table(spark, folder, "documents")))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    longest = F.col("longest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        longest["start"].alias("start"), longest["length"].alias("length"), longest["period"].alias("period"),
+        F.floor(1000 * longest["length"] / longest["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(listed, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def lowered_fifth(docs: DataFrame) -> F.Column:
+    """The text, lower-cased where 5 divides the CRC-32 of the decimal identifier."""
+    fifth = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return F.when(fifth, F.translate("text", common.UPPER, common.LOWER)).otherwise(F.col("text"))
+
+
+@query
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return merkle.manifest(docs, changed={"text": lowered_fifth(docs)}).drop("proof", "source")
+
+
+def _merkle_sql(levels: int = 6) -> str:
+    """The manifest in SQL, for groups of up to 16 ** ``levels`` rows."""
+    entry = lambda c, v: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({v} AS VARCHAR)) || ':' || {v} END"
+    row = lambda text: " || ".join([*[entry(c, c) for c in ("doc_id", "source", "lang", "n_chars")], entry("text", text)])
+    steps = []
+
+    def tree(name: str, leaves: str, group: str) -> None:
+        """Nodes ``name``0, … (g, at, many, node) and steps ``name``_s0, … (g, at, before, after) over rows (g, at, many, node)."""
+        steps.append(f"{name}0 AS ({leaves})")
+        for k in range(levels):
+            steps.append(f"{name}{k + 1} AS (SELECT g, at // 16 AS at, (many + 15) // 16 AS many, sha256(string_agg(node, '' ORDER BY at)) AS node FROM {name}{k} WHERE many > 1 GROUP BY ALL)")
+            steps.append(
+                f"{name}_s{k} AS (SELECT a.g, a.at, coalesce(string_agg(b.node, '' ORDER BY b.at) FILTER (b.at < a.at), '') AS before, "
+                f"coalesce(string_agg(b.node, '' ORDER BY b.at) FILTER (b.at > a.at), '') AS after "
+                f"FROM {name}{k} a JOIN {name}{k} b ON a.g IS NOT DISTINCT FROM b.g AND a.at // 16 = b.at // 16 WHERE a.many > 1 GROUP BY a.g, a.at)"
+            )
+        steps.append(f"{name}_end AS (" + " UNION ALL ".join(f"SELECT g, node FROM {name}{k} WHERE many = 1" for k in range(levels + 1)) + ")")
+
+    def fold(name: str, rows: str, g: str, at: str) -> str:
+        """``rows`` with proof and seen led up one tree."""
+        for k in range(levels):
+            steps.append(
+                f"{name}_f{k} AS (SELECT r.* EXCLUDE (proof, seen), proof || coalesce(s.before || s.after, '') AS proof, "
+                f"CASE WHEN s.before IS NULL THEN seen ELSE sha256(s.before || seen || s.after) END AS seen "
+                f"FROM {rows} r LEFT JOIN {name}_s{k} s ON r.{g} IS NOT DISTINCT FROM s.g AND r.{at} // {16 ** k} = s.at)"
+            )
+            rows = f"{name}_f{k}"
+        return rows
+
+    steps.append(f"""hashed AS (
+  SELECT *, CASE WHEN crc % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS later
+  FROM (SELECT *, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: ascii(CAST(doc_id AS VARCHAR)[i])::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))) AS crc FROM documents)),
+rows_ AS (SELECT doc_id, source, sha256({row("text")}) AS leaf, sha256({row("later")}) AS seen FROM hashed),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at, count(*) OVER (PARTITION BY source) AS many FROM rows_)""")
+    tree("n", "SELECT source AS g, at, many, leaf AS node FROM placed", "source")
+    steps.append("tops AS (SELECT g AS name, node, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS at, count(*) OVER () AS many FROM n_end)")
+    tree("u", "SELECT 0 AS g, at, many, node FROM tops", "0")
+    begun = "begun"
+    steps.append("begun AS (SELECT p.*, t.node AS subroot, t.at AS place, 0 AS zero, '' AS proof FROM placed p JOIN tops t ON p.source IS NOT DISTINCT FROM t.name)")
+    rows = fold("u", fold("n", begun, "source", "at"), "zero", "place")
+    return "WITH " + ",\n".join(steps) + (
+        f"\nSELECT doc_id, leaf, subroot, e.node AS root, sha256(proof) AS proof_sha256, seen AS folded_root, seen = e.node AS verified FROM {rows}, u_end e"
+    )
+
+
+SQL["op13_merkle"] = _merkle_sql()
