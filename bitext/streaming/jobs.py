@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from bitext.operators.jobs import JOB, TYPES, scroll_step, with_moved
+from bitext.streaming.ordered import fold_in_order
 
 STATE = "seq long, type string, error string, progress_seq long, progress string"
 OUTPUT = "project_id string, document_id string, seq long, phase string, progress string, error string"
@@ -67,37 +68,47 @@ def stream_job_state(events: DataFrame, watermark: str = "1 hour", ttl_hours: in
     )
 
 
-def _fold_readers(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    events = pd.concat(list(frames), ignore_index=True).sort_values(["at_ms", "seq"], kind="stable")
-    expires = max(state.getCurrentWatermarkMs() + 1, int(events["_expires_ms"].max()))
-    quiet = state.get if state.exists else None
-    quiet = (quiet[0], quiet[1]) if quiet and quiet[0] else None
-    keep = []
-    for row in zip(events["kind"], events["side"], events["at_ms"], events["behavior"], events["moved"]):
-        quiet, accepted = scroll_step(quiet, *row)
-        keep.append(accepted)
-    state.update(quiet or ("", 0))
-    state.setTimeoutTimestamp(expires)
-    accepted = events.loc[keep, ["seq", "at_ms", "side"]]
-    accepted.insert(0, "reader_id", key[0])
-    yield accepted
+def _scroll(state: tuple | None, at_ms: int, seq: int, kind: str, side: str, behavior: str, moved: bool):
+    quiet, accepted = scroll_step(tuple(state) if state else None, kind, side, at_ms, behavior, moved)
+    return quiet, accepted
+
+
+def _silenced_until(state: tuple) -> int:
+    return state[1]
 
 
 def stream_debounced_sync(events: DataFrame, watermark: str = "10 seconds") -> DataFrame:
-    """Scroll events that make their side the leader, as ``operators.jobs.debounced_sync``.
+    """Scroll events that make their side the leader, as ``operators.jobs.debounced_sync``: reader_id, seq, at_ms, side.
 
-    The state of a reader is one silenced side; it goes when the watermark is a minute
-    past the last event.  A micro-batch holds what a reader did since the last one.
+    Events count in the order of ``at_ms`` and ``seq``, whatever micro-batch brings them: a reader's events wait until the watermark
+    on ``at_ms`` (milliseconds since the epoch) has passed them.  What is kept of a reader is the events that wait and one silenced
+    side, until its silence ends.  Events without reader or time are left out.  Needs ``ordered.use_state_lists``.
     """
-    return (
-        with_moved(events).withWatermark("ts", watermark)
-        .select("reader_id", "seq", "at_ms", "ts", "kind", "side", "behavior", "moved", _expires(60_000))
-        .groupBy("reader_id")
-        .applyInPandasWithState(
-            _fold_readers, "reader_id long, seq long, at_ms long, side string", "side string, until long",
-            "append", GroupStateTimeout.EventTimeTimeout,
-        )
+    return fold_in_order(
+        with_moved(events), ["reader_id"], "at_ms", ["seq", "kind", "side", "behavior", "moved"],
+        "side string, until long", _scroll, _silenced_until, ["seq", "at_ms", "side"], watermark,
     )
+
+
+def _start(state: tuple | None, at_ms: int, seq: int, type: str, expires_ms: int):
+    """A job runs from a start until its end, or until a start's time is up."""
+    running = state is not None and at_ms < state[0]
+    if type == "started":
+        return (state, False) if running else ((expires_ms,), True)
+    return None, False
+
+
+def _runs_until(state: tuple) -> int:
+    return state[0]
+
+
+def stream_accepted_starts(events: DataFrame, watermark: str = "1 hour", ttl_hours: int = 24 * 365) -> DataFrame:
+    """Start events of jobs that are not running already, as ``operators.jobs.accepted_starts``: the job, seq, at_ms.
+
+    Events count in the order of their time ``ts``, then ``seq``.  A start is refused while an accepted one of its job is neither
+    finished nor failed, for ``ttl_hours`` at most: a job that never ends is forgotten then.  Progress says nothing here.
+    """
+    clocked = events.where(F.col("type").isin("started", "failed", "finished")).select(
+        *JOB, F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), "seq", "type"
+    ).withColumn("expires_ms", F.col("at_ms") + ttl_hours * 3_600_000)
+    return fold_in_order(clocked, JOB, "at_ms", ["seq", "type", "expires_ms"], "until long", _start, _runs_until, ["seq", "at_ms"], watermark)
