@@ -296,8 +296,8 @@ def link_similar(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     their union in common; n_links counts the linked documents, copies included, and component_id is the
     least identifier reachable.  Fewer words than ``width``: the sequence is the one shingle.  No words or null
     text: no shingles, no links, its own component.  Null identifiers: such a document links like any other,
-    and only where all of a component are null is its component_id null.  Repeated rows are copies.  Other
-    columns play no part.  Shingles are compared by 64-bit hashes.  An empty table gives an empty one.
+    and only where all of a component are null is its component_id null.  Repeated rows are copies; different texts under one
+    identifier are different documents, each with its own links.  Other columns play no part.  Shingles are compared by 64-bit hashes.  An empty table gives an empty one.
     """
     spark = docs.sparkSession
     number = F.col(id).cast("long")
@@ -317,7 +317,7 @@ def link_similar(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     block_of = staged(
         entries.groupBy("cls").agg(F.max(F.struct("m", "key")).alias("best"), F.first("n").alias("n"))
         .select("cls", F.col("best.key").alias("block"), "n").join(classes.drop("n"), "cls"), "blocks",
-    ).withColumn("rep", F.coalesce("least", F.col("cls")))
+    ).withColumn("rep", F.col("cls"))
     placed = entries.select("key", "cls").join(block_of.select("cls", F.col("block").alias("own_block")), "cls")
     meets = placed.select("key", F.col("own_block").alias("block")).distinct()
     partners = (
@@ -356,7 +356,7 @@ def link_similar(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     known = block_of.select("cls", "rep", "least").join(links, "rep").join(roots, F.col("rep") == F.col("a"), "left")
     component = F.coalesce("root", "rep")
     known = staged(known.select("cls", "least", "links", component.alias("root")), "known")
-    # Representatives are least identifiers; only a class without any identifier is named by its hash.
+    # Classes are known by their own names throughout: an identifier may stand under several texts.
     least = known.groupBy("root").agg(F.min("least").alias("component"))
     linked = known.join(least, "root").select("cls", "links", "component")
     named = classes.select("cls", "least", "copies").join(linked, "cls", "left").select(

@@ -76,6 +76,26 @@ def test_rows_without_identifier(spark):
     assert order(jaccard.link_similar(docs).collect()) == order(brute(rows))
 
 
+def test_one_identifier_under_several_texts(spark):
+    a, b = [f"a{k}" for k in range(30)], [f"b{k}" for k in range(30)]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (2, " ".join([*a, "more"])), (9, " ".join([*b[:20], *a[:9]])), (5, "five words of one text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert order(jaccard.link_similar(docs).collect()) == order(brute(rows))
+
+
+def test_repeated_identifiers_and_a_common_shingle(spark):
+    random.seed(8)
+    words, common = [f"w{k}" for k in range(50)], "this passage stands in every text here"
+    base = [random.choices(words, k=random.randint(8, 40)) for _ in range(12)]
+    rows = []
+    for _ in range(160):
+        w = list(random.choice(base))
+        w[random.randrange(len(w))] = random.choice(words)
+        rows.append((random.randrange(40), " ".join(w) + " " + common))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert order(jaccard.link_similar(docs).collect()) == order(brute(rows))
+
+
 def test_empty_table(none):
     assert jaccard.link_similar(none).collect() == []
 
