@@ -104,11 +104,12 @@ def sketches(texts: list[str | None]) -> np.ndarray:
     if len(flat):
         hashed = _mix(flat + _POWER[3])
         slot = np.repeat(np.arange(len(texts)), [len(n) for n in names]) * BINS + (hashed % U(BINS)).astype(np.int64)
-        value = np.maximum(hashed >> U(48), U(1)).astype(np.uint16)
         order = np.argsort(slot, kind="stable")
-        slot, value = slot[order], value[order]
+        slot, hashed = slot[order], hashed[order]
         begins = np.flatnonzero(np.diff(slot, prepend=-1))
-        out[slot[begins]] = np.minimum.reduceat(value, begins)
+        # The upper bits of a minimum over many phrases are all zero: 16 bits of it are taken once it is mixed again.
+        least = _mix(np.minimum.reduceat(hashed, begins) + _POWER[4])
+        out[slot[begins]] = np.maximum(least >> U(48), U(1)).astype(np.uint16)
     return out.reshape(len(texts), BINS)
 
 

@@ -46,6 +46,13 @@ def test_likeness_follows_the_common_share():
     assert parsing.likeness(*[parsing.sketches([""])] * 2)[0] == 1.0
 
 
+def test_unrelated_long_texts_are_not_alike():
+    random.seed(21)
+    a, b = (random.randbytes(10_000_000).hex() for _ in range(2))
+    s = parsing.sketches([a, b])
+    assert parsing.likeness(s[:1], s[1:])[0] < 0.05
+
+
 def brute(rows):
     texts = [t or "" for _, t in rows]
     out = []
