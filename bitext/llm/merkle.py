@@ -142,7 +142,7 @@ def manifest(
     root = root["node"] if root else None
     nowhere = F.array().cast(STEPS)
     if upper:
-        top = docs.sparkSession.range(1).select(F.lit(0).alias("group"), nowhere.alias("path"))
+        top = staged(docs.sparkSession.range(1).select(F.lit(0).alias("group"), nowhere.alias("path")), "top")
         found = _descend(upper, top, [], "upper-path")
         tops = found.select(F.col("held.name").alias("group"), F.col("held.node").alias("subroot"), "path")
     else:

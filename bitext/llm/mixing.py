@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from bitext.llm.common import running, same, staged, without
 
+TOLD = 10_000  # sources that are broadcast
 RESULT = ["source_size", "target", "copies", "taken"]
 
 
@@ -61,6 +62,12 @@ def sampling_key(id_: Column, weight: Column, seed: str) -> Column:
     return F.when(weight > 0, -F.ln(uniform) / weight).otherwise(F.lit(float("inf")))
 
 
+def per_source(sources: DataFrame) -> DataFrame:
+    """A table of a row per source, to be joined by source: broadcast where it is counted and small, so that no hot source is
+    dealt to one task; else Spark joins it as it sees fit."""
+    return F.broadcast(sources) if sources.limit(TOLD + 1).count() <= TOLD else sources
+
+
 def _pass_over(left: DataFrame, state: DataFrame) -> DataFrame:
     """Rounds in which sources go on in key order and pass over what is larger than what is missing.
 
@@ -78,13 +85,13 @@ def _pass_over(left: DataFrame, state: DataFrame) -> DataFrame:
     while True:
         # What is missing only shrinks: twice as large a document is of no use any more.
         left = staged(
-            left.join(state, key).where(
+            left.join(per_source(state), key).where(
                 (F.col("size") > 0) & (F.col("size") < 2 * F.col("missing"))
                 & ~F.coalesce((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")) & (F.col("size") <= F.col("limit")), F.lit(False))
                 & ~F.coalesce(F.col("rank") == F.col("event"), F.lit(False))
             ).select("source", "rank", "size"), "mix-left",
         )
-        near = left.join(state, key).groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("missing")).alias("off"), "rank")).alias("best"))
+        near = left.join(per_source(state), key).groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("missing")).alias("off"), "rank")).alias("best"))
         state = staged(
             state.join(near, key, "left").select(
                 "s_source", F.lit(number).alias("round"), "missing", F.least("missing", "best.off").alias("off"),
@@ -96,7 +103,7 @@ def _pass_over(left: DataFrame, state: DataFrame) -> DataFrame:
         power = F.pow(F.lit(2.0), F.floor(F.log2("missing")))
         power = F.when(power > F.col("missing"), power / 2).otherwise(power).cast("long")
         going = state.where("off > 0.5").withColumn("power", power)
-        able = left.join(going, key).where("rank >= at AND size <= missing").select("source", "rank", "size", "missing", "power")
+        able = left.join(per_source(going), key).where("rank >= at AND size <= missing").select("source", "rank", "size", "missing", "power")
         small = F.when(F.col("size") <= F.col("power"), F.col("size")).otherwise(0)
         able = running(able, ["source"], ["rank"], {"before": small}, "mix-able")
         rest = F.col("missing") - F.col("before") - F.col("size")
@@ -125,7 +132,6 @@ def mix(
     cycle: Sequence[int] = (5, 2, 1),
     max_epochs: int = 3,
     seed: str = "mix",
-    pass_over: bool = True,
 ) -> DataFrame:
     """How often each document enters the mix: the rows of ``docs`` with source_size, target, copies, taken.
 
@@ -133,7 +139,7 @@ def mix(
     fraction of an epoch selects; ``taken`` is copies times ``size``.  The fraction takes documents in key
     order while they fit, then goes on and passes over those larger than what is missing; where it stops, the one document
     left over whose size is nearest to what is missing comes last, if that brings the source nearer.  It may stop at the first
-    that does not fit, and whenever what is missing falls below a power of two: where the source comes nearest.  Without ``pass_over`` it stops at the first document that does not fit.  Equal input
+    that does not fit, and whenever what is missing falls below a power of two: where the source comes nearest.  Equal input
     gives equal output.
 
     Null source: a source of its own, the last.  Null or negative size: 0, such documents come along
@@ -158,43 +164,31 @@ def mix(
         ),
         "mix-targets",
     ).withColumnRenamed("source", "t_source")
-    narrow = ordered.drop("row").join(targets, same(F.col("source"), F.col("t_source")))
+    narrow = ordered.drop("row").join(per_source(targets), same(F.col("source"), F.col("t_source")))
     fits = F.col("before") + F.col("size") <= F.col("budget")
     filled = narrow.groupBy("source").agg(
         F.coalesce(F.max(F.when(fits, F.col("before") + F.col("size"))), F.lit(0)).alias("filled"),
         F.coalesce(F.max(F.when(fits, F.col("rank"))) + 1, F.lit(0)).alias("at"),
     ).withColumnRenamed("source", "f_source")
     missing = F.col("budget") - F.col("filled")
-    if pass_over:
-        state = targets.where("budget > 0").join(filled, same(F.col("t_source"), F.col("f_source")))
-        state = staged(state.select(F.col("t_source").alias("s_source"), missing.alias("missing"), "at"), "mix-start")
-        rounds = _pass_over(narrow.where(~fits & (F.col("budget") > 0)).select("source", "rank", "size"), state)
-        best = rounds.groupBy("s_source").agg(
-            F.min(F.struct("off", "round", "last")).alias("best"), F.collect_list(F.struct("round", "low", "high", "limit", "event")).alias("steps")
-        )
-        last = best.select(
-            F.col("s_source").alias("l_source"), F.col("best.last").alias("last"),
-            F.filter("steps", lambda x: (x["round"] > 0) & (x["round"] <= F.col("best.round"))).alias("steps"),
-        )
-    else:
-        last = (
-            narrow.where(~fits & (F.col("budget") > 0))
-            .join(filled, same(F.col("source"), F.col("f_source")))
-            .where(F.abs(F.col("size") - missing) < missing)
-            .groupBy("source")
-            .agg(F.min(F.struct(F.abs(F.col("size") - missing).alias("off"), "rank")).alias("best"))
-            .select(F.col("source").alias("l_source"), F.col("best.rank").alias("last"))
-        )
-    plan = targets.join(last, same(F.col("t_source"), F.col("l_source")), "left").drop("l_source")
-    chosen = fits | F.coalesce(F.col("rank") == F.col("last"), F.lit(False))
-    if pass_over:
-        later = F.exists("steps", lambda x: (F.col("rank") >= x["low"]) & (F.col("rank") < x["high"]) & (F.col("size") <= x["limit"])
-                         | F.coalesce(F.col("rank") == x["event"], F.lit(False)))
-        chosen = chosen | (F.coalesce(later, F.lit(False)) & (F.col("size") > 0))
+    state = per_source(targets.where("budget > 0")).join(filled, same(F.col("t_source"), F.col("f_source")))
+    state = staged(state.select(F.col("t_source").alias("s_source"), missing.alias("missing"), "at"), "mix-start")
+    rounds = _pass_over(narrow.where(~fits & (F.col("budget") > 0)).select("source", "rank", "size"), state)
+    best = rounds.groupBy("s_source").agg(
+        F.min(F.struct("off", "round", "last")).alias("best"), F.collect_list(F.struct("round", "low", "high", "limit", "event")).alias("steps")
+    )
+    last = best.select(
+        F.col("s_source").alias("l_source"), F.col("best.last").alias("last"),
+        F.filter("steps", lambda x: (x["round"] > 0) & (x["round"] <= F.col("best.round"))).alias("steps"),
+    )
+    plan = staged(targets.join(last, same(F.col("t_source"), F.col("l_source")), "left").drop("l_source"), "mix-plan")
+    later = F.exists("steps", lambda x: (F.col("rank") >= x["low"]) & (F.col("rank") < x["high"]) & (F.col("size") <= x["limit"])
+                     | F.coalesce(F.col("rank") == x["event"], F.lit(False)))
+    chosen = fits | F.coalesce(F.col("rank") == F.col("last"), F.lit(False)) | (F.coalesce(later, F.lit(False)) & (F.col("size") > 0))
     extra = (F.col("budget") > 0) & chosen
     copies = (F.col("epochs") + F.when(extra, 1).otherwise(0)).cast("int")
     return (
-        ordered.join(plan, same(F.col("source"), F.col("t_source")))
+        ordered.join(per_source(plan), same(F.col("source"), F.col("t_source")))
         .withColumn("copies", copies)
         .select("row.*", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )

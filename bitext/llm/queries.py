@@ -26,11 +26,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 @query
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents labelled good weigh 1, without label 0.5, labelled bad 0.25; stops where its SQL does."""
+    """Documents labelled good weigh 1, without label 0.5, labelled bad 0.25."""
     docs = common.staged(
         table(spark, folder, "documents").select("doc_id", "source", common.n_words(F.col("text")).alias("size")), "sizes"
     )
-    mixed = mixing.mix(with_quality(docs, table(spark, folder, "labels")), F.col("size"), F.col("quality_weight"), pass_over=False)
+    mixed = mixing.mix(with_quality(docs, table(spark, folder, "labels")), F.col("size"), F.col("quality_weight"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "quality_weight")
 
 
@@ -44,50 +44,6 @@ def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-SQL["op9_mixing"] = r"""
-WITH labelled AS (SELECT doc_id, min(quality) AS q FROM labels GROUP BY doc_id),
-docs AS (
-  SELECT d.doc_id, d.source, CAST(len(regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST(CASE WHEN q > 0 THEN 1.0 WHEN q = 0 THEN 0.25 ELSE 0.5 END AS DOUBLE) AS quality_weight
-  FROM documents d LEFT JOIN labelled l ON d.doc_id = l.doc_id),
-keyed AS (
-  SELECT *, -ln((CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5)
-              / 4503599627370496.0) / quality_weight AS key FROM docs),
-ordered AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-         row_number() OVER (PARTITION BY source ORDER BY key, doc_id) AS place FROM keyed),
-sizes AS (SELECT source, sum(size) AS source_size, 3 * sum(size) AS cap FROM docs GROUP BY source),
-weighted AS (
-  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM sizes),
-filling AS (
-  SELECT *, sum(source_size) OVER () AS total,
-         coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps,
-         sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w
-  FROM weighted),
-marked AS (SELECT *, (total - caps) * w >= cap * open_w AS is_full FROM filling),
-targets AS (
-  SELECT source, CAST(source_size AS BIGINT) AS source_size,
-         CASE WHEN is_full THEN CAST(cap AS DOUBLE) ELSE CAST(w * (total - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ()) AS DOUBLE)
-              / CAST(sum(CASE WHEN is_full THEN 0 ELSE w END) OVER () AS DOUBLE) END AS target FROM marked),
-budgets AS (
-  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target / source_size) AS INTEGER) END AS epochs,
-         target - CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) END * source_size AS budget FROM targets),
-joined AS (
-  SELECT o.*, b.source_size, b.target, b.epochs, b.budget, o.before + o.size <= b.budget AS fits
-  FROM ordered o JOIN budgets b ON o.source IS NOT DISTINCT FROM b.source),
-filled AS (
-  SELECT *, budget - coalesce(max(CASE WHEN fits THEN before + size END) OVER (PARTITION BY source), 0) AS missing FROM joined),
-nearest AS (
-  SELECT source, doc_id FROM filled WHERE NOT fits AND budget > 0 AND abs(size - missing) < missing
-  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(size - missing), place) = 1),
-copied AS (
-  SELECT f.*, f.epochs + CASE WHEN f.budget > 0 AND (f.fits OR n.doc_id IS NOT NULL) THEN 1 ELSE 0 END AS n_copies
-  FROM filled f LEFT JOIN nearest n ON f.source IS NOT DISTINCT FROM n.source AND f.doc_id = n.doc_id)
-SELECT doc_id, size, source_size, target, CAST(n_copies * size AS BIGINT) AS taken, CAST(n_copies AS INTEGER) AS copies, quality_weight
-FROM copied
-"""
-
-
 @query
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -281,25 +237,25 @@ def _merkle_sql(levels: int = 6) -> str:
     row = lambda text: " || ".join([*[entry(c, c) for c in ("doc_id", "source", "lang", "n_chars")], entry("text", text)])
     steps = []
 
-    def tree(name: str, leaves: str, group: str) -> None:
-        """Nodes ``name``0, … (g, at, many, node) and steps ``name``_s0, … (g, at, before, after) over rows (g, at, many, node)."""
+    def tree(name: str, leaves: str) -> None:
+        """Nodes ``name``0, … (g, pos, many, node) and steps ``name``_s0, … (g, pos, before, after) over rows (g, pos, many, node)."""
         steps.append(f"{name}0 AS ({leaves})")
         for k in range(levels):
-            steps.append(f"{name}{k + 1} AS (SELECT g, at // 16 AS at, (many + 15) // 16 AS many, sha256(string_agg(node, '' ORDER BY at)) AS node FROM {name}{k} WHERE many > 1 GROUP BY ALL)")
+            steps.append(f"{name}{k + 1} AS (SELECT g, pos // 16 AS pos, (many + 15) // 16 AS many, sha256(string_agg(node, '' ORDER BY pos)) AS node FROM {name}{k} WHERE many > 1 GROUP BY ALL)")
             steps.append(
-                f"{name}_s{k} AS (SELECT a.g, a.at, coalesce(string_agg(b.node, '' ORDER BY b.at) FILTER (b.at < a.at), '') AS before, "
-                f"coalesce(string_agg(b.node, '' ORDER BY b.at) FILTER (b.at > a.at), '') AS after "
-                f"FROM {name}{k} a JOIN {name}{k} b ON a.g IS NOT DISTINCT FROM b.g AND a.at // 16 = b.at // 16 WHERE a.many > 1 GROUP BY a.g, a.at)"
+                f"{name}_s{k} AS (SELECT a.g, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before, "
+                f"coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after "
+                f"FROM {name}{k} a JOIN {name}{k} b ON a.g IS NOT DISTINCT FROM b.g AND a.pos // 16 = b.pos // 16 WHERE a.many > 1 GROUP BY a.g, a.pos)"
             )
         steps.append(f"{name}_end AS (" + " UNION ALL ".join(f"SELECT g, node FROM {name}{k} WHERE many = 1" for k in range(levels + 1)) + ")")
 
-    def fold(name: str, rows: str, g: str, at: str) -> str:
+    def fold(name: str, rows: str, g: str, pos: str) -> str:
         """``rows`` with proof and seen led up one tree."""
         for k in range(levels):
             steps.append(
                 f"{name}_f{k} AS (SELECT r.* EXCLUDE (proof, seen), proof || coalesce(s.before || s.after, '') AS proof, "
                 f"CASE WHEN s.before IS NULL THEN seen ELSE sha256(s.before || seen || s.after) END AS seen "
-                f"FROM {rows} r LEFT JOIN {name}_s{k} s ON r.{g} IS NOT DISTINCT FROM s.g AND r.{at} // {16 ** k} = s.at)"
+                f"FROM {rows} r LEFT JOIN {name}_s{k} s ON r.{g} IS NOT DISTINCT FROM s.g AND r.{pos} // {16 ** k} = s.pos)"
             )
             rows = f"{name}_f{k}"
         return rows
@@ -311,13 +267,13 @@ def _merkle_sql(levels: int = 6) -> str:
     lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))) AS crc FROM documents)),
 rows_ AS (SELECT doc_id, source, sha256({row("text")}) AS leaf, sha256({row("later")}) AS seen FROM hashed),
 placed AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at, count(*) OVER (PARTITION BY source) AS many FROM rows_)""")
-    tree("n", "SELECT source AS g, at, many, leaf AS node FROM placed", "source")
-    steps.append("tops AS (SELECT g AS name, node, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS at, count(*) OVER () AS many FROM n_end)")
-    tree("u", "SELECT 0 AS g, at, many, node FROM tops", "0")
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS many FROM rows_)""")
+    tree("n", "SELECT source AS g, pos, many, leaf AS node FROM placed")
+    steps.append("tops AS (SELECT g AS name, node, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, count(*) OVER () AS many FROM n_end)")
+    tree("u", "SELECT 0 AS g, pos, many, node FROM tops")
     begun = "begun"
-    steps.append("begun AS (SELECT p.*, t.node AS subroot, t.at AS place, 0 AS zero, '' AS proof FROM placed p JOIN tops t ON p.source IS NOT DISTINCT FROM t.name)")
-    rows = fold("u", fold("n", begun, "source", "at"), "zero", "place")
+    steps.append("begun AS (SELECT p.*, t.node AS subroot, t.pos AS place, 0 AS zero, '' AS proof FROM placed p JOIN tops t ON p.source IS NOT DISTINCT FROM t.name)")
+    rows = fold("u", fold("n", begun, "source", "pos"), "zero", "place")
     return "WITH " + ",\n".join(steps) + (
         f"\nSELECT doc_id, leaf, subroot, e.node AS root, sha256(proof) AS proof_sha256, seen AS folded_root, seen = e.node AS verified FROM {rows}, u_end e"
     )

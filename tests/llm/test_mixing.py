@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from bitext.llm import mixing
+from bitext.llm import mixing, queries
 
 
 def fair_targets(sizes, cycle=(5, 2, 1), most=3):
@@ -120,3 +120,24 @@ def test_passing_over_against_one_at_a_time(spark, seed):
         want = in_turn([r.size for r in some], target - target // size * size)
         assert abs(abs(sum(r.taken for r in some) - target) - want) < 1e-6
         assert {r.copies for r in some} <= {target // size, target // size + 1}
+
+
+def test_query_comes_as_near_as_one_at_a_time(spark, tmp_path):
+    random.seed(11)
+    words = [(k, random.choice(["w", "w", "x", "y", None]), int(2 ** random.uniform(0, 9))) for k in range(120)]
+    spark.createDataFrame([(k, " \t".join(["word"] * n) if n > 1 else None, s) for k, s, n in words], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 3 // 2) for k in range(0, 120, 2)] + [(4, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op9_mixing(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.size for r in got} == {k: n if n > 1 else 0 for k, _, n in words}
+    home = {k: s for k, s, _ in words}
+    weight = {r.doc_id: r.quality_weight for r in got}
+    assert weight[4] == 0.25 and weight[2] == 1.0 and weight[0] == 0.25 and weight[1] == 0.5
+    targets = fair_targets({s: sum(n if n > 1 else 0 for _, t, n in words if t == s) for s in ("w", "x", "y", None)})
+    keyed = spark.createDataFrame(list(weight.items()), "doc_id long, w double").select("doc_id", mixing.sampling_key(F.col("doc_id"), F.col("w"), "mix").alias("key"))
+    order = {r.doc_id: r.key for r in keyed.collect()}
+    for source, target in targets.items():
+        some = sorted((r for r in got if home[r.doc_id] == source), key=lambda r: order[r.doc_id])
+        size = some[0].source_size
+        assert abs(some[0].target - target) < 1e-6 * target and {r.copies for r in some if r.size} <= {target // size, target // size + 1}
+        want = in_turn([r.size for r in some], target - target // size * size)
+        assert abs(abs(sum(r.taken for r in some) - target) - want) < 1e-6
