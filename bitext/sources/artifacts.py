@@ -1,88 +1,47 @@
 """Artifacts of processed documents as tables, catalogs, and readable text.
 
 Tables are kept in buckets of documents rather than in one folder per document:
-the number of files follows the data, not the number of documents.
+the number of files follows the data, not the number of documents.  They lie in a
+store of versions, so that a reader never meets half of a write.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitext import schemas
-from bitext.plans.lineage import cut
+from bitext.sources.store import Store
 
 BUCKETS = 64
 TABLES = ["segments", "translations", "math_objects", "alignments", "metadata", "source_text", "markdown"]
 
 
-def _bucket(buckets: int):
-    return F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
-
-
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """A table written by this module without its bucket; None when there is none."""
-    found = _read(spark, path)
-    return None if found is None else found.drop("bucket")
-
-
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return None
-        raise
+    """The table ``<store>/<name>`` as the last version has it; None when there is none."""
+    root, _, name = path.rstrip("/").rpartition("/")
+    return Store(spark, root).table(name)
 
 
-def write_artifacts(tables: dict[str, DataFrame], path: str, buckets: int = BUCKETS, documents: DataFrame | None = None) -> None:
-    """Write the tables of processed documents; what these documents had before is replaced in all tables.
+def write_artifacts(
+    tables: dict[str, DataFrame], path: str, buckets: int = BUCKETS, documents: DataFrame | None = None, batch: tuple[str, int] | None = None
+) -> int:
+    """Write the tables of processed documents; what these documents had before is replaced in all tables at once.
 
-    The written documents are those of ``documents`` (doc_id), else all that any table has: one that no
-    longer has rows in a table loses its old ones there.  Only the buckets of these documents are read and
-    rewritten; give ``buckets`` the size of the collection, and the same for every run.
+    The written documents are those of ``documents`` (doc_id), else all that any table has: one that no longer has rows in a table
+    loses its old ones there.  Readers see the version before until all tables are written, also where the write is lost
+    on the way.  Give ``buckets`` the size of the collection at the first write.  Gives the number of the version.
     """
-    found = [t.select("doc_id") for t in ([documents] if documents is not None else tables.values())]
-    everyone = found[0]
-    for ids in found[1:]:
-        everyone = everyone.unionByName(ids)
-    written = cut(everyone.distinct().withColumn("bucket", _bucket(buckets)))
-    # At most ``buckets`` numbers; the filter on them prunes the folders that are read.
-    touched = [r["bucket"] for r in written.select("bucket").distinct().collect()]
-    for name, rows in tables.items():
-        target = f"{path}/{name}"
-        new = rows.withColumn("bucket", _bucket(buckets))
-        old = _read(rows.sparkSession, target)
-        if old is not None:
-            kept = old.where(F.col("bucket").isin(touched)).join(written.select("doc_id"), "doc_id", "left_anti")
-            # The buckets are read from the folder they are written to.
-            new = cut(new.unionByName(kept, allowMissingColumns=True))
-            emptied = old.where(F.col("bucket").isin(touched)).select("bucket").distinct().join(
-                new.select("bucket").distinct(), "bucket", "left_anti"
-            )
-            _clear(rows.sparkSession, target, [r["bucket"] for r in emptied.collect()])
-        (
-            # Range partitioning also cuts the bucket of a document that holds most rows.
-            new.repartitionByRange("bucket", "doc_id", *[c for c in ("ordinal", "page") if c in new.columns])
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket")
-            .parquet(target)
-        )
-
-
-def _clear(spark: SparkSession, target: str, buckets: list[int]) -> None:
-    """Remove buckets that no row is left for; dynamic overwriting only replaces buckets that have rows."""
-    for bucket in buckets:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/bucket={bucket}")
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    spark = next(iter(tables.values())).sparkSession
+    return Store(spark, path).write(tables, "doc_id", buckets, documents, batch)
 
 
 def read_reader_artifacts(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Segments, translations and alignments of the documents that have all three."""
     names = ["segments", "translations", "alignments"]
-    tables = {n: read_table(spark, f"{path}/{n}") for n in names}
+    store = Store(spark, path)
+    version = store.read_version()
+    tables = {n: store.table(n, version) for n in names}
     if any(t is None for t in tables.values()):
         return {}
     complete = None
@@ -108,24 +67,13 @@ def write_pages_as_text(pages: DataFrame, path: str, column: str = "text") -> No
     )
 
 
-def write_catalog(records: DataFrame, path: str) -> None:
-    """Catalog rows as JSON lines, one folder per project."""
+def write_catalog(records: DataFrame, path: str, batch: tuple[str, int] | None = None) -> int:
+    """Catalog rows; all records of the projects they name are replaced.  A known ``batch`` (stream, number) changes nothing."""
     columns = ["project_id", "document_id", "ordinal", "original", "translation", "hidden"]
-    (
-        records.select(*columns)
-        .repartitionByRange("project_id", "document_id")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("project_id")
-        .json(path)
-    )
+    return Store(records.sparkSession, path).write({"catalog": records.select(*columns)}, "project_id", BUCKETS, batch=batch)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Catalog rows; a missing catalog is an empty one."""
-    try:
-        return spark.read.schema(schemas.CATALOG).json(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schemas.CATALOG)
+    found = Store(spark, path).table("catalog")
+    return spark.createDataFrame([], schemas.CATALOG) if found is None else found

@@ -575,12 +575,15 @@ def _(spark, folder):
 @check(
     "not_recent",
     """SELECT project_id FROM (SELECT DISTINCT 'p' || (o_orderkey % 500) AS project_id FROM orders)
-       WHERE project_id NOT IN (SELECT project_id FROM v_opened WHERE name = 'signup')""",
+       WHERE project_id NOT IN (SELECT project_id FROM (
+         SELECT *, row_number() OVER (PARTITION BY reader_id ORDER BY opened_at DESC, project_id) AS place FROM (
+           SELECT *, row_number() OVER (PARTITION BY reader_id, project_id ORDER BY opened_at DESC) AS n FROM v_opened WHERE name <> '')
+         WHERE n = 1) WHERE place <= 8)""",
 )
 def _(spark, folder):
     found = A.table(spark, folder, "orders").select(
         F.concat(F.lit("p"), (F.col("o_orderkey") % 500).cast("string")).alias("project_id")).distinct()
-    return C.not_recent(found, opened(spark, folder).where("name = 'signup'"))
+    return C.not_recent(found, C.recent_projects(opened(spark, folder)))
 
 
 # -------------------------------------------------------------------- library
