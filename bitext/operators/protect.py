@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from bitext import constants as K
 from bitext.functions import text as T
-from bitext.plans.ordered import running_total
+from bitext.operators import segment
+from bitext.plans.ordered import kept_with_running
 from bitext.plans.rows import unfold
 
 
@@ -46,20 +47,19 @@ def inferred_latex(value: Column) -> Column:
     )
 
 
-def protect_math(segments: DataFrame) -> DataFrame:
-    """Replace notation by placeholders; ``math`` lists what was replaced.
+def _is_whole(block_type: Column) -> Column:
+    """An equation segment is one display object."""
+    return block_type == "equation-marker"
 
-    An equation segment is one display object; elsewhere each piece of notation
-    is an object of its own.
-    """
-    whole = F.col("block_type") == "equation-marker"
-    found = F.when(whole, F.array("text")).otherwise(T.tokens(F.col("text"), K.MATH))
-    numbered = running_total(
-        segments.withColumn("_found", found), ["doc_id"], "ordinal", F.size("_found"), "_offset"
-    )
 
+def math_found(text: Column, block_type: Column) -> Column:
+    """The pieces of notation of a segment, in order."""
+    return F.when(_is_whole(block_type), F.array(text)).otherwise(T.tokens(text, K.MATH))
+
+
+def _math_described(found: Column, whole: Column, offset: Column) -> Column:
     def describe(value: Column, i: Column) -> Column:
-        number = (F.col("_offset") + i + 1).cast("int")
+        number = (offset + i + 1).cast("int")
         display = whole | F.regexp_like(value, F.lit(K.MATH_DISPLAY_START))
         latex = inferred_latex(value)
         return F.struct(
@@ -73,13 +73,25 @@ def protect_math(segments: DataFrame) -> DataFrame:
             .when(whole, 0.55).otherwise(0.65).alias("confidence"),
         )
 
-    marks = F.col("math.placeholder")
+    return F.transform(found, describe)
+
+
+def _math_replaced(text: Column, whole: Column, marks: Column) -> Column:
+    return F.when(whole, marks[0]).otherwise(interleave(F.split(text, T.wide_space(K.MATH), -1), marks))
+
+
+def protect_math(segments: DataFrame) -> DataFrame:
+    """Replace notation by placeholders; ``math`` lists what was replaced.
+
+    An equation segment is one display object; elsewhere each piece of notation
+    is an object of its own.
+    """
+    whole = _is_whole(F.col("block_type"))
+    found = segments.withColumn("_found", math_found(F.col("text"), F.col("block_type")))
+    numbered = kept_with_running(found, ["doc_id"], "ordinal", {"_offset": F.size("_found")})
     return (
-        numbered.withColumn("math", F.transform("_found", describe))
-        .withColumn(
-            "text",
-            F.when(whole, marks[0]).otherwise(interleave(F.split("text", T.wide_space(K.MATH), -1), marks)),
-        )
+        numbered.withColumn("math", _math_described(F.col("_found"), whole, F.col("_offset")))
+        .withColumn("text", _math_replaced(F.col("text"), whole, F.col("math.placeholder")))
         .drop("_found", "_offset")
     )
 
@@ -163,23 +175,23 @@ def restore_math(translations: DataFrame, objects: DataFrame, mode: str = "plain
 # ------------------------------------------------------- numbers, references
 
 
-def protect_tokens(segments: DataFrame) -> DataFrame:
-    """Replace numbers and references by placeholders; ``tokens`` lists what was replaced.
+TOKEN = "(?iu)" + K.EXISTING_MARKER + "|" + K.STABLE_VALUE
 
-    Placeholders that are already in the text stay as they are.
-    """
-    pattern = "(?iu)" + K.EXISTING_MARKER + "|" + K.STABLE_VALUE
-    marker = lambda v: F.regexp_like(v, F.lit(r"^(?:" + K.EXISTING_MARKER + r")\z"))
-    numbered = running_total(
-        segments.withColumn("_found", T.tokens(F.col("text"), pattern)),
-        ["doc_id"],
-        "ordinal",
-        F.size(F.filter("_found", lambda v: ~marker(v))),
-        "_offset",
-    )
+
+def _is_marker(value: Column) -> Column:
+    return F.regexp_like(value, F.lit(r"^(?:" + K.EXISTING_MARKER + r")\z"))
+
+
+def tokens_found(text: Column) -> Column:
+    """Numbers, references and the placeholders that are already there, in order."""
+    return T.tokens(text, TOKEN)
+
+
+def _with_tokens(numbered: DataFrame, offset: Column) -> DataFrame:
+    """Rows with ``_tokens`` (what ``tokens_found`` gives of their text) to rows with ``tokens`` and the text rewritten."""
 
     def describe(value: Column, i: Column) -> Column:
-        number = (F.col("_offset") + i + 1).cast("int")
+        number = (offset + i + 1).cast("int")
         reference = F.regexp_like(value, F.lit(K.STABLE_REFERENCE))
         return F.struct(
             F.when(reference, F.format_string(K.REFERENCE_FORMAT, number))
@@ -191,10 +203,10 @@ def protect_tokens(segments: DataFrame) -> DataFrame:
     state = "struct<used:int,fills:array<string>>"
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("fills")).cast(state)
     fills = F.aggregate(
-        "_found",
+        "_tokens",
         start,
         lambda acc, v: F.when(
-            marker(v),
+            _is_marker(v),
             F.struct(acc["used"].alias("used"), F.array_append(acc["fills"], v).alias("fills")),
         ).otherwise(
             F.struct(
@@ -207,11 +219,84 @@ def protect_tokens(segments: DataFrame) -> DataFrame:
         lambda acc: acc["fills"],
     )
     return (
-        numbered.withColumn("tokens", F.transform(F.filter("_found", lambda v: ~marker(v)), describe))
+        numbered.withColumn("tokens", F.transform(F.filter("_tokens", lambda v: ~_is_marker(v)), describe))
         .withColumn("_fills", fills)
-        .withColumn("text", interleave(F.split("text", T.wide_space(pattern), -1), F.col("_fills")))
-        .drop("_found", "_offset", "_fills")
+        .withColumn("text", interleave(F.split("text", T.wide_space(TOKEN), -1), F.col("_fills")))
+        .drop("_tokens", "_fills")
+    )
+
+
+def protect_tokens(segments: DataFrame) -> DataFrame:
+    """Replace numbers and references by placeholders; ``tokens`` lists what was replaced.
+
+    Placeholders that are already in the text stay as they are.
+    """
+    found = segments.withColumn("_tokens", tokens_found(F.col("text")))
+    counted = F.size(F.filter("_tokens", lambda v: ~_is_marker(v)))
+    numbered = kept_with_running(found, ["doc_id"], "ordinal", {"_offset": counted})
+    return _with_tokens(numbered, F.col("_offset")).drop("_offset")
+
+
+def _any_math_replaced(text: Column, block_type: Column, found: Column) -> Column:
+    """The text with a placeholder of any number for each piece of notation: its tokens are as many as with the right ones."""
+    return _math_replaced(text, _is_whole(block_type), F.transform(found, lambda v: F.lit(K.MATH_INLINE_FORMAT % 1)))
+
+
+def protect_values(segments: DataFrame) -> DataFrame:
+    """Both protections in one: ``protect_math`` and then ``protect_tokens``.
+
+    How many values a segment has of either kind does not depend on their numbers; so both are counted in one scan, and one
+    running sum numbers both.
+    """
+    block = F.col("block_type")
+    found = segments.withColumn("_found", math_found(F.col("text"), block))
+    found = found.withColumn("_plain", _any_math_replaced(F.col("text"), block, F.col("_found")))
+    counted = F.size(F.filter(tokens_found(F.col("_plain")), lambda v: ~_is_marker(v)))
+    numbered = kept_with_running(
+        found.withColumn("_count", counted).drop("_plain"), ["doc_id"], "ordinal", {"_math_offset": F.size("_found"), "_offset": F.col("_count")}
+    )
+    whole = _is_whole(block)
+    safe = numbered.withColumn("math", _math_described(F.col("_found"), whole, F.col("_math_offset"))).withColumn(
+        "text", _math_replaced(F.col("text"), whole, F.col("math.placeholder"))
+    )
+    safe = safe.drop("_found", "_math_offset", "_count").withColumn("_tokens", tokens_found(F.col("text")))
+    return _with_tokens(safe, F.col("_offset")).drop("_offset")
+
+
+def protected_pages(pages: DataFrame, visual_markers: bool = True) -> DataFrame:
+    """Pages to numbered segments with both kinds of values protected: the columns of ``segment_pages``, source, math and tokens.
+
+    A page has three counts, of its segments, its notation and its tokens; one running sum over these numbers gives all
+    numbers of the document, so the pages are segmented and searched once.  ``source`` is the text before.
+    """
+    block = lambda s: s["block_type"]
+    paged = segment.with_segments(pages, visual_markers).select("doc_id", "page", "method", "segments")
+    paged = paged.withColumn("_math", F.transform("segments", lambda s: math_found(s["text"], block(s))))
+    plain = F.transform(F.arrays_zip(F.col("segments").alias("s"), F.col("_math").alias("m")), lambda x: _any_math_replaced(x["s"]["text"], block(x["s"]), x["m"]))
+    paged = paged.withColumn("_plain", plain).withColumn(
+        "_counts", F.transform("_plain", lambda t: F.size(F.filter(tokens_found(t), lambda v: ~_is_marker(v))))
+    ).drop("_plain")
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+    sizes = F.transform("_math", lambda m: F.size(m))
+    numbered = kept_with_running(
+        paged.withColumn("_sizes", sizes), ["doc_id"], "page", {"_at": F.size("segments"), "_math_at": total("_sizes"), "_tokens_at": total("_counts")}
+    )
+    zipped = F.arrays_zip(F.col("segments").alias("s"), F.col("_math").alias("m"))
+    each = numbered.select(
+        "doc_id", "page", "method", "_at", "_math_at", "_tokens_at", "_sizes", "_counts", F.posexplode(zipped).alias("_i", "_x")
+    )
+    before = lambda a: total(F.slice(a, F.lit(1), F.col("_i")))
+    segments = each.select(
+        "doc_id", F.format_string(K.SEGMENT_ID, (F.col("_at") + F.col("_i") + 1).cast("int")).alias("segment_id"),
+        (F.col("_at") + F.col("_i") + 1).cast("int").alias("ordinal"), "page", F.col("_x.s.block_type").alias("block_type"),
+        F.col("_x.s.text").alias("source"), F.col("method").alias("extraction_method"), F.col("_x.m").alias("_found"),
+        (F.col("_math_at") + before("_sizes")).alias("_math_offset"), (F.col("_tokens_at") + before("_counts")).alias("_offset"),
+    )
+    whole = _is_whole(F.col("block_type"))
+    safe = segments.withColumn("math", _math_described(F.col("_found"), whole, F.col("_math_offset"))).withColumn(
+        "text", _math_replaced(F.col("source"), whole, F.col("math.placeholder"))
     )
+    return _with_tokens(safe.drop("_found", "_math_offset").withColumn("_tokens", tokens_found(F.col("text"))), F.col("_offset")).drop("_offset")
 
 
 def stable_tokens(protected: DataFrame) -> DataFrame:

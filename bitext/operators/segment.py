@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from bitext import constants as K
 from bitext.functions import text as T
-from bitext.plans.lineage import cut
-from bitext.plans.ordered import previous, running_total
+from bitext.plans.ordered import kept_with_running, previous, running_total
 from bitext.plans.rows import unfold
 
 BATCH_CHUNK = 4096
@@ -177,11 +176,11 @@ def with_segments(pages: DataFrame, visual_markers: bool = True) -> DataFrame:
 def segment_pages(pages: DataFrame, visual_markers: bool = True) -> DataFrame:
     """Pages to segments, numbered through the document in page order.
 
-    Numbering needs the segment counts of the pages before, so that the
-    segmented pages are read twice; they are computed once and checkpointed.
+    Numbering needs the segment counts of the pages before: segmented pages are written once, and the
+    counts alone are read to be added up.
     """
-    paged = cut(with_segments(pages, visual_markers).select("doc_id", "page", "method", "segments"))
-    placed = running_total(paged, ["doc_id"], "page", F.size("segments"), "_offset")
+    paged = with_segments(pages, visual_markers).select("doc_id", "page", "method", "segments")
+    placed = kept_with_running(paged, ["doc_id"], "page", {"_offset": F.size("segments")})
     return (
         unfold(placed, "segments", "_s", "_i")
         .withColumn("ordinal", (F.col("_offset") + F.col("_i") + 1).cast("int"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +37,21 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, written, and read back; survives lost executors."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` computed once, written as columns, and read back: later reads take the columns they need.
+
+    The files lie in the checkpoint folder and go when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/kept-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone already
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

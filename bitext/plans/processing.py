@@ -15,20 +15,19 @@ from pyspark.sql import functions as F
 from bitext import constants as K
 from bitext.operators import align, inference, protect, segment
 from bitext.operators import review as review_choice
-from bitext.plans.lineage import cut
+from bitext.plans.lineage import cut, keep
 
 
 def prepare(pages: DataFrame) -> dict[str, DataFrame]:
     """Segments, their protected form, what was protected, and the batches to translate."""
-    segments = cut(segment.segment_pages(pages))
-    with_math = cut(protect.protect_math(segments))
-    safe = cut(protect.protect_tokens(with_math))
+    safe = keep(protect.protected_pages(pages))
+    segments = safe.drop("math", "tokens", "text").withColumnRenamed("source", "text")
     batches = segment.batch_segments(safe)
     batched = safe.select("doc_id", "ordinal", "segment_id", "text").join(batches, ["doc_id", "ordinal"])
     return {
         "segments": segments,
         "protected": safe,
-        "math_objects": protect.math_objects(with_math),
+        "math_objects": protect.math_objects(safe),
         "tokens": protect.stable_tokens(safe),
         "batched": batched,
         "requests": inference.request_payload(batched),

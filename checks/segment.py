@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bitext import constants as K
 from bitext.functions import text as T
 from bitext.operators import segment as S
-from bitext.plans.lineage import cut
+from bitext.plans.lineage import keep
 from bitext.plans.rows import unfold
 from checks import adapters as A
 from checks.register import registry
@@ -284,7 +284,7 @@ SELECT doc_id, unnest(ordinals) AS ordinal, unnest(s.ids) AS batch_id FROM (
        GROUP BY b.doc_id, b.batch_id""",
 )
 def _(spark, folder):
-    segments = cut(S.segment_pages(A.corpus_pages(spark, folder)))
+    segments = keep(S.segment_pages(A.corpus_pages(spark, folder)))
     return (
         S.batch_segments(segments)
         .join(segments.select("doc_id", "ordinal", "text"), ["doc_id", "ordinal"])
@@ -321,7 +321,7 @@ def _(spark, folder):
         GROUP BY doc_id, page""",
 )
 def _(spark, folder):
-    segments = cut(S.segment_pages(A.corpus_pages(spark, folder)))
+    segments = keep(S.segment_pages(A.corpus_pages(spark, folder)))
     translations = segments.where("block_type <> 'heading'").select(
         "doc_id", "segment_id", F.lower("text").alias("text")
     )
@@ -336,7 +336,7 @@ def _(spark, folder):
              FROM v_segments WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal))""",
 )
 def _(spark, folder):
-    segments = cut(S.segment_pages(A.corpus_pages(spark, folder)).select(
+    segments = keep(S.segment_pages(A.corpus_pages(spark, folder)).select(
         "doc_id", "ordinal", "page", "block_type"))
     return S.boundaries(segments).select("doc_id", "ordinal", "page_boundary", "footnote_boundary")
 

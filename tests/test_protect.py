@@ -2,8 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from bitext import constants as K
+from bitext import schemas
 from bitext.operators import inference as I
 from bitext.operators import protect as P
+from bitext.operators import protect, segment
 from bitext.operators import review as R
 
 
@@ -165,3 +167,22 @@ def test_placeholders_past_five_digits(spark):
     six = spark.createDataFrame([(1, "s", "x ⟦MATH_INLINE_123456⟧ y")], "doc_id long, segment_id string, text string")
     objects = spark.createDataFrame([(1, "s", "⟦MATH_INLINE_123456⟧", "β", None, 0.5, "inline")], "doc_id long, segment_id string, placeholder string, source string, latex string, confidence double, type string")
     assert P.restore_math(six, objects).first().text == "x β y"
+
+
+def test_one_scan_protects_like_one_after_the_other(spark):
+    bodies = [
+        "Heading of it\n\nThe value is 0.25 (2011) with β in https://x.org/a.\n\nΓr(Y) = ∑ YijYji. (2)",
+        "[[NUMBER_00001]] stays, ⟦MATH_INLINE_00007⟧ too; p < 0.05 and $x_1$ = 5 %.\n\nTable 3: Items of 12\n\nprose 7",
+        "", "no values at all", "$$a^2$$ 4\n\n1. Smith: Cited work, 2011. 2. Jones: Another work, 2010.",
+    ]
+    pages = spark.createDataFrame(
+        [(d, p, "native", bodies[(d + p) % 5] + (f"\n\nclosing {d} of {p}" if p % 2 else ""), p % 4, 0) for d in (1, 2, 3) for p in range(1, 9)], schemas.PAGES
+    )
+    segments = segment.segment_pages(pages)
+    want = protect.protect_tokens(protect.protect_math(segments))
+    columns = ["doc_id", "segment_id", "ordinal", "page", "block_type", "text", "math", "tokens"]
+    rows = lambda df: sorted(map(str, df.select(*columns).collect()))
+    assert rows(protect.protect_values(segments)) == rows(want)
+    paged = protect.protected_pages(pages)
+    assert rows(paged) == rows(want) and len(rows(want)) > 40
+    assert sorted((r.segment_id, r.doc_id, r.source) for r in paged.collect()) == sorted((r.segment_id, r.doc_id, r.text) for r in segments.collect())
