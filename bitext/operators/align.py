@@ -7,13 +7,15 @@ segments and translations of the documents.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitext import constants as K
 from bitext.functions import text as T
-from bitext.plans.lineage import cut
-from bitext.plans.ordered import running_total
+from bitext.plans.lineage import keep
+from bitext.plans.ordered import kept_with_running
 from bitext.plans.rows import unfold
 
 SPLITTABLE = ["paragraph", "footnote"]
@@ -54,44 +56,38 @@ def explode_side(alignments: DataFrame, side: str) -> DataFrame:
 # -------------------------------------------------------------- resegmentation
 
 
-def cut_ends(lengths: Column, groups: Column) -> Column:
+def places_of_cuts(lengths: np.ndarray, groups: int) -> np.ndarray:
     """Last unit (1, 2, …) of all groups but the last, when units are cut into ``groups`` runs.
 
     Cut j lies where the running length is nearest to j/groups of the total, the
     first such unit winning, and leaves a unit for every group.  Because running
-    lengths grow strictly, that is the running maximum of (nearest - j), bounded
-    by the units to spare, plus j.
+    lengths grow strictly, the nearest units come in order and are found by one sweep; cuts are the
+    running maximum of (nearest - j), bounded by the units to spare, plus j.
     """
-    units = F.size(lengths)
-    ends = F.aggregate(
-        lengths,
-        F.array(F.lit(0)),
-        lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + F.greatest(n, F.lit(1))),
-    )
-    total = F.element_at(ends, -1)
-
-    def nearest(j):
-        goal = total * j / groups
-        start = F.struct(F.lit(0).alias("at"), F.lit(float("inf")).alias("off"))
-        return F.aggregate(
-            F.sequence(F.lit(1), units),
-            start,
-            lambda best, e: F.when(
-                F.abs(F.element_at(ends, e + 1) - goal) < best["off"],
-                F.struct(e.alias("at"), F.abs(F.element_at(ends, e + 1) - goal).alias("off")),
-            ).otherwise(best),
-            lambda best: best["at"],
-        )
+    ends = np.cumsum(np.maximum(lengths, 1), dtype=np.int64).astype(np.float64)
+    cut = np.arange(1, groups)
+    goals = ends[-1] * cut / groups
+    after = np.minimum(np.searchsorted(ends, goals), len(ends) - 1)
+    before = np.maximum(after - 1, 0)
+    nearest = np.where(np.abs(ends[before] - goals) <= np.abs(ends[after] - goals), before, after) + 1
+    shift = np.maximum.accumulate(np.maximum(nearest - cut, 0))
+    return cut + np.minimum(shift, len(ends) - groups)
 
-    shifts = F.aggregate(
-        F.sequence(F.lit(1), groups - 1),
-        F.array(F.lit(0)),
-        lambda acc, j: F.array_append(acc, F.greatest(F.element_at(acc, -1), nearest(j) - j)),
-    )
-    cuts = F.transform(
-        F.slice(shifts, F.lit(2), groups - 1), lambda s, i: i + 1 + F.least(s, units - groups)
-    )
-    return F.when(groups > 1, cuts).otherwise(F.array().cast("array<int>"))
+
+def cut_ends(lengths: Column, groups: Column) -> Column:
+    """``places_of_cuts`` of an array of lengths; null where either is null, empty for one group or none."""
+
+    @F.pandas_udf("array<int>")
+    def ends(lengths: pd.Series, groups: pd.Series) -> pd.Series:
+        found = []
+        for values, n in zip(lengths, groups, strict=True):
+            if values is None or n != n:
+                found.append(None)
+            else:
+                found.append(places_of_cuts(np.asarray(values), int(n)).astype(np.int32) if n > 1 else np.zeros(0, dtype=np.int32))
+        return pd.Series(found)
+
+    return ends(lengths, groups)
 
 
 def _runs(ids: Column, cuts: Column) -> Column:
@@ -110,7 +106,7 @@ def _children(rows: DataFrame, divisible: Column, letter: str) -> DataFrame:
     divided = rows.withColumn(
         "_units", F.when(divisible, T.sentence_groups(F.col("text"))).otherwise(whole)
     ).withColumn("_units", F.when(F.size("_units") > 1, F.col("_units")).otherwise(F.array("text")))
-    placed = running_total(cut(divided), ["doc_id"], "ordinal", F.size("_units"), "_before")
+    placed = kept_with_running(divided, ["doc_id"], "ordinal", {"_before": F.size("_units")})
     out = unfold(placed, "_units", "_unit", "_i")
     several = F.size("_units") > 1
     name = F.concat("segment_id", F.lit(f"::{letter}"), F.format_string("%03d", F.col("_i") + 1))
@@ -155,9 +151,9 @@ def resegment(
         .groupBy("doc_id", "segment_id")
         .agg(F.bool_or("_can").alias("_can"))
     )
-    source = cut(_children(_optional(segments), F.col("block_type").isin(SPLITTABLE), "s"))
+    source = keep(_children(_optional(segments), F.col("block_type").isin(SPLITTABLE), "s"))
     marked = _optional(translations).join(targets, ["doc_id", "segment_id"], "left")
-    target = cut(_children(marked, F.coalesce("_can", F.lit(False)), "t").drop("_can"))
+    target = keep(_children(marked, F.coalesce("_can", F.lit(False)), "t").drop("_can"))
     for name in ("base_text", "reviewed_text"):
         if name in target.columns:
             target = target.withColumn(name, F.when(~F.col("_divided"), F.col(name)))

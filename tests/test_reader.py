@@ -103,6 +103,16 @@ def test_resegment_one_to_one(spark):
     assert (report.source_segments, report.alignments, report.subdivided_alignments, report.paragraph_fallbacks) == (3, 3, 1, 0)
 
 
+def test_cuts_of_a_long_alignment(spark):
+    # Twenty thousand units of one length in three thousand groups: cuts are the rounded multiples of their share.
+    df = spark.range(1).select(F.array_repeat(F.lit(7), 20_000).alias("ls"), F.lit(3000).alias("k"))
+    got = df.select(A.cut_ends(F.col("ls"), F.col("k")).alias("e")).first().e
+    share = 20_000 / 3000
+    assert len(got) == 2999 and all(abs(e - share * (j + 1)) <= 0.5 + 1e-9 for j, e in enumerate(got))
+    odd = spark.createDataFrame([([], None), ([3], 1), (None, 2), ([1, 1, 1], 3), ([0, 0, 9], 2)], "ls array<int>, k int")
+    assert [r.e for r in odd.select(A.cut_ends(F.col("ls"), F.col("k")).alias("e")).collect()] == [None, [], None, [1, 2], [2]]
+
+
 def test_resegment_uneven(spark):
     source, target, aligned = A.resegment(*reader(spark, " ".join(SOURCE), " ".join(TARGET[:2])))
     rows = aligned.orderBy("part").collect()
