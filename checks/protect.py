@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +13,9 @@ from bitext.functions import text as T
 from bitext.operators import inference as I
 from bitext.operators import protect as P
 from bitext.operators import review as R
-from bitext.plans.lineage import cut, keep
+from bitext.plans.lineage import checkpoint_folder, cut, keep
 from bitext.plans.processing import process
+from bitext.plans.resume import run_batches_once
 from checks import adapters as A
 from checks.register import registry
 from checks.sql import NL, VIEWS, lit, matches, re2, strip
@@ -607,6 +611,41 @@ def _(spark, folder):
     return answers.select("doc_id", "batch_id", failed.alias("failed"), F.when(~failed, said).alias("answer"))
 
 
+class _Stopped(BaseException):
+    """What no retry catches: a process that is told to end."""
+
+
+def _stopping_model():
+    """Answers like the other stand-in until it is asked for a batch of more than ten segments."""
+    echo = _echo_model()
+
+    def call(segments):
+        if len(segments) > 10:
+            raise _Stopped("told to stop")
+        return echo(segments)
+
+    return call
+
+
+@check(
+    "resumed_batches",
+    """SELECT doc_id, batch_id, string_agg(segment_id || '=es ' || text, '|' ORDER BY position) AS answer, 1::BIGINT AS tries
+       FROM v_asked GROUP BY doc_id, batch_id""",
+)
+def _(spark, folder):
+    requests, ledger = keep(I.request_payload(asked(spark, folder))), f"{checkpoint_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    try:
+        run_batches_once(requests, _stopping_model, ledger, flush=4)
+    except PySparkException as error:
+        if "told to stop" not in str(error):
+            raise
+    answers = run_batches_once(requests, _echo_model, ledger)
+    return answers.select(
+        "doc_id", "batch_id",
+        F.array_join(F.transform("segments", lambda s: F.concat(s["segmentId"], F.lit("="), s["text"])), "|").alias("answer"), "tries",
+    )
+
+
 FAILURES = [
     ("view", "extracting", "Connection refused by worker "),
     ("click", "translating", "Ollama rechazó la traducción (HTTP 503). Caso "),
