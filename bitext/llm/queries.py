@@ -157,13 +157,20 @@ def _licence_sql() -> str:
         steps.append(f"r{k} AS (SELECT *, contains(left{k}, {pattern}) AS hit{k}, replace(left{k}, {pattern}, '') AS left{k + 1} FROM {left})")
         left = f"r{k}"
     names = ", ".join(f"CASE WHEN hit{k} THEN {quote(name)} END" for k, (name, _) in enumerate(licences.RULES))
+    # RE2 looks at nothing without taking it: line ends are doubled instead, and what was looked at is put back.
+    start = licences.LINE_START.replace("(?=[a-z])", "([a-z])")
+    pattern = licences.sentence_pattern("(?: |\n\n)")
+    text = "chr(10) || lower(coalesce(text, '')) || chr(10)"
+    for old, new in (
+        (licences.TAG_HEAD, r"\1 "), (licences.SEE_TAIL, " "), (start, "\n\\1"), (r"([.!?;:])(?:[ \t]+|\r?\n)", "\\1\n\n"),
+        (r"[^a-z0-9.\n]+", " "), (r"\.+([ \n])", r"\1"), (r" *\n *", "\n"), (r"\n", "\n\n"),
+    ):
+        text = f"regexp_replace({text}, {quote(old)}, {quote(new)}, 'g')"
     return rf"""
 WITH known(sentence, name) AS (VALUES {table_}),
-cut AS (
-  SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t]+', '\1' || chr(10), 'g'), chr(10))) AS raw,
-         unnest(range(1, 1 + len(string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t]+', '\1' || chr(10), 'g'), chr(10))))) AS place
-  FROM documents),
-clean AS (SELECT doc_id, place, trim(regexp_replace(regexp_replace(lower(raw), '[^a-z0-9.]+', ' ', 'g'), '\.+( |$)', '\1', 'g')) AS sentence FROM cut),
+cut AS (SELECT doc_id, unnest(found) AS raw, unnest(range(1, len(found) + 1)) AS place
+        FROM (SELECT doc_id, regexp_extract_all({text}, {quote(chr(10) + "(" + pattern + ")" + chr(10))}, 1) AS found FROM documents)),
+clean AS (SELECT doc_id, place, replace(raw, chr(10) || chr(10), ' ') AS sentence FROM cut),
 told AS (SELECT c.doc_id, string_agg(k.name, ',' ORDER BY c.place) AS names, string_agg('<' || k.name || '>', '' ORDER BY c.place) AS tags
          FROM clean c JOIN known k ON k.sentence = c.sentence GROUP BY c.doc_id),
 said AS (SELECT d.doc_id, coalesce(t.names, '') AS names, coalesce(t.tags, '') AS left0 FROM documents d LEFT JOIN told t ON t.doc_id = d.doc_id),
