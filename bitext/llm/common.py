@@ -13,7 +13,7 @@ import itertools
 import json
 import os
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,19 +28,36 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 UNSIGNED = 1 << 32
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+_scratch: list[list[str]] = []  # folders of the scopes that are open
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of this driver."""
     with contextlib.suppress(Exception):  # the session may be gone already
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own in the shared checkpoint folder; deleted when the driver ends."""
+    """A folder of its own in the shared checkpoint folder; deleted when the driver ends, or before with its scope."""
     path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    atexit.register(delete, spark, path)
+    if _scratch:
+        _scratch[-1].append(path)
     return path
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A scope whose staged tables are deleted at its end: write what comes out of it inside."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            delete(spark, path)
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """``df`` computed once, written as columns into the shared folder, and read back."""
     path = new_folder(df.sparkSession, name)

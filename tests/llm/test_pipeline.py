@@ -1,17 +1,19 @@
 import os
 import random
 import re
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from bitext.llm import common, forest, jaccard, queries
+from bitext.llm import common, forest, jaccard, packing, queries
 from checks.compare import ROOT, compare
 
 SMALL = f"{ROOT}/sf0.001"
-NAMES = [f"op{k}_" for k in range(1, 11)]
+NAMES = [f"op{k}_" for k in range(1, 14)]
 
 
 def test_registry():
@@ -107,7 +109,14 @@ def test_documents_without_or_under_one_identifier_stay(spark, folder):
 
 def test_run_equals_its_stages(spark, folder):
     rows = corpus_pipeline.run(spark, folder)
-    assert rows.count() > 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(rows.columns)
+    found = rows.collect()
+    assert found and {"doc_id", "piece", "sequence_id", "offset", "ids"} <= set(rows.columns)
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in found)
+    # What the stages wrote on the way is gone; what is read is there.
+    left = os.listdir(common.checkpoint_folder(spark).removeprefix("file:"))
+    assert [n for n in left if n.startswith(("quality-", "near_copies-", "mixture-"))] == [] and any(n.startswith("pack-") for n in left)
+    for s in packing.sequences(rows).collect():
+        assert len(s.ids) == sum(s.lengths) <= 2048
 
 
 def test_empty_tables(spark, none, tmp_path):
