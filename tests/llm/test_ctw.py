@@ -65,21 +65,22 @@ def texts(n, seed):
     return [" ".join(random.choices(["the", "theatre", "ant", "tant", "é", "on"], k=random.randint(0, 25))) for _ in range(n)]
 
 
-def test_scores_equal_the_recursion(spark):
+@pytest.mark.parametrize("depth", [3, 5])
+def test_scores_equal_the_recursion(spark, depth):
     rows = [(k, t) for k, t in enumerate(texts(60, 1))] + [(None, "The ant"), (100, None), (100, ""), (101, "THEATRE zz")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = ctw.score_texts(docs, depth=3).collect()
+    got = ctw.score_texts(docs, depth=depth).collect()
     assert len(got) == len(rows)
     out = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 7 == 2
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
-    counts = slow_weights([low(t).encode() for i, t in rows if not out(i)], 3)
+    counts = slow_weights([low(t).encode() for i, t in rows if not out(i)], depth)
     words = Counter(w for i, t in rows if not out(i) for w in [*low(t).split(), "\n"])
     n, v = sum(words.values()), len(words)
     want = {}
     for i, t in rows:
         w = [*low(t).split(), "\n"]
         base = sum(math.log10((words[x] + 1) / (n + v + 1)) for x in w)
-        bits = slow_bits(low(t).encode(), dict(counts), 3)
+        bits = slow_bits(low(t).encode(), dict(counts), depth)
         want.setdefault(i, []).append((out(i), len(w), sum(x in words for x in w), n, base, -bits * math.log10(2)))
     for r in got:
         found = (r.held_out, r.n_tokens, r.n_known, r.train_tokens)

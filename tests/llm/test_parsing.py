@@ -53,6 +53,66 @@ def test_unrelated_long_texts_are_not_alike():
     assert parsing.likeness(s[:1], s[1:])[0] < 0.05
 
 
+M = (1 << 64) - 1
+
+
+def mixed(h):
+    h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & M
+    h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & M
+    return h ^ (h >> 31)
+
+
+def power(k):
+    return pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)
+
+
+def tossed(symbols, bits):
+    """Twice the place of the lowest bit that differs from the left neighbour, plus the bit there."""
+    out = []
+    for k, x in enumerate(symbols):
+        other = symbols[k - 1] if k else (1 << bits) - 1
+        place = next((b for b in range(bits) if (x ^ other) >> b & 1), bits)
+        out.append(2 * place + (x >> min(place, bits - 1) & 1))
+    return out
+
+
+def level(names):
+    """Phrases of one level, one symbol at a time."""
+    runs = []
+    for x in names:
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1])
+    names = [x if n == 1 else mixed((x + n * power(7)) & M) for x, n in runs]
+    labels = tossed(names, 64)
+    for _ in range(3):
+        labels = tossed(labels, 8)
+    opens = [k for k in range(len(names)) if k == 0 or (k + 1 < len(names) and labels[k - 1] < labels[k] > labels[k + 1])]
+    return [mixed(sum(names[k] * power((k - lo) & 255) for k in range(lo, hi)) & M) for lo, hi in zip(opens, [*opens[1:], len(names)], strict=True)]
+
+
+def sketch(text):
+    names = [mixed((b + 1) * power(0) & M) for b in text.encode()]
+    for _ in range(parsing.LEVELS):
+        names = level(names) if names else []
+    bins = {}
+    for x in names:
+        h = mixed((x + power(3)) & M)
+        bins[h % parsing.BINS] = min(h, bins.get(h % parsing.BINS, M))
+    return [max(mixed((bins[k] + power(4)) & M) >> 48, 1) if k in bins else 0 for k in range(parsing.BINS)]
+
+
+def test_sketches_like_one_symbol_at_a_time():
+    texts = ["", "a", "ab", "aaaa", "é" * 5, "abababab" * 9, "one two  two\n" * 7, *[text_of(k, 100 + k) for k in (1, 2, 3, 9, 40, 200)]]
+    assert parsing.sketches(texts).tolist() == [sketch(t) for t in texts]
+    for a in texts[3:9]:
+        for b in texts[5:]:
+            x, y = sketch(a), sketch(b)
+            used, hits = sum(p or q for p, q in ((i > 0, j > 0) for i, j in zip(x, y, strict=True))), sum(i == j > 0 for i, j in zip(x, y, strict=True))
+            assert parsing.likeness(parsing.sketches([a]), parsing.sketches([b]))[0] == (2 * hits / (used + hits) if used else 1.0)
+
+
 def brute(rows):
     texts = [t or "" for _, t in rows]
     out = []
