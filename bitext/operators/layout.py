@@ -184,16 +184,29 @@ def _regions(page: _Page, ids: np.ndarray) -> Iterator[np.ndarray]:
             yield region
 
 
+SWEEP = 64  # items after which lines that are out of reach are left behind
+
+
 def _gather_lines(page: _Page, ids: np.ndarray) -> list[dict]:
-    """Lines of a region: items from top to bottom, each to the line it sits on."""
+    """Lines of a region: items from top to bottom, each to the line it sits on.
+
+    The items sweep down the region, so that a line is left behind once no later item can reach it: none begins
+    high enough to overlap it, none is large enough to be near its base.
+    """
     lines: list[dict] = []
     order = ids[np.lexsort((page.index[ids], page.x[ids], -page.y[ids]))]
-    # Plain floats: this loop meets every line of the region for every item.
     overlap, slack, share, tall = L["line_overlap"], L["line_distance"], L["line_distance_height"], L["tall"]
-    for i, y, h, size in zip(order.tolist(), page.y[order].tolist(), page.h[order].tolist(), page.size[order].tolist()):
+    # The largest item that is still to come.
+    sizes = np.maximum.accumulate(page.size[order][::-1])[::-1].tolist()
+    heights_left = np.maximum.accumulate(page.h[order][::-1])[::-1].tolist()
+    reached: list[dict] = []
+    for k, (i, y, h, size) in enumerate(zip(order.tolist(), page.y[order].tolist(), page.h[order].tolist(), page.size[order].tolist())):
         top = y + size
         near = []
-        for line in lines:
+        if k % SWEEP == 0:
+            far, above = max(slack, share * heights_left[k]), y + sizes[k]
+            reached = [line for line in reached if line["base"] - y <= far or line["low"] <= above]
+        for line in reached:
             low, high = line["low"], line["high"]
             span = high - low if high - low < h else h
             away = abs(line["base"] - y)
@@ -202,6 +215,7 @@ def _gather_lines(page: _Page, ids: np.ndarray) -> list[dict]:
                 near.append((away, line))
         if not near:
             lines.append({"items": [i], "low": y, "high": top, "base": y, "ref": h})
+            reached.append(lines[-1])
             continue
         if any(h > tall * line["ref"] for _, line in near):
             line = max(near, key=lambda n: n[1]["base"])[1]

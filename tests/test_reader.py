@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,3 +280,41 @@ def test_scroll_without_move_silences_nobody(spark):
     rows = [(1, 0, 0, "scroll", "source", "smooth", False), (1, 1, 50, "scroll", "translation", "auto", True), (1, 2, 60, "scroll", "source", "auto", True), (1, 3, 70, "scroll", "translation", "auto", None)]
     got = sorted(r.seq for r in J.debounced_sync(spark.createDataFrame(rows, kind)).collect())
     assert got == [0, 1, 3]
+
+
+def page_of(items, width=600.0, height=800.0):
+    columns = {c: np.array(v, dtype=object if c == "text" else float) for c, v in items.items()}
+    columns["source_index"] = np.arange(len(items["x"]))
+    columns["page_width"], columns["page_height"] = np.full(len(items["x"]), width), np.full(len(items["x"]), height)
+    return L._Page(columns)
+
+
+def printed(rng, n, height=800.0):
+    """Words on lines with slant, raised marks, large titles and drop caps."""
+    items = {"text": [], "x": [], "y": [], "width": [], "height": []}
+    for _ in range(n):
+        line = rng.randint(0, max(1, n // 12)) * 12.0
+        tall = rng.choice([10.0, 10.0, 10.0, 10.5, 6.0, 14.0, 30.0])
+        items["text"].append(rng.choice(["word", "of", "1", "x,"]))
+        items["x"].append(rng.uniform(0, 560))
+        items["y"].append(line + rng.choice([0, 0, 0, 0.4, -0.6, 4.0]))
+        items["width"].append(rng.uniform(4, 40))
+        items["height"].append(tall)
+    return page_of(items, height=height)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_lines_of_the_sweep_are_those_of_all_lines(monkeypatch, seed):
+    page = printed(random.Random(seed), 600, 6000.0)
+    ids = np.arange(len(page.text))
+    monkeypatch.setattr(L, "SWEEP", 1)
+    swept = L._gather_lines(page, ids)
+    monkeypatch.setattr(L, "SWEEP", 10**9)  # no line is ever left behind
+    assert [(x["items"], x["base"]) for x in swept] == [(x["items"], x["base"]) for x in L._gather_lines(page, ids)]
+
+
+def test_a_page_of_fifty_thousand_items():
+    page = printed(random.Random(1), 50_000, 60_000.0)
+    begun = time.perf_counter()
+    lines = L._gather_lines(page, np.arange(50_000))
+    assert sorted(i for x in lines for i in x["items"]) == list(range(50_000)) and time.perf_counter() - begun < 60
