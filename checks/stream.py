@@ -22,7 +22,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Everything a stream of the available data puts out, by way of a folder that every executor reads."""
+    """Everything a stream of the available data puts out, with the micro-batch, by way of a folder that every executor reads."""
     spark, path = stream.sparkSession, new_folder(stream.sparkSession, "stream-out")
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -35,13 +35,7 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
-
-
-def event_stream(spark, folder) -> DataFrame:
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    return files.withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.read.schema(stream.schema.add("batch", "long")).parquet(path)
 
 
 def dealt_stream(events: DataFrame, time: str, last: dict) -> tuple[DataFrame, int]:
@@ -68,8 +62,11 @@ def dealt_stream(events: DataFrame, time: str, last: dict) -> tuple[DataFrame, i
 
 @check("job_state_stream", reader.SQL["job_state"])
 def _(spark, folder):
-    out = drained(SJ.stream_job_state(reader.job_events_of(event_stream(spark, folder))), "update")
-    last = out.groupBy("project_id", "document_id").agg(F.max_by(F.struct("phase", "progress", "error"), "seq").alias("s"))
+    events = reader.job_events_of(spark.read.parquet(f"{folder}/events.parquet")).withColumn("ts", F.col("ts").cast("timestamp"))
+    closing = {"project_id": F.lit("closing"), "document_id": F.lit("closing"), "seq": F.lit(-1), "type": F.lit("finished")}
+    stream, late = dealt_stream(events.withColumn("clock", F.unix_millis("ts")), "clock", closing)
+    out = drained(SJ.stream_job_state(stream, f"{late} milliseconds", ttl_hours=24 * 3650), "update")
+    last = out.groupBy("project_id", "document_id").agg(F.max_by(F.struct("phase", "progress", "error"), F.struct("seq", "batch")).alias("s"))
     return last.where("s.phase <> 'finished'").select(
         "project_id", "document_id", "s.phase",
         F.get_json_object("s.progress", "$.current").cast("long").alias("progress_at"), "s.error",
@@ -90,7 +87,7 @@ def _(spark, folder):
     use_state_lists(spark)
     # Events count in the order of their identifiers, as in the batch form: these are the clock.
     events = reader.job_events_of(spark.read.parquet(f"{folder}/events.parquet")).select(
-        "project_id", "document_id", "seq", F.timestamp_millis("seq").alias("ts"), "type"
+        "project_id", "document_id", "seq", F.timestamp_millis(F.col("seq") + 1).alias("ts"), "type"
     ).withColumn("clock", F.col("seq"))
     stream, late = dealt_stream(events, "clock", {"document_id": F.lit("closing"), "project_id": F.lit("closing"), "seq": F.lit(-1), "type": F.lit("finished")})
     out = drained(SJ.stream_accepted_starts(stream, f"{late} milliseconds"), "append")
