@@ -59,9 +59,31 @@ def page_space(items: DataFrame) -> DataFrame:
     )
 
 
-@check("clean_text_items", """SELECT doc_id, page, source_index, text, x, y, width, height FROM v_items WHERE trim(text) <> ''""")
+# Items as a damaged page gives them: blank texts, places that are no numbers or missing, endless widths, flat letters.
+VIEWS["v_dirty_items"] = """
+SELECT doc_id, page, source_index, CASE WHEN source_index % 29 = 3 THEN ' ' || chr(160) WHEN source_index % 31 = 3 THEN NULL ELSE text END AS text,
+  CASE WHEN source_index % 13 = 5 THEN 'nan'::DOUBLE ELSE x END AS x, CASE WHEN source_index % 23 = 5 THEN NULL ELSE y END AS y,
+  CASE WHEN source_index % 19 = 5 THEN '-infinity'::DOUBLE ELSE width END AS width, CASE WHEN source_index % 17 = 5 THEN 0.4 ELSE height END AS height
+FROM v_items
+"""
+
+
+def dirty_items(spark, folder) -> DataFrame:
+    i = F.col("source_index")
+    return text_items(spark, folder).withColumns({
+        "text": F.when(i % 29 == 3, F.lit(" \u00a0")).when(i % 31 == 3, F.lit(None)).otherwise(F.col("text")),
+        "x": F.when(i % 13 == 5, float("nan")).otherwise(F.col("x")), "y": F.when(i % 23 == 5, F.lit(None)).otherwise(F.col("y")),
+        "width": F.when(i % 19 == 5, float("-inf")).otherwise(F.col("width")), "height": F.when(i % 17 == 5, 0.4).otherwise(F.col("height")),
+    })
+
+
+@check(
+    "clean_text_items",
+    """SELECT doc_id, page, source_index, text, x, y, width, greatest(height, 1.0::DOUBLE) AS height FROM v_dirty_items
+       WHERE text IS NOT NULL AND trim(replace(text, chr(160), ' ')) <> '' AND NOT isnan(x) AND y IS NOT NULL AND NOT isinf(width)""",
+)
 def _(spark, folder):
-    return LA.clean_text_items(text_items(spark, folder)).select("doc_id", "page", "source_index", "text", "x", "y", "width", "height")
+    return LA.clean_text_items(dirty_items(spark, folder)).select("doc_id", "page", "source_index", "text", "x", "y", "width", "height")
 
 
 @check(
