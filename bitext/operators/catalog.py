@@ -75,7 +75,7 @@ def folders(files: DataFrame, projects: DataFrame, explicit: DataFrame | None =
 # ------------------------------------------------------------------ matching
 
 
-def refresh_references(catalog: DataFrame, files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def refresh_references(catalog: DataFrame, files: DataFrame, hot_rows: int = HOT_ROWS, largest: int | None = None) -> DataFrame:
     """Find every catalogued file again, by path, then by content.
 
     Returns the catalog's sides with the file columns of what was found (the old
@@ -94,7 +94,7 @@ def refresh_references(catalog: DataFrame, files: DataFrame, hot_rows: int = HOT
     ).select("project_id", "side", "sha256", "size", "ordinal", "document_id")
     by_content = match_in_order(
         lost, spare, ["project_id", "side", "sha256", "size"], ["ordinal", "document_id"], ["relative_path"],
-        hot_rows=hot_rows,
+        hot_rows=hot_rows, largest=largest,
     )
     names = ["project_id", "side", "document_id", *REFERENCE]
     found = by_path.select(*names).unionByName(by_content.select(*names)).select(
@@ -116,7 +116,7 @@ def unused_files(files: DataFrame, taken: DataFrame) -> DataFrame:
 
 
 def adopt_counterparts(
-    sides: DataFrame, files: DataFrame, projects: DataFrame, hot_rows: int = HOT_ROWS
+    sides: DataFrame, files: DataFrame, projects: DataFrame, hot_rows: int = HOT_ROWS, largest: int | None = None
 ) -> DataFrame:
     """Unused files for the empty side of documents whose other side has the same key.
 
@@ -136,14 +136,14 @@ def adopt_counterparts(
     offered = with_keys(unused_files(files, sides), projects, F.col("relative_path"), F.col("side"))
     return match_in_order(
         waiting, offered, ["project_id", "side", "pair_key"], ["ordinal", "document_id"], ["relative_path"],
-        hot_rows=hot_rows,
+        hot_rows=hot_rows, largest=largest,
     ).select(
         "project_id", "document_id", "ordinal", "side", *REFERENCE, F.lit(True).alias("available")
     )
 
 
 def pair_new_files(
-    files: DataFrame, projects: DataFrame, snapshot: str = "", hot_rows: int = HOT_ROWS
+    files: DataFrame, projects: DataFrame, snapshot: str = "", hot_rows: int = HOT_ROWS, largest: int | None = None
 ) -> DataFrame:
     """New documents from unused files: equal keys are paired in path order.
 
@@ -159,7 +159,7 @@ def pair_new_files(
 
     paired = match_in_order(
         one("original"), one("translation"), ["project_id", "pair_key"], ["_original"], ["_translation"],
-        how="full", hot_rows=hot_rows,
+        how="full", hot_rows=hot_rows, largest=largest,
     )
     part = lambda side, c: F.coalesce(F.col(f"{side}.{c}"), F.lit(""))
     return paired.select(
@@ -177,7 +177,7 @@ def pair_new_files(
     )
 
 
-def _numbered(fresh: DataFrame, catalog: DataFrame, projects: DataFrame, hot_rows: int) -> DataFrame:
+def _numbered(fresh: DataFrame, catalog: DataFrame, projects: DataFrame, hot_rows: int, largest: int | None) -> DataFrame:
     """New documents with their ``ordinal``: after the highest of their project, by key and then in the order of pairing."""
     path = lambda side: F.col(f"{side}.relative_path")
     keyed = cut(fresh).join(projects.select("project_id", "original_dir", "translation_dir"), "project_id").select(
@@ -187,7 +187,7 @@ def _numbered(fresh: DataFrame, catalog: DataFrame, projects: DataFrame, hot_row
         ).alias("_key"),
         path("original").isNull().alias("_late"), path("original").alias("_original"), path("translation").alias("_translation"),
     )
-    placed = rank_within(keyed, ["project_id"], ["_key", "_late", "_original", "_translation"], "_n", hot_rows)
+    placed = rank_within(keyed, ["project_id"], ["_key", "_late", "_original", "_translation"], "_n", hot_rows, largest)
     highest = catalog.groupBy("project_id").agg(F.max("ordinal").alias("_highest"))
     return placed.join(highest, "project_id", "left").select(
         *fresh.columns, (F.coalesce("_highest", F.lit(-1)) + F.col("_n")).cast("long").alias("ordinal")
@@ -202,9 +202,12 @@ def reconcile(
     New records come after the old ones of their project, so that the next scan serves the older first.
     Adds ``original_available`` and ``translation_available``.
     """
-    sides = cut(refresh_references(catalog, files, hot_rows))
-    sides = cut(sides.unionByName(adopt_counterparts(sides, files, projects, hot_rows)))
-    fresh = _numbered(pair_new_files(unused_files(files, sides), projects, snapshot, hot_rows), catalog, projects, hot_rows)
+    # No group is larger than all files and records together: where that is little, groups are not measured one matching at a time.
+    rows = files.count() + 2 * catalog.count()
+    largest = rows if rows <= hot_rows else None
+    sides = cut(refresh_references(catalog, files, hot_rows, largest))
+    sides = cut(sides.unionByName(adopt_counterparts(sides, files, projects, hot_rows, largest)))
+    fresh = _numbered(pair_new_files(unused_files(files, sides), projects, snapshot, hot_rows, largest), catalog, projects, hot_rows, largest)
 
     def pick(side, value):
         return F.first(F.when(F.col("side") == side, value), ignorenulls=True)

@@ -196,19 +196,21 @@ def match_in_order(
     right_order: Sequence[str],
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Join the n-th row of ``left`` with the n-th row of ``right`` inside equal keys.
 
-    One map-side combined count of both sides tells how large the groups are.
+    One map-side combined count of both sides tells how large the groups are, unless ``largest`` bounds them.
     """
     keys = list(keys)
-    sizes = (
-        left.select(*keys, F.lit(1).alias("_l"), F.lit(0).alias("_r"))
-        .unionByName(right.select(*keys, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
-        .groupBy(*keys)
-        .agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
-    )
-    largest = sizes.agg(F.max(F.greatest("_l", "_r")).alias("rows")).first()["rows"] or 0
+    if largest is None:
+        sizes = (
+            left.select(*keys, F.lit(1).alias("_l"), F.lit(0).alias("_r"))
+            .unionByName(right.select(*keys, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+            .groupBy(*keys)
+            .agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+        )
+        largest = sizes.agg(F.max(F.greatest("_l", "_r")).alias("rows")).first()["rows"] or 0
     ranked = [
         rank_within(side, keys, order, "_n", hot_rows, largest)
         for side, order in ((left, left_order), (right, right_order))
