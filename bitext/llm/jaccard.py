@@ -32,6 +32,7 @@ BLOCK_CHARS = 3 << 20  # words of a block are held as objects, ten times its siz
 TILE = 1 << 17  # shingles of a side of a tile, plus 64 per text
 COLUMNS = 4096  # shingles multiplied at once
 FILTER_BITS = 1 << 22
+SALTS = 16  # tasks of one block in joins by block
 REMEMBER = 150_000  # word hashes a worker keeps
 
 _word_hashes: dict[bytes, int] = {}
@@ -270,6 +271,14 @@ def _multiply(units: DataFrame, percent: int) -> DataFrame:
     return units.groupBy("block", "i", "j").applyInPandas(tile, "rep long, links long, label long")
 
 
+def _with_block(side: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows (block, cls, …) with the columns of their block, of which ``blocks`` has one row; a block of many rows is dealt to
+    ``SALTS`` tasks, each with a copy of that row."""
+    salted = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = side.withColumn("_salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
+    return own.join(salted, ["block", "_salt"]).drop("_salt")
+
+
 def star_components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b), by large-star and small-star rounds: (a, root) for all but the roots."""
     edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -327,13 +336,13 @@ def link_similar(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     weight = F.col("n") + 64
     inside = block_of.groupBy("block").agg(F.sum(weight).alias("x_weight"), F.min("n").alias("low"), F.max("n").alias("high"))
     partners = staged(
-        partners.join(inside.select("block", "low", "high"), "block")
+        _with_block(partners, inside.select("block", "low", "high"))
         .where((100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high"))), "partners",
     )
     tiles = (
         inside.join(partners.groupBy("block").agg(F.sum(weight).alias("y_weight"), F.count(F.lit(1)).alias("partners")), "block")
         .where("partners > 1")
-        .select(F.col("block").alias("t"), F.expr(f"x_weight div {TILE} + 1").alias("rows"), F.expr(f"y_weight div {TILE} + 1").alias("cols"))
+        .select("block", F.expr(f"x_weight div {TILE} + 1").alias("rows"), F.expr(f"y_weight div {TILE} + 1").alias("cols"))
     )
 
     def spread(side: DataFrame, member: bool) -> DataFrame:
@@ -341,7 +350,7 @@ def link_similar(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
         mine, other = ("rows", "cols") if member else ("cols", "rows")
         at = F.pmod(F.xxhash64("cls"), F.col(mine))
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
-        return side.join(tiles, F.col("block") == F.col("t")).select(
+        return _with_block(side, tiles).select(
             "block", *([at.alias("i"), every.alias("j")] if member else [every.alias("i"), at.alias("j")]),
             F.lit(member).alias("member"), "own", "cls",
         )
