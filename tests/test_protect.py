@@ -1,3 +1,5 @@
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from bitext.operators import inference as I
 from bitext.operators import protect as P
 from bitext.operators import protect, segment
 from bitext.operators import review as R
+from bitext.plans.rows import with_parallelism
 
 
 def segments(spark, *rows):
@@ -186,3 +189,33 @@ def test_one_scan_protects_like_one_after_the_other(spark):
     paged = protect.protected_pages(pages)
     assert rows(paged) == rows(want) and len(rows(want)) > 40
     assert sorted((r.segment_id, r.doc_id, r.source) for r in paged.collect()) == sorted((r.segment_id, r.doc_id, r.text) for r in segments.collect())
+
+
+def test_texts_that_hold_the_marks_of_the_search(spark):
+    unnumbered = K.MATH_UNNUMBERED
+    rows = [
+        (1, "a\x1e 12 β\x1f 7 %"), (2, "see https://x.org/β/3 and p < 0.05"), (3, f"{unnumbered} 5 α"), (4, f"https://x.org/{unnumbered} β 6"),
+        (5, "[[NUMBER_00001]] ⟦number_00002⟧ 3 a.b@c.org"), (6, None), (7, "ıa@x.org ſ10.1234/abc İ5"),
+    ]
+    segments = spark.createDataFrame([(1, f"s{k}", k, 1, "paragraph", t) for k, t in rows], "doc_id int, segment_id string, ordinal int, page int, block_type string, text string")
+    both = {r.ordinal: r for r in P.protect_values(segments).collect()}
+    for r in P.protect_tokens(P.protect_math(segments)).collect():
+        assert (both[r.ordinal].text, both[r.ordinal].math, both[r.ordinal].tokens) == (r.text, r.math, r.tokens)
+    assert both[1].text == "a\x1e [[NUMBER_00001]] ⟦MATH_INLINE_00001⟧\x1f [[NUMBER_00002]]"
+    assert both[3].text == f"{unnumbered} [[NUMBER_00004]] ⟦MATH_INLINE_00004⟧"
+    safe = P.protect_values(segments)
+    back = P.restore_math(P.restore_tokens(safe.select("doc_id", "segment_id", "text"), P.stable_tokens(safe)), P.math_objects(safe))
+    wanted = dict(rows) | {6: None}
+    assert {int(r.segment_id[1:]): r.text for r in back.collect() if r.segment_id != "s5"} == {k: t for k, t in wanted.items() if k != 5}
+
+
+def test_rows_of_one_row_group_are_dealt_to_all_cores(spark, tmp_path):
+    path = str(tmp_path / "one.parquet")
+    pq.write_table(pa.table({"id": list(range(50_000))}), path, compression="none")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 * 1024))
+    try:
+        table = with_parallelism(spark.read.parquet(path), tasks_per_core=4)
+        filled = [n for n in table.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(filled) == 50_000 and len(filled) >= spark.sparkContext.defaultParallelism
