@@ -218,18 +218,19 @@ def _(spark, folder):
        ON o.project_id = t.project_id AND o.k = t.k AND o.n = t.n""".replace("KEY", C.key("relative_path")),
 )
 def _(spark, folder):
-    root, inbox = new_folder(spark, "catalog"), new_folder(spark, "listings")
+    root = new_folder(spark, "catalog")
     first = C.plain_files(spark, folder)
     moved = first.withColumn("relative_path", F.regexp_replace("relative_path", "^C_trad/", "C_trad/moved/"))
     names = [f.name for f in spark.createDataFrame([], schemas.FILES).schema]
-    for number, listing in enumerate((first, moved)):
-        # A scan is a micro-batch: one file holds it.
-        listing.select(*names).coalesce(1).write.mode("append").parquet(inbox)
 
     def listen() -> None:
-        listings = spark.readStream.schema(schemas.FILES).option("maxFilesPerTrigger", 1).parquet(inbox)
-        query = incremental_reconcile(listings, C.projects(spark, folder), root)
-        query.option("checkpointLocation", new_folder(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+        inbox, state = new_folder(spark, "listings"), new_folder(spark, "stream-state")
+        for listing in (first, moved):
+            # What is new when the stream wakes is one micro-batch: a scan, in as many files as it has tasks.
+            listing.select(*names).write.mode("append").parquet(inbox)
+            listings = spark.readStream.schema(schemas.FILES).parquet(inbox)
+            query = incremental_reconcile(listings, C.projects(spark, folder), root)
+            query.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
     listen()
     listen()  # another stream state: both batches come again, and are known

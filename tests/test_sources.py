@@ -1,3 +1,4 @@
+import glob
 import hashlib
 import json
 
@@ -7,6 +8,7 @@ from bitext import schemas
 from bitext.plans.processing import process
 from bitext.sources import artifacts as S
 from bitext.sources import files as FS
+from checks import sources as checked
 from bitext.streaming.catalog import incremental_reconcile
 from bitext.streaming.jobs import stream_job_state
 
@@ -230,3 +232,12 @@ def test_incremental_reconcile(spark, tmp_path):
     assert list(first) == list(second)
     record = next(iter(second.values()))
     assert (record.original.relative_path, record.translation.relative_path) == ("C_orig/moved/a.pdf", "C_trad/moved/a.md")
+
+
+def test_a_scan_of_the_incremental_query_is_written_by_several_tasks(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(checked, "new_folder", lambda spark, name, make=checked.new_folder: made.append((name, make(spark, name))) or made[-1][1])
+    got = checked.QUERIES["incremental_reconcile"](spark, "/root/testdata/sf0.001")
+    assert {r.versions for r in got.select("versions").distinct().collect()} == {2}
+    inboxes = [path for name, path in made if name == "listings"]
+    assert all(len(glob.glob(path.removeprefix("file:") + "/*.parquet")) >= 2 * spark.sparkContext.defaultParallelism for path in inboxes)
