@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitext.llm.common import WORD, without
+from bitext.llm.common import WORD, running, staged, without
 
 WORDS = re.compile(WORD)
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -104,23 +104,28 @@ class Forest:
     height: int
     sample: int
     threshold: float = 1.0
+    labelled: int = 0  # documents that the threshold was calibrated on
 
     @classmethod
     def fit(
-        cls, rows: np.ndarray, box: np.ndarray | None = None, trees: int = 128, sample: int = 256, height: int = 14, seed: int = 7
+        cls, rows: np.ndarray, box: np.ndarray | None = None, trees: int = 128, sample: int = 256, height: int = 14, seed: int = 7,
+        picks: np.ndarray | None = None,
     ) -> Forest:
         """Trees over samples of ``rows``, split anywhere in the ``box`` (least and greatest values) of a node.
 
+        ``picks`` has the rows of each tree, where they were drawn before.
+
         Splits fall into the whole box, not only between the points of a node: a statistic that is constant among
         the points still cuts off what lies elsewhere in the box, in a leaf without points and on a short path.
         """
         random = np.random.RandomState(seed)
-        sample = min(sample, len(rows))
+        sample = min(sample, len(rows)) if picks is None else picks.shape[1]
         box = np.stack([rows.min(0), rows.max(0)]) if box is None else box
         grown = []
-        for _ in range(trees):
+        for tree in range(trees):
             feature, split, left, depth = [0], [np.inf], [0], [0.0]
-            open_ = [(0, 0, rows[random.choice(len(rows), sample, replace=False)], box)]
+            drawn = random.choice(len(rows), sample, replace=False) if picks is None else picks[tree]
+            open_ = [(0, 0, rows[drawn], box)]
             while open_:
                 node, deep, part, box_ = open_.pop()
                 wide = np.flatnonzero(box_[1] > box_[0])
@@ -173,45 +178,76 @@ class Forest:
 
 def fit_forest(
     docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", quality: str = "quality",
-    label_rows: int = 8_000, trees: int = 128, sample: int = 256, good_loss: float = 0.001, seed: int = 7,
+    label_rows: int | None = None, trees: int = 128, sample: int = 256, good_loss: float = 0.001, seed: int = 7,
 ) -> Forest | None:
     """A forest over documents labelled good, its threshold calibrated on documents labelled good or bad.
 
-    ``label_rows`` bounds the labels used: those with the smallest hash of their identifier, whatever the size
+    All labels count; ``label_rows`` bounds them where it is given: those with the smallest hash of their identifier, whatever the size
     of the table.  Of several labels of an identifier the worst counts, of several texts the least, so that the order of
-    rows plays no part.  None where no labelled good document passes the plain rules.
+    rows plays no part.  None where no labelled good document passes the plain rules.  A tree is grown from ``sample`` documents drawn
+    from all good ones, as the method has it: these are all that reaches the driver.  The box is that of all labelled
+    documents, and the threshold is found on the scores of all of them, counted by score in Spark.
     """
     chosen = (
         labels.where(F.col(quality).isNotNull() & F.col(id).isNotNull())
         .groupBy(F.col(id).alias("_label")).agg(F.min(quality).alias("_quality"))
-        .orderBy(F.xxhash64("_label", F.lit(seed)), "_label").limit(label_rows)
     )
-    types = "label long, quality int, counts array<long>, features array<double>"
+    if label_rows is not None:
+        chosen = chosen.orderBy(F.xxhash64("_label", F.lit(seed)), "_label").limit(label_rows)
+    types = "label long, good int, features array<double>"
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [statistics(t) for t in batch["text"]]
-            yield pd.DataFrame({
-                "label": batch["label"], "quality": batch["quality"],
-                "counts": [c for c, _ in found], "features": [f for _, f in found],
-            })
+            keep = [not base_failed(c) for c, _ in found]
+            measured = pd.DataFrame({"label": batch["label"], "good": (batch["quality"] > 0).astype("int32"), "features": [f for _, f in found]})
+            yield measured[keep]
 
-    # At most label_rows identifiers: small enough to broadcast, by the limit above.
     joined = docs.select(F.col(id).alias("_id"), F.col(text).alias("text")).join(
-        F.broadcast(chosen), F.col("_id") == F.col("_label")
+        chosen, F.col("_id") == F.col("_label")
     ).groupBy(F.col("_label").cast("long").alias("label"), F.col("_quality").cast("int").alias("quality")).agg(F.min("text").alias("text"))
-    rows = joined.mapInPandas(measure, types).orderBy("label").collect()
-    rows = [r for r in rows if not base_failed(r["counts"])]
-    good = np.array([r["features"] for r in rows if r["quality"] > 0], dtype=float)
-    bad = np.array([r["features"] for r in rows if r["quality"] <= 0], dtype=float)
-    if not len(good):
+    rows = staged(joined.mapInPandas(measure, types), "labelled")
+    ends = [f(F.col("features")[k]) for f in (F.min, F.max) for k in range(len(FEATURES))]
+    n, *box = rows.agg(F.coalesce(F.sum("good"), F.lit(0)), *ends).first()
+    if not n:
         return None
-    both = np.concatenate([good, bad]) if len(bad) else good
-    forest = Forest.fit(good, np.stack([both.min(0), both.max(0)]), trees, sample, seed=seed)
-    forest.calibrate(good, bad, good_loss)
+    # Places among the good documents in the order of their labels, drawn for each tree; the documents there come to the driver.
+    random = np.random.default_rng(seed)
+    picks = np.array([random.choice(n, min(sample, n), replace=False) for _ in range(trees)])
+    places = np.unique(picks)
+    wanted = docs.sparkSession.createDataFrame([(int(p),) for p in places], "_wanted long")
+    ranked = running(rows.where("good = 1"), [], ["label"], {"_place": F.lit(1)}, "good")
+    drawn = ranked.join(F.broadcast(wanted), F.col("_place") == F.col("_wanted")).orderBy("_place").select("features").collect()
+    good = np.array([r["features"] for r in drawn], dtype=float)
+    forest = Forest.fit(good, np.array(box, dtype=float).reshape(2, -1), trees, seed=seed, picks=np.searchsorted(places, picks))
+    forest.threshold, forest.labelled = _calibrated(forest, rows, good_loss)
     return forest
 
 
+def _calibrated(forest: Forest, rows: DataFrame, good_loss: float) -> tuple[float, int]:
+    """What ``Forest.calibrate`` finds, over a table: rows are counted by score, and running sums over the scores tell what each loses and catches."""
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            features = np.array(batch["features"].tolist(), dtype=float).reshape(-1, len(FEATURES))
+            yield pd.DataFrame({"score": forest.scores(features), "good": batch["good"]})
+
+    scored = rows.mapInPandas(score, "score double, good int")
+    by_score = scored.groupBy("score").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+    edges = staged(running(by_score, [], ["score"], {"good_below": F.col("good"), "bad_below": F.col("bad")}, "scores"), "edges")
+    n_good, n_bad, greatest = edges.agg(F.sum("good"), F.sum("bad"), F.max(F.when(F.col("good") > 0, F.col("score")))).first()
+    if not n_bad:
+        return float(greatest), n_good
+    # The quantile as numpy's "higher" takes it.
+    at = int(np.ceil((n_good - 1) * (1 - good_loss)))
+    least = edges.where((F.col("good") > 0) & (F.col("good_below") + F.col("good") > at)).agg(F.min("score")).first()[0]
+    caught = (F.lit(n_bad) - F.col("bad_below") - F.col("bad")) / F.lit(float(n_bad))
+    lost = (F.lit(n_good) - F.col("good_below") - F.col("good")) / F.lit(float(n_good))
+    best = edges.where(F.col("score") >= least).select("score", (caught - lost).alias("gain")).orderBy(F.desc("gain"), F.desc("score")).first()
+    later = edges.where(F.col("score") > best["score"]).agg(F.min("score")).first()[0]
+    return float(best["score"] if later is None else (best["score"] + later) / 2), n_good + n_bad
+
+
 def judge(docs: DataFrame, forest: Forest | None, text: str = "text") -> DataFrame:
     """The rows of ``docs`` with the counts of the rules, base_failed, anomaly and kept.
 

@@ -116,3 +116,16 @@ def test_query_counts_and_plain_rules(spark, tmp_path):
         want = slow_counts(texts[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and not (r.base_failed and r.kept)
+
+
+def test_all_labels_count(spark):
+    docs, _ = corpus(spark)
+    many = docs.crossJoin(spark.range(21).withColumnRenamed("id", "copy")).selectExpr("doc_id + 400 * copy AS doc_id", "concat(text, ' w', copy * 7 + doc_id) AS text")
+    labels = many.selectExpr("doc_id", "CASE WHEN doc_id % 8 = 0 THEN 0 ELSE 1 END AS quality")
+    made = forest.fit_forest(many, labels)
+    assert made.labelled == 8_400
+    rows = [(forest.statistics(r.text)[1], r.doc_id % 8) for r in many.collect()]
+    good, bad = (np.array([f for f, kind in rows if bool(kind) == want]) for want in (True, False))
+    threshold = made.threshold
+    made.calibrate(good, bad, 0.001)
+    assert made.threshold == threshold
