@@ -74,7 +74,11 @@ def _math_described(found: Column, whole: Column, offset: Column) -> Column:
 def math_pieces(text: Column, block_type: Column) -> Column:
     """Gap, notation, gap, …, gap of a segment."""
     empty = F.lit("")
-    return F.when(_is_whole(block_type), F.array(empty, text, empty)).otherwise(T.pieces(text, K.MATH))
+    return (
+        F.when(_is_whole(block_type), F.array(empty, text, empty))
+        .when(~T.matches(text, K.MATH_SIGN), F.array(text))
+        .otherwise(T.pieces(text, K.MATH))
+    )
 
 
 def protect_math(segments: DataFrame) -> DataFrame:
@@ -176,6 +180,12 @@ def restore_math(translations: DataFrame, objects: DataFrame, mode: str = "plain
 
 
 TOKEN = "(?iu)" + K.EXISTING_MARKER + "|" + K.STABLE_VALUE
+# Of a text without colon and at sign: no address and no reference by name can match, and every match begins with one of few characters.
+TOKEN_UNNAMED = r"(?iu)(?=[-+\d⟦\[])(?:" + K.EXISTING_MARKER + "|" + K.WORD_START + K.DOI_NUMBER + "|" + K.NUMBER + ")"
+
+
+def _named(text: Column) -> Column:
+    return F.contains(text, F.lit(":")) | F.contains(text, F.lit("@"))
 
 
 def _is_marker(value: Column) -> Column:
@@ -184,7 +194,7 @@ def _is_marker(value: Column) -> Column:
 
 def token_pieces(text: Column) -> Column:
     """Gap, match, gap, …, gap; numbers, references and the placeholders that are already there match."""
-    return T.pieces(text, TOKEN)
+    return F.when(_named(text), T.pieces(text, TOKEN)).otherwise(T.pieces(text, TOKEN_UNNAMED))
 
 
 def _tokens_within(pieces: Column) -> Column:
@@ -246,7 +256,8 @@ def _any_math_replaced(pieces: Column) -> Column:
 
 def _tokens_marked(plain: Column) -> Column:
     """``plain`` with its tokens marked, and its notation as one character; null where the text holds such marks itself."""
-    return F.when(~T.holds_mark(plain), F.replace(T.marked(plain, TOKEN), F.lit(K.MATH_UNNUMBERED), F.lit(T.INNER)))
+    found = F.when(_named(plain), T.marked(plain, TOKEN)).otherwise(T.marked(plain, TOKEN_UNNAMED))
+    return F.when(~T.holds_mark(plain), F.replace(found, F.lit(K.MATH_UNNUMBERED), F.lit(T.INNER)))
 
 
 def _with_text_and_tokens(numbered: DataFrame, offset: Column) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -219,3 +221,26 @@ def test_rows_of_one_row_group_are_dealt_to_all_cores(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sum(filled) == 50_000 and len(filled) >= spark.sparkContext.defaultParallelism
+
+
+def test_quick_patterns_find_what_the_plain_ones_find(spark):
+    # The plain patterns are run as they are, only with white space widened.
+    plain = lambda pattern: K.wide_space(pattern, K.SPACES_IN_CLASS)
+    assert K.java_pattern(K.MATH) != plain(K.MATH)
+    signs = [*"aPr1_^{}$\\()[]<=≤·βΩ₁²⁰×→\n  .,-+%9@:/", "$$", "\\[", "\\]", "p < 0.05", "x _ 1", "10.1234/aB", "http://a.b", "doi: x",
+             "ſ", "[[NUMBER_00001]]", "⟦math_inline_00001⟧", "\x1e", "ﬀ", "😀", "a@b.cc", "y^{2}"]
+    rng = random.Random(21)
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 14))) for _ in range(20_000)] + ["", None, "no sign at all", "x _", "R　= 4"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        "text", P.math_pieces(F.col("text"), F.lit("paragraph")).alias("math"), P.token_pieces(F.col("text")).alias("tokens"),
+        F.regexp_extract_all("text", F.lit(plain(K.MATH)), F.lit(0)).alias("m"), F.regexp_extract_all("text", F.lit(plain(P.TOKEN)), F.lit(0)).alias("t"),
+    )
+    found = 0
+    for r in rows.collect():
+        if r.text is None:
+            assert r.math is None and r.tokens is None
+            continue
+        assert r.math[1::2] == r.m and "".join(r.math) == r.text, r.text
+        assert r.tokens[1::2] == r.t and "".join(r.tokens) == r.text, r.text
+        found += len(r.m) + len(r.t)
+    assert found > 20_000
