@@ -184,7 +184,7 @@ def _regions(page: _Page, ids: np.ndarray) -> Iterator[np.ndarray]:
             yield region
 
 
-SWEEP = 64  # items after which lines that are out of reach are left behind
+SWEEP = 8  # items after which lines that are out of reach are left behind
 
 
 def _gather_lines(page: _Page, ids: np.ndarray) -> list[dict]:
@@ -251,9 +251,13 @@ def _apart(page: _Page, a: int, b: int) -> bool:
 
 def _render(page: _Page, ids: np.ndarray) -> str:
     lines = _gather_lines(page, ids)
-    lines.sort(key=lambda line: (-line["base"], page.x[line["items"]].min()))
+    left = lambda items: page.x[items[0]] if len(items) == 1 else page.x[items].min()
+    lines.sort(key=lambda line: (-line["base"], left(line["items"])))
     texts = []
     for line in lines:
+        if len(line["items"]) == 1:
+            texts.append(page.text[line["items"][0]].strip())
+            continue
         members = np.array(line["items"])
         members = members[np.lexsort((page.index[members], page.x[members]))]
         pieces = [page.text[members[0]].strip()]

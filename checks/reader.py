@@ -37,7 +37,7 @@ FROM (SELECT doc_id, i, substr(text, i * 60 + 1, 60) AS t
 
 def text_items(spark, folder) -> DataFrame:
     text = F.replace("text", F.lit("\n"), F.lit(" "))
-    cut_up = T.tokens(F.col("_t"), r"[\s\S]{1,60}")
+    cut_up = T.tokens(F.col("_t"), r"(?s).{1,60}")  # Java takes a dot ten times faster than a class of two halves
     lined = unfold(
         A.texts(spark, folder, "documents").where(F.length("text") > 0).select("doc_id", "text").withColumn("_t", text).withColumn("_parts", cut_up),
         "_parts", "_part", "_i",

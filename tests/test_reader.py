@@ -318,3 +318,33 @@ def test_a_page_of_fifty_thousand_items():
     begun = time.perf_counter()
     lines = L._gather_lines(page, np.arange(50_000))
     assert sorted(i for x in lines for i in x["items"]) == list(range(50_000)) and time.perf_counter() - begun < 60
+
+
+def test_texts_are_cut_into_items_by_a_plain_dot(spark, tmp_path):
+    from checks import reader
+
+    texts = ["x" * 60, "y" * 61, "a\nb\r c\x85" * 40, "é😀" * 90, " ", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = reader.text_items(spark, str(tmp_path))
+    assert "[\\s\\S]" not in items._jdf.queryExecution().toString()
+    got = {(r.doc_id, r.source_index): (r.text, r.width) for r in items.collect()}
+    want = {}
+    for doc, text in enumerate(texts):
+        flat = (text or "").replace("\n", " ")
+        for i in range(0, len(flat), 60):
+            part = flat[i : i + 60]
+            want[doc, i // 60] = ("1. " * (i // 60 % 40 == 36) + part, len(part) * 4.0)
+    assert got == want
+
+
+def test_lines_out_of_reach_are_left_soon(monkeypatch):
+    # A column of a thousand lines of one item each: an item is held against the few lines around it.
+    compared = []
+    monkeypatch.setattr(L, "abs", lambda x: compared.append(x) or abs(x), raising=False)
+    n = 1000
+    page = L._Page({
+        "text": np.array(["t"] * n), "x": np.zeros(n), "y": np.arange(n, 0, -1) * 18.0, "width": np.full(n, 9.0), "height": np.full(n, 10.0),
+        "source_index": np.arange(n), "page_width": np.array([600.0]), "page_height": np.array([800.0]),
+    })
+    assert L._render(page, np.arange(n)) == "\n".join(["t"] * n)
+    assert len(compared) < 10 * n
