@@ -82,7 +82,7 @@ def stream_debounced_sync(events: DataFrame, watermark: str = "10 seconds") -> D
 
     Events count in the order of ``at_ms`` and ``seq``, whatever micro-batch brings them: a reader's events wait until the watermark
     on ``at_ms`` (milliseconds since the epoch) has passed them.  What is kept of a reader is the events that wait and one silenced
-    side, until its silence ends.  Events without reader or time are left out.  Needs ``ordered.use_state_lists``.
+    side, until its silence ends.  Events without reader or time are left out.  ``ordered.use_state_lists`` keeps states on disk.
     """
     return fold_in_order(
         with_moved(events), ["reader_id"], "at_ms", ["seq", "kind", "side", "behavior", "moved"],

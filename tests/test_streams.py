@@ -1,3 +1,4 @@
+import functools
 import random
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from bitext import schemas
 from bitext.operators import jobs as J
 from bitext.streaming import jobs as SJ
-from bitext.streaming.ordered import use_state_lists
+from bitext.streaming.ordered import fold_in_order, use_state_lists
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +63,16 @@ def test_scrolls_in_any_split_are_those_of_the_batch(listed, tmp_path, seed):
     assert {(r["reader_id"], r["seq"], r["side"]) for r in got} == want and len(got) == len(want) > 10
 
 
+def test_readers_share_a_bucket(listed, tmp_path, monkeypatch):
+    monkeypatch.setattr(SJ, "fold_in_order", functools.partial(fold_in_order, buckets=1))
+    rows = scrolls(3, 90)
+    want = {(r.reader_id, r.seq, r.side) for r in J.debounced_sync(listed.createDataFrame(rows, READS)).collect()}
+    stream = dealt(listed, rows, READS, str(tmp_path / "in"), split(3, len(rows)))
+    out = SJ.stream_debounced_sync(stream, "10 seconds")
+    got = drained(out, tmp_path)
+    assert {(r["reader_id"], r["seq"], r["side"]) for r in got} == want and len(got) == len(want) > 10
+
+
 def test_scrolls_later_than_the_watermark_are_dropped(listed, tmp_path):
     rows = [(1, 0, 10_000, "scroll", "source", "auto", True), (1, 1, 15_000, "scroll", "source", "auto", True), (1, 2, 10_100, "scroll", "translation", "auto", True),
             (1, 3, 14_900, "scroll", "translation", "auto", True), (1, 4, 1_000_000, "intent", "source", "auto", True)]
