@@ -223,6 +223,20 @@ def test_rows_of_one_row_group_are_dealt_to_all_cores(spark, tmp_path):
     assert sum(filled) == 50_000 and len(filled) >= spark.sparkContext.defaultParallelism
 
 
+def test_rows_of_one_row_group_in_many_splits_are_dealt_to_all_cores(spark, tmp_path):
+    # As many splits as cores, one of which holds all rows.
+    path = str(tmp_path / "one.parquet")
+    pq.write_table(pa.table({"id": list(range(50_000))}), path, compression="none")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 * 1024))
+    try:
+        plain = spark.read.parquet(path)
+        assert plain.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        filled = [n for n in with_parallelism(plain).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(filled) == 50_000 and len(filled) >= spark.sparkContext.defaultParallelism
+
+
 def test_quick_patterns_find_what_the_plain_ones_find(spark):
     # The plain patterns are run as they are, only with white space widened.
     plain = lambda pattern: K.wide_space(pattern, K.SPACES_IN_CLASS)

@@ -137,3 +137,11 @@ def test_blocks_of_a_page_searched_as_a_whole_are_those_of_its_lines(spark):
     expected = lines.withColumn("expected", F.array_remove(S._blocks_by_line(F.col("_lines")), ""))
     assert expected.where(~F.col("blocks").eqNullSafe(F.col("expected"))).select("text", "blocks", "expected").take(3) == []
     assert expected.where(F.size("blocks") > 2).count() > 1000
+
+
+def test_batches_of_gapless_ordinals_need_no_counting(spark):
+    rows = [(d, i, "x" * (37 * d * i % 1400)) for d, n in ((1, 230), (2, 1), (3, 65)) for i in range(1, n + 1)]
+    made = spark.createDataFrame(rows, "doc_id long, ordinal int, text string")
+    got, want = (S.batch_segments(made, chunk=16, gapless=g) for g in (True, False))
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == len(rows)
+    assert "Window" not in got._jdf.queryExecution().toString()
