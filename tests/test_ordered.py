@@ -49,3 +49,14 @@ def test_match_in_order_when_hot(spark):
             for hot in (3, 10**6)
         ]
         assert results[0] == results[1]
+
+
+def test_kept_tables_are_written_small(spark):
+    import pyarrow.parquet as pq
+
+    from bitext.plans.lineage import keep
+
+    kept = keep(spark.range(1000).select("id", F.lit("the same words again").alias("text")))
+    [path, *_] = kept.inputFiles()
+    column = pq.ParquetFile(path.removeprefix("file://")).metadata.row_group(0).column(1)
+    assert column.compression == "ZSTD" and kept.count() == 1000
