@@ -76,7 +76,8 @@ def formatted(pattern: str, number: Column) -> Column:
 
 def utf16_len(c: Column) -> Column:
     """Length in UTF-16 code units, the unit of every character limit."""
-    return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
+    encoded = F.shiftright(F.octet_length(F.encode(c, "UTF-16BE")), 1)
+    return F.when(F.octet_length(c) == F.length(c), F.length(c)).otherwise(encoded)
 
 
 def fits(c: Column, limit: int) -> Column:

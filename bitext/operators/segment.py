@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from bitext import constants as K
 from bitext.functions import text as T
+from bitext.plans.lineage import keep
 from bitext.plans.ordered import kept_with_running, previous, running_total
 from bitext.plans.rows import unfold
 
@@ -236,6 +237,13 @@ def segment_pages(pages: DataFrame, visual_markers: bool = True) -> DataFrame:
 # in parallel again.
 
 
+# A segment travels as one number: its ordinal, and below it its size.  The first
+# chunk of a document is entered at 0, so that only documents of more than one
+# chunk are summarised and chained.
+
+ORDINAL_BITS = 32
+
+
 def _next_start(lengths: np.ndarray, own: int, max_count: int, max_size: int) -> np.ndarray:
     """For each of the ``own`` segments, the segment after a batch that opens there."""
     ends = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
@@ -244,12 +252,16 @@ def _next_start(lengths: np.ndarray, own: int, max_count: int, max_size: int) ->
     return np.clip(np.minimum(by_size, here + max_count), here + 1, len(lengths))
 
 
+def _sizes(rows: np.ndarray) -> np.ndarray:
+    return rows & ((1 << ORDINAL_BITS) - 1)
+
+
 def _chunk_summary(max_count: int, max_size: int):
     @F.pandas_udf("struct<exits:array<int>,opened:array<int>>")
-    def summary(lengths: pd.Series, own: pd.Series) -> pd.DataFrame:
+    def summary(chunks: pd.Series, own: pd.Series) -> pd.DataFrame:
         exits, opened = [], []
-        for values, m in zip(lengths, own):
-            step = _next_start(values, m, max_count, max_size)
+        for rows, m in zip(chunks, own):
+            step = _next_start(_sizes(rows), m, max_count, max_size)
             leave = np.arange(m + max_count) - m
             count = np.zeros(m + max_count, dtype=np.int32)
             for i in range(m - 1, -1, -1):
@@ -278,22 +290,52 @@ def _chain():
 
 
 def _fill(max_count: int, max_size: int):
-    @F.pandas_udf("array<int>")
-    def ids(lengths: pd.Series, own: pd.Series, entry: pd.Series, base: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<bigint>")
+    def ids(chunks: pd.Series, own: pd.Series, entry: pd.Series, base: pd.Series) -> pd.Series:
         out = []
-        for values, m, first, start in zip(lengths, own, entry, base):
-            step = _next_start(values, m, max_count, max_size)
-            opens = np.zeros(m, dtype=np.int32)
-            i = first
-            while i < m:
-                opens[i] = 1
-                i = step[i]
-            out.append(start - 1 + np.cumsum(opens, dtype=np.int32))
+        for rows, m, first, start in zip(chunks, own, entry, base):
+            rows, found = rows[:m], []
+            batch, count, size = start - 1, 0, 0
+            for i, n in enumerate(_sizes(rows).tolist()):
+                if i == first or (i > first and (count >= max_count or size + n > max_size)):
+                    batch, count, size = batch + 1, 0, 0
+                count, size = count + 1, size + n
+                found.append(batch)
+            out.append((rows >> ORDINAL_BITS << ORDINAL_BITS) + np.array(found, dtype=np.int64))
         return pd.Series(out)
 
     return ids
 
 
+def _chunks(placed: DataFrame, chunk: int, max_count: int) -> DataFrame:
+    """A row per chunk: its segments in order, and how many of them are its own.
+
+    The first segments of a chunk also go to the chunk before, whose last batch may take them.
+    """
+    own = F.floor(F.col("_at") / chunk)
+    homes = F.when((F.col("_at") % chunk < max_count) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    return (
+        placed.select("doc_id", "_row", own.alias("_own"), F.explode(homes).alias("_chunk"))
+        .groupBy("doc_id", "_chunk")
+        .agg(F.sort_array(F.collect_list("_row")).alias("_rows"), F.count_if(F.col("_own") == F.col("_chunk")).cast("int").alias("_m"))
+    )
+
+
+def _entries(chunks: DataFrame, max_count: int, max_size: int) -> DataFrame:
+    """``(doc_id, _chunk, entry, base)``: where a chunk's first own batch opens, and its id.
+
+    One small row per chunk: a document of a billion segments has 250,000 of them.
+    """
+    return (
+        chunks.select("doc_id", "_chunk", _chunk_summary(max_count, max_size)("_rows", "_m").alias("_s"))
+        .select("doc_id", "_chunk", "_s.exits", "_s.opened")
+        .groupBy("doc_id")
+        .agg(F.array_sort(F.collect_list(F.struct("_chunk", "exits", "opened"))).alias("_all"))
+        .select("doc_id", F.explode_outer(_chain()("_all")).alias("_e"))
+        .select("doc_id", F.col("_e.chunk").alias("_chunk"), "_e.entry", "_e.base")
+    )
+
+
 def batch_segments(
     segments: DataFrame,
     max_count: int = K.MAX_BATCH_SEGMENTS,
@@ -304,46 +346,31 @@ def batch_segments(
     """``(doc_id, ordinal, batch_id)``: segments packed in order, ids from 0 per document.
 
     ``chunk`` has to be at least ``max_count``.  ``gapless`` says that the ordinals of every document are 1, 2, 3, … as
-    ``segment_pages`` numbers them, so that they need not be counted.
+    ``segment_pages`` numbers them, so that they need not be counted.  ``segments`` is read more than once.
     """
-    narrow = segments.select("doc_id", "ordinal", T.utf16_len(F.col("text")).alias("size"))
+    ordinal, size = F.col("ordinal").cast("int"), F.coalesce(T.utf16_len(F.col("text")), F.lit(0))
+    narrow = segments.select("doc_id", "ordinal", (F.shiftleft(ordinal.cast("long"), ORDINAL_BITS) + size).alias("_row"))
     counted = F.col("ordinal").cast("long") - 1
-    dense = narrow.withColumn("_at", counted) if gapless else running_total(narrow, ["doc_id"], "ordinal", F.lit(1), "_at")
-    # The first segments of a chunk also go to the chunk before, whose last batch may take them.
-    own = F.floor(F.col("_at") / chunk)
-    homes = F.when(
-        (F.col("_at") % chunk < max_count) & (own > 0), F.array(own, own - 1)
-    ).otherwise(F.array(own))
-    chunks = (
-        dense.withColumn("_own", own)
-        .withColumn("_chunk", F.explode(homes))
-        .groupBy("doc_id", "_chunk")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("_at", "size", "ordinal"))).alias("_rows"),
-            F.count_if(F.col("_own") == F.col("_chunk")).cast("int").alias("_m"),
-        )
-        .withColumn("_sizes", F.col("_rows.size"))
-    )
-    summary = chunks.select(
-        "doc_id", "_chunk", _chunk_summary(max_count, max_size)("_sizes", "_m").alias("_s")
-    ).select("doc_id", "_chunk", "_s.exits", "_s.opened")
-    # One small row per chunk: a document of a billion segments has 250,000 of them.
-    entries = (
-        summary.groupBy("doc_id")
-        .agg(F.array_sort(F.collect_list(F.struct("_chunk", "exits", "opened"))).alias("_all"))
-        .select("doc_id", F.explode_outer(_chain()("_all")).alias("_e"))
-        .select("doc_id", F.col("_e.chunk").alias("_chunk"), "_e.entry", "_e.base")
+    place = lambda df: df.withColumn("_at", counted) if gapless else running_total(df, ["doc_id"], "ordinal", F.lit(1), "_at")
+    many = segments.where(counted >= chunk).select("doc_id").distinct() if gapless else (
+        segments.groupBy("doc_id").agg(F.count("*").alias("_n")).where(F.col("_n") > chunk).select("doc_id")
     )
+    # At most one document for ``chunk`` segments; written, so that Spark knows how few they are.
+    many = keep(many)
+    chunks = _chunks(place(narrow), chunk, max_count)
+    if many.isEmpty():
+        chunks = chunks.withColumns({"entry": F.lit(0), "base": F.lit(0)})
+    else:
+        chained = _entries(_chunks(place(narrow.join(many, "doc_id", "left_semi")), chunk, max_count), max_count, max_size)
+        chunks = chunks.join(chained, ["doc_id", "_chunk"], "left").withColumns(
+            {"entry": F.coalesce("entry", F.lit(0)), "base": F.coalesce("base", F.lit(0))}
+        )
     return (
-        chunks.join(entries, ["doc_id", "_chunk"])
-        .withColumn("_ids", _fill(max_count, max_size)("_sizes", "_m", "entry", "base"))
+        chunks.select("doc_id", F.explode_outer(_fill(max_count, max_size)("_rows", "_m", "entry", "base")).alias("_id"))
         .select(
-            "doc_id",
-            F.explode_outer(
-                F.arrays_zip(F.slice("_rows.ordinal", F.lit(1), F.col("_m")).alias("o"), F.col("_ids").alias("b"))
-            ).alias("_z"),
+            "doc_id", F.shiftright("_id", ORDINAL_BITS).cast("int").cast(segments.schema["ordinal"].dataType).alias("ordinal"),
+            F.col("_id").bitwiseAND(F.lit((1 << ORDINAL_BITS) - 1)).cast("int").alias("batch_id"),
         )
-        .select("doc_id", F.col("_z.o").alias("ordinal"), F.col("_z.b").alias("batch_id"))
     )
 
 

@@ -81,16 +81,23 @@ def running_before(
     return joined.select(*df.columns, *[both(out, kind).alias(out) for out, (kind, _) in totals.items()])
 
 
-def kept_with_running(df: DataFrame, keys: Sequence[str], position: str, totals: dict[str, Column], chunk: int = CHUNK) -> DataFrame:
+def kept_with_running(
+    df: DataFrame, keys: Sequence[str], position: str, totals: dict[str, Column], chunk: int = CHUNK, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Add running sums over the rows before each row, per key, to rows that are wide.
 
     The rows are written once, as columns, with the values to sum; the sums are computed from these numbers alone, and come
-    back by a row number.  So wide rows are neither sorted nor computed twice.
+    back by a row number.  So wide rows are neither sorted nor computed twice.  Keys whose numbers fit into a task take a
+    plain window, else they are cut into chunks.
     """
     values = [f"_value_{out}" for out in totals]
     rows = keep(df.select("*", *[v.cast("long").alias(n) for n, v in zip(values, totals.values(), strict=True)], F.monotonically_increasing_id().alias("_row")))
     narrow = rows.select(*keys, position, "_row", *values)
-    sums = running_before(narrow, keys, position, {out: ("sum", F.col(n)) for out, n in zip(totals, values, strict=True)}, chunk)
+    if largest_group(rows, keys) <= hot_rows:
+        before = Window.partitionBy(*keys).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+        sums = narrow.select("_row", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(out) for out, n in zip(totals, values, strict=True)])
+    else:
+        sums = running_before(narrow, keys, position, {out: ("sum", F.col(n)) for out, n in zip(totals, values, strict=True)}, chunk)
     return rows.drop(*values).join(sums.select("_row", *totals), "_row").drop("_row")
 
 

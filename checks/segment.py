@@ -284,12 +284,12 @@ SELECT doc_id, unnest(ordinals) AS ordinal, unnest(s.ids) AS batch_id FROM (
        GROUP BY b.doc_id, b.batch_id""",
 )
 def _(spark, folder):
-    segments = keep(S.segment_pages(A.corpus_pages(spark, folder)))
+    segments = keep(S.segment_pages(A.corpus_pages(spark, folder)).select("doc_id", "ordinal", "text"))
     return (
-        S.batch_segments(segments)
-        .join(segments.select("doc_id", "ordinal", "text"), ["doc_id", "ordinal"])
+        S.batch_segments(segments, gapless=True)
+        .join(segments.select("doc_id", "ordinal", F.length("text").alias("_chars")), ["doc_id", "ordinal"])
         .groupBy("doc_id", "batch_id")
-        .agg(F.count("*").alias("segments"), F.sum(F.length("text")).alias("chars"),
+        .agg(F.count("*").alias("segments"), F.sum("_chars").alias("chars"),
              F.min("ordinal").alias("first_ordinal"))
     )
 
