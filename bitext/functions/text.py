@@ -86,7 +86,12 @@ def fits(c: Column, limit: int) -> Column:
 
 
 def trim(c: Column) -> Column:
-    """Strip every kind of white space, not only blanks."""
+    """Strip every kind of white space, not only blanks.  A text that begins and ends with plain characters stays."""
+    plain = lambda end: F.ascii(end(c, F.lit(1))).between(0x21, 0x7E)
+    return F.when(plain(F.left) & plain(F.right), c).otherwise(_stripped(c))
+
+
+def _stripped(c: Column) -> Column:
     return F.regexp_replace(c, K.NOT_PLAIN + "(?:^" + K.WS + "+|" + K.WS + r"+\z)", "")
 
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from bitext import constants as K
 from bitext.functions import text as T
 from bitext.plans.lineage import keep
-from bitext.plans.ordered import kept_with_running, previous, running_total
-from bitext.plans.rows import unfold
+from bitext.plans.ordered import HOT_ROWS, WIDE_ROWS, group_sizes, kept_with_running, previous, running_total
+from bitext.plans.rows import dealt, unfold
 
 BATCH_CHUNK = 4096
 
@@ -390,8 +390,34 @@ def source_text(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page", F.concat(title, F.lit("\n\n"), body).alias("text"))
 
 
-def markdown_pieces(segments: DataFrame, translations: DataFrame) -> DataFrame:
-    """``(doc_id, page, ordinal, piece)``: the Markdown each segment contributes."""
+def _with_words(segments: DataFrame, words: DataFrame, by_document: int | None) -> DataFrame:
+    """``segments`` left joined with ``words`` by doc_id and segment_id.
+
+    ``by_document``, the number of segments, deals both sides by document, once, so that what goes on by document or by page
+    moves no row again.
+    """
+    if by_document is None:
+        return segments.join(words, ["doc_id", "segment_id"], "left")
+    own = [c for c in segments.columns if c not in ("doc_id", "segment_id")]
+    sides = segments.select("doc_id", "segment_id", F.struct(*own).alias("_segment")).unionByName(
+        # Null keys meet nothing; a word that is null is a row of its own.
+        words.where(F.col("doc_id").isNotNull() & F.col("segment_id").isNotNull()).select("doc_id", "segment_id", F.struct("_words").alias("_word")),
+        allowMissingColumns=True,
+    )
+    met = dealt(sides.repartition("doc_id"), by_document, WIDE_ROWS, "doc_id").groupBy("doc_id", "segment_id").agg(
+        F.collect_list("_segment").alias("_segments"), F.collect_list("_word").alias("_found")
+    )
+    each = met.select("doc_id", "segment_id", "_found", F.explode("_segments").alias("_segment"))
+    return each.select("doc_id", "segment_id", "_segment.*", F.explode_outer("_found").alias("_word")).select(
+        "doc_id", "segment_id", *own, "_word._words"
+    )
+
+
+def markdown_pieces(segments: DataFrame, translations: DataFrame, by_document: int | None = None) -> DataFrame:
+    """``(doc_id, page, ordinal, piece)``: the Markdown each segment contributes.
+
+    ``by_document`` is the number of segments where those of every document fit into a task.
+    """
     words = translations.select(
         "doc_id", "segment_id", T.trim(F.col("text")).alias("_words")
     )
@@ -408,7 +434,8 @@ def markdown_pieces(segments: DataFrame, translations: DataFrame) -> DataFrame:
         F.coalesce(F.lag("block_type").over(on_page), F.lit("")) != "footnote"
     )
     opens_page = F.row_number().over(on_page) == 1
-    return segments.join(words, ["doc_id", "segment_id"], "left").select(
+    narrow = segments.select("doc_id", "segment_id", "page", "ordinal", "block_type")
+    return _with_words(narrow, words, by_document).select(
         "doc_id",
         "page",
         "ordinal",
@@ -420,11 +447,19 @@ def markdown_pieces(segments: DataFrame, translations: DataFrame) -> DataFrame:
     )
 
 
-def translated_markdown(segments: DataFrame, translations: DataFrame) -> DataFrame:
-    """``(doc_id, page, markdown)``: the translated text, one row per page."""
+def translated_markdown(
+    segments: DataFrame, translations: DataFrame, hot_rows: int = HOT_ROWS // 4, sizes: tuple[int, int] | None = None
+) -> DataFrame:
+    """``(doc_id, page, markdown)``: the translated text, one row per page.
+
+    Where the segments of the largest document fit into a task, texts are dealt once, by document; else to their segment and
+    then to their page.  ``sizes``, the segments of the largest document and all, saves the measurement where they, or bounds
+    of them, are known.
+    """
+    largest, count = sizes or group_sizes(segments, ["doc_id"])
     ordered = F.array_sort(F.collect_list(F.struct("ordinal", "piece")))
     return (
-        markdown_pieces(segments, translations)
+        markdown_pieces(segments, translations, by_document=count if largest <= hot_rows else None)
         .groupBy("doc_id", "page")
         .agg(F.array_join(F.transform(ordered, lambda r: r["piece"]), "\n\n").alias("markdown"))
     )

@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitext.plans.lineage import cut, keep
+from bitext.plans.rows import dealt
 
 CHUNK = 1 << 16
 HOT_ROWS = 4_000_000
+WIDE_ROWS = 200_000
 
 
 def _chunked(df: DataFrame, position: str, chunk: int) -> DataFrame:
@@ -93,12 +95,15 @@ def kept_with_running(
     values = [f"_value_{out}" for out in totals]
     rows = keep(df.select("*", *[v.cast("long").alias(n) for n, v in zip(values, totals.values(), strict=True)], F.monotonically_increasing_id().alias("_row")))
     narrow = rows.select(*keys, position, "_row", *values)
-    if largest_group(rows, keys) <= hot_rows:
+    largest, count = group_sizes(rows, keys)
+    if largest <= hot_rows:
         before = Window.partitionBy(*keys).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
         sums = narrow.select("_row", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(out) for out, n in zip(totals, values, strict=True)])
     else:
         sums = running_before(narrow, keys, position, {out: ("sum", F.col(n)) for out, n in zip(totals, values, strict=True)}, chunk)
-    return rows.drop(*values).join(sums.select("_row", *totals), "_row").drop("_row")
+    # Of many rows, each task sorts so many that they fit into its memory.
+    wide, numbers = (dealt(side, count, WIDE_ROWS, "_row") for side in (rows.drop(*values), sums.select("_row", *totals)))
+    return wide.join(numbers, "_row").drop("_row")
 
 
 def running_total(
@@ -137,10 +142,15 @@ def previous(
     return joined.drop("_chunk", "_inside", "_carry")
 
 
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest group, and of all: one aggregate over the key columns."""
+    row = df.groupBy(*keys).count().agg(F.max("count").alias("largest"), F.sum("count").alias("rows")).first()
+    return row["largest"] or 0, row["rows"] or 0
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows of the largest group: one aggregate over the key columns."""
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("rows")).first()
-    return row["rows"] or 0
+    return group_sizes(df, keys)[0]
 
 
 def rank_within(

@@ -16,6 +16,7 @@ from bitext import constants as K
 from bitext.operators import align, inference, protect, segment
 from bitext.operators import review as review_choice
 from bitext.plans.lineage import cut, keep
+from bitext.plans.ordered import group_sizes
 
 
 def prepare(pages: DataFrame) -> dict[str, DataFrame]:
@@ -123,6 +124,6 @@ def process(
         "alignments": align.identity_alignments(whole["segments"]),
         "metadata": inference.run_metadata(kept, chosen, whole["math_objects"]),
         "source_text": segment.source_text(kept),
-        "markdown": segment.translated_markdown(whole["segments"], marked),
+        "markdown": segment.translated_markdown(whole["segments"], marked, sizes=group_sizes(ready["segments"], ["doc_id"])),
         "failures": failures,
     }

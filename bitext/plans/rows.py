@@ -27,3 +27,9 @@ def with_parallelism(df: DataFrame, key: str | None = None, tasks_per_core: int
     wanted = df.sparkSession.sparkContext.defaultParallelism * tasks_per_core
     files = len(df.inputFiles()) or wanted
     return df.repartition(wanted, key or df.columns[0]) if min(files, df.rdd.getNumPartitions()) < wanted else df
+
+
+def dealt(df: DataFrame, rows: int, per_task: int, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` to more tasks than Spark would take, where those would get more than ``per_task`` of ``rows``."""
+    wanted = -(-rows // per_task)
+    return df.repartition(wanted, *keys) if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
